@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spandrel.llm import sentencepiece_codec
+from spandrel.llm import quality_rules, sentencepiece_codec, simhash_dedup
 from spandrel.sources.tables import table
 
 
@@ -15,7 +15,19 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
+    "op7_simhash_dedup": op7_simhash_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
 }
-ORACLES: dict[str, str] = {}
