@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spandrel.llm import quality_rules, sentencepiece_codec, simhash_dedup
+from spandrel.llm import chat_format, packing, quality_rules, sentencepiece_codec, simhash_dedup, warc
 from spandrel.sources.tables import table
 
 
@@ -19,6 +19,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_conversations(rows))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,8 +39,13 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
+    "op5_chat_format": op5_chat_format,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
 }
