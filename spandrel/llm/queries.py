@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spandrel.llm import chat_format, packing, quality_rules, sentencepiece_codec, simhash_dedup, warc
+from spandrel.llm import bit_sliced_topk, chat_format, packing, quality_rules, sentencepiece_codec, simhash_dedup, warc
 from spandrel.sources.tables import table
 
 
@@ -36,6 +37,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
@@ -43,9 +48,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op10_exact_topk": op10_exact_topk,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op4_warc": warc.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
+    "op10_exact_topk": bit_sliced_topk.ORACLE,
 }
