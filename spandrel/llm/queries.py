@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import bit_sliced_topk, chat_format, license_scan, packing, quality_rules, sentencepiece_codec, simhash_dedup, warc
+from spandrel.llm import bit_sliced_topk, chat_format, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, warc
 from spandrel.sources.tables import table
 
 
@@ -41,6 +41,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled(spark))
+    return secret_scan.secret_findings(table(spark, sf_dir, "documents"), forest)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -53,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_topk": op10_exact_topk,
 }
 ORACLES: dict[str, str] = {
