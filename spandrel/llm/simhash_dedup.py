@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -113,12 +114,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """(fp, component_id) of the different fingerprints of `fps` (id, fp): the smallest id reachable."""
+    """(fp, root, component_id) of the different fingerprints of `fps` (id, fp): the smallest fingerprint and the
+    smallest id reachable."""
     nodes = staged(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(best, "root").select("fp", "component_id")
+    return rooted.join(best, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,3 +132,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     fps = staged(fingerprints(docs, size, id_col, text_col), "document-fingerprints")
     out = fps.join(classes(fps), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each class left, that of the smallest id (of equal ids, any one row)."""
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode(), size) for t in texts], np.uint64).view(np.int64))
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"), F.struct("*").alias("row"))
+    rows = staged(numbered, "numbered")
+    few = rows.select("number", "id", "fp")
+    first = few.join(classes(few), "fp").groupBy("root").agg(F.min(F.struct("id", "number")).alias("first")).select("first.number")
+    return rows.join(first, "number", "left_semi").select("row.*")
