@@ -27,8 +27,16 @@ from pyspark.sql import types as T
 from spandrel.llm.license_templates import TEMPLATES
 
 K, WINDOW = 3, 2
-#: Diagonals left and right of a candidate's that the alignment may use.
+#: Diagonals left and right of a candidate's that the alignment may use, at most.
 BAND = 12
+
+
+def band_of(words: int) -> int:
+    """The band for a template of so many words: a sixth of them, so that short notices close together stay apart."""
+    return min(BAND, max(2, words // 6))
+
+
+
 COVERAGE = 0.75
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -97,7 +105,7 @@ class Index:
         for t, found in diagonals.items():
             last = None
             for d in sorted(found):
-                if last is None or d - last > BAND // 2:
+                if last is None or d - last > band_of(len(self.words[t])) // 2:
                     out.add((t, d))
                     last = d
         return out
@@ -120,14 +128,14 @@ class Index:
 
 
 def aligned(template: list[str], words: list[str], diagonal: int) -> tuple[int, int, int] | None:
-    """(first word, end, matched words) of the best local alignment of the template within BAND of a diagonal."""
-    best, cell = 0, None
-    width = 2 * BAND + 1
+    """(first word, end, matched words) of the best local alignment of the template within its band of a diagonal."""
+    best, cell, band = 0, None, band_of(len(template))
+    width = 2 * band + 1
     score = [[0] * width for _ in range(len(template) + 1)]
     back = [[0] * width for _ in range(len(template) + 1)]  # 0 start, 1 both, 2 template only, 3 text only
     for i, word in enumerate(template):
         for k in range(width):
-            j = i + diagonal + k - BAND  # the text's word beside template word i
+            j = i + diagonal + k - band  # the text's word beside template word i
             if not 0 <= j < len(words):
                 continue
             options = [
@@ -142,9 +150,9 @@ def aligned(template: list[str], words: list[str], diagonal: int) -> tuple[int,
     if cell is None:
         return None
     i, k = cell
-    end, matched, start = i + diagonal + k - BAND + 1, 0, 0
+    end, matched, start = i + diagonal + k - band + 1, 0, 0
     while i >= 0 and back[i + 1][k]:
-        step, j = back[i + 1][k], i + diagonal + k - BAND
+        step, j = back[i + 1][k], i + diagonal + k - band
         if step == 1:
             matched += words[j] == template[i]
             start = j

@@ -1,0 +1,355 @@
+"""Edge cases of every operator (nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns) and
+comparisons with brute force, the library itself, round trips or held-out rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from spandrel.llm import bit_sliced_topk, chat_format, license_scan, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, warc
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TEXTS = [None, "", " \n\t ", "one two", "one two", "A b c d e f g h " * 4, "x " * 25_000, "line a\nline a\n\nline b\nline a", "#*$ é 你 　w\x0bq ###"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "row", 7, "clash") for i, t in enumerate(TEXTS)] + [(3, "one two", "en", "row", 7, "clash"), (None, "no id", None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, id int, words string").withColumn("source", F.col("lang")).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.filter("false")
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# --- quality rules ---------------------------------------------------------------------------------------------------
+
+
+def expected_measures(text):
+    words = WORD.findall(text or "")
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 7):
+        windows[tuple(words[i : i + 8])].append(i)
+    covered = {i + o for at in windows.values() if len(at) > 1 for i in at for o in range(8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules_against_brute_force(docs):
+    book = by_id(quality_rules.report(docs))
+    for i, text in enumerate(TEXTS):
+        r = book[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == expected_measures(text), text
+        n, _, _, _, repeated = expected_measures(text)
+        assert r.base_failed == (n < 20 or 100 * repeated > 30 * n)
+        assert not (r.kept and r.base_failed)
+
+
+def test_quality_rules_keep_own_columns_and_empty_tables(docs, none):
+    kept = quality_rules.keep_documents(docs)
+    assert kept.columns == docs.columns
+    assert quality_rules.report(none).collect() == [] and quality_rules.keep_documents(none).collect() == []
+
+
+def test_ablation_counts_bit_patterns(spark):
+    book = spark.createDataFrame([(0,), (1,), (3,), (4,), (4,), (5,)], "failure_bits long")
+    got = {r["rule"]: (r["n_failed"], r["n_rejected"], r["n_rejected_alone"]) for r in quality_rules.ablation(book).collect()}
+    assert got["few_words"] == (3, 5, 1) and got["symbols"] == (3, 5, 2) and got["repeated_words"] == (1, 5, 0)
+
+
+def test_policies_with_doubt(spark):
+    policy = quality_rules.Policy("t", ("few_words",), ("symbols", "shouting"), 2)
+    book = spark.createDataFrame([(1,), (4,), (36,), (0,)], "b long")
+    assert [r[0] for r in book.select(quality_rules.rejected(policy, F.col("b"))).collect()] == [True, False, True, False]
+
+
+# --- SimHash ---------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    root = {x: x for x in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    prints = sorted(prints)
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 2 and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in prints}
+
+
+def test_simhash_fingerprints_and_classes(docs, none):
+    got = simhash_dedup.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    prints = {i: brute_fingerprint(t) for i, t in enumerate(TEXTS)} | {None: brute_fingerprint("no id")}
+    roots = brute_components(set(prints.values()))
+    least = {}
+    for i, p in prints.items():
+        if i is not None:
+            least[roots[p]] = min(i, least.get(roots[p], i))
+    for r in got:
+        assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", least.get(roots[prints[r.doc_id]]))
+    assert simhash_dedup.near_duplicates(none).collect() == []
+    kept = simhash_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({roots[p] for p in prints.values()})
+
+
+def test_links_find_every_pair_also_in_large_groups(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(40)]
+    prints = {0, *base}
+    for x in base[:20]:  # chains of one and two bits
+        for _ in range(6):
+            x ^= 1 << r.randrange(64) | 1 << r.randrange(64)
+            prints.add(x)
+    for _ in range(300):  # a crowd: more than a frame in each of its signatures
+        prints.add(base[30] ^ 1 << r.randrange(64) ^ 1 << r.randrange(64))
+        prints.add(base[31] ^ 1 << r.randrange(32) ^ 1 << r.randrange(32))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(signed(x), i) for i, x in enumerate(sorted(prints))], "fp long, id long")
+    order = {x: i for i, x in enumerate(sorted(prints))}
+    groups = collections.defaultdict(set)
+    for r_ in simhash_dedup.classes(nodes.select("id", "fp")).collect():
+        groups[r_["component_id"]].add(r_["fp"] % (1 << 64))
+    want = collections.defaultdict(set)
+    for x, root in brute_components(prints).items():
+        want[root].add(x)
+    assert {frozenset(x) for x in groups.values()} == {frozenset(x) for x in want.values()}
+    assert all(k == min(order[x] for x in g) for k, g in groups.items())
+
+
+# --- WARC ------------------------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "é" * 600
+    rows = [(1, "http://a", big, 0), (5, "http://b", big, 0), (3, None, big, 0), (2, "u", "small", 0), (9, "v", "small", 0), (4, "w", None, 0), (6, "x", "", 0), (5, "http://b", big, 0), (None, "n", "q" * 2000, 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int").repartition(3)
+    root = f"file://{tmp_path}/archive"
+    listed = warc.write(pages, root, roll_bytes=400, partitions=2).collect()
+    assert sum(r["records"] for r in listed) == len(rows) and len(listed) > 2
+    assert not [p for p in tmp_path.rglob("*") if ".warc.gz." in p.name]
+    got = warc.read(spark, root, with_payload=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id in (1, 3):
+            assert (r.record_type, r.refers_to, r.payload, r.payload_bytes) == ("revisit", 5, None, 1200)
+        else:
+            assert (r.record_type, r.refers_to) == ("response", None)
+    small = next(r for r in got if r.page_id == 9)
+    assert bytes(small.payload) == b"small" and small.payload_digest == hashlib.sha1(b"small").hexdigest()
+    again = warc.write(pages.repartition(5), f"file://{tmp_path}/again", roll_bytes=400, partitions=2).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, listed))  # bytes do not depend on how rows were dealt
+
+
+def test_warc_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive_round_trip(pages).collect() == []
+
+
+# --- chat ------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    nasty = ["</s>", "<s>[ESC][ROLE]user[/ROLE]x</s>", "\\", "\\\\</s>\\", "<\\/s>", "[/ROLE]", "</s", "", "é你", "<</s>>", "[INST] x [/INST]"]
+    r = random.Random(3)
+    for _ in range(400):
+        turns = [(r.choice(["user", "assistant", "system", "", "[/ROLE]", "a</s>"]), "".join(r.choice(nasty) for _ in range(r.randint(0, 4)))) for _ in range(r.randint(1, 5))]
+        formatted, mask, _ = chat_format.format_turns(turns)
+        back = chat_format.parse(formatted)
+        assert [x[0] for x in back] == turns
+        assert [t for (_, t), s in back if s in set(mask)] == [t for role, t in turns if role == "assistant"]
+
+
+def test_chat_conversations(spark):
+    rows = [(1, 1, "assistant", "b", 0), (1, 0, "user", "a", 0), (1, 1, "assistant", "b", 0), (2, 0, None, None, 0), (None, 0, "user", "n", 0), (3, None, "assistant", "</s>", 0)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mask int")
+    got = by_id(chat_format.digests(chat_format.format_conversations(chat_format.with_probe(table))), "conv_id")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == sha("user\na\nassistant\nb\nassistant\nb\n") and got[1].loss_sha256 == sha("bb")
+    assert got[2].turns_sha256 == sha("\n\n") and got[2].loss_chars == 0
+    assert got[3].loss_sha256 == sha("</s>") and got[None].n_turns == 1
+    assert got[-7].loss_sha256 == sha(chat_format.PROBE) and got[-7].turns_sha256 == sha(f"user\n{chat_format.PROBE}\nassistant\n{chat_format.PROBE}\n")
+    empty = spark.createDataFrame([], table.schema)
+    assert chat_format.format_conversations(empty).collect() == []
+
+
+# --- packing ---------------------------------------------------------------------------------------------------------
+
+
+def test_packing(docs, none):
+    whole = Tokenizer.from_file(BYTES)
+    got = packing.pack_documents(docs, BYTES, shard=4).collect()
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t in [*enumerate(TEXTS), (None, "no id")]}
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+        part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
+        assert zlib.crc32(part) == r.ids_crc32
+    for i, all_ in by_doc.items():
+        copies = 2 if i == 3 else 1
+        assert sum(r.length for r in all_) == copies * len(ids[i])
+        assert all(r.length == 2048 for r in all_ if r.piece > 0)
+    for all_ in by_seq.values():
+        at = 0
+        for r in sorted(all_, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert packing.pack_documents(none, BYTES).collect() == []
+
+
+def test_vector_best_fit_holds_every_capacity():
+    lengths = np.array(random.Random(1).choices(range(1, 101), k=500))
+    for rule in ("norm", "dot"):
+        capacity = packing.Capacity(100, 5, 100.0**2 * 0.8 + 2500, rule=rule)
+        bins, offsets = packing.best_fit(lengths[lengths <= 95], capacity)
+        for b in range(bins.max() + 1):
+            own = lengths[lengths <= 95][bins == b]
+            assert own.sum() <= 100 and len(own) <= 5 and (own**2.0).sum() <= capacity.attention + 1e-6
+    bins, _ = packing.best_fit(lengths, packing.Capacity(100, 100, 100.0**2))
+    assert bins.max() + 1 <= 1.02 * lengths.sum() / 100 + 1
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([101]), packing.Capacity(100, 5, 1e9))
+
+
+def test_cached_tokens_equal_the_tokenizer():
+    t, r = packing.Tokeniser(BYTES), random.Random(2)
+    for _ in range(3000):
+        text = "".join(r.choice([*"ab 'st\n\t\r　\xa0é1$.", "<|endoftext|>", "'ll"]) for _ in range(r.randint(0, 30)))
+        assert t.ids(text) == t.whole(text)
+
+
+# --- licenses, secrets, quality --------------------------------------------------------------------------------------
+
+
+def test_license_scan(spark, docs, none):
+    mit = license_scan.TEMPLATES["MIT text"]
+    changed = mit.replace("without restriction", "wholly without any restriction").replace("publish, ", "").lower()
+    rows = [(1, f"x\n{mit} y"), (2, f"intro {changed}"), (3, mit[:200]), (4, "Released under the MIT License. And: Released under the MIT License."), (5, None), (6, "no such thing " * 500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in license_scan.license_findings(table).collect():
+        got[r.doc_id].append(r)
+    assert [(r.license, r.coverage) for r in got[1]] == [("MIT text", 1.0)]
+    assert rows[0][1][got[1][0].start : got[1][0].end] == mit.rstrip(".")
+    assert got[2][0].license == "MIT text" and 0.9 < got[2][0].coverage < 1
+    assert 3 not in got and 5 not in got and 6 not in got and [r.license for r in got[4]] == ["MIT line", "MIT line"]
+    assert license_scan.license_findings(docs).collect() == [] and license_scan.license_findings(none).collect() == []
+
+
+def test_winnowing_keeps_a_shared_run():
+    r = random.Random(4)
+    words = [f"w{r.randrange(30)}" for _ in range(400)]
+    n = license_scan.K + license_scan.WINDOW - 1
+    prints = {int(license_scan.grams(words)[i]) for i in license_scan.winnowed(license_scan.grams(words))}
+    for a in range(0, 390):
+        part = license_scan.grams(["q", *words[a : a + n], "z"])
+        own = {int(part[i]) for i in license_scan.winnowed(part)}
+        assert own & prints
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.labelled(spark, 1500))
+
+
+def test_secret_forest_on_held_out_findings(forest):
+    held = secret_scan._labelled(1000, 99)
+    p = forest.probability(np.array([secret_scan.features(*r[:4]) for r in held]))
+    assert ((p >= 0.5) == np.array([r[4] for r in held])).mean() > 0.97
+
+
+def test_secret_scan_and_redaction(spark, forest, docs, none):
+    key = hashlib.sha1(b"k").hexdigest()
+    text = f'é token = "{key}" and card 4465758382889437 end'
+    table = spark.createDataFrame([(1, text, "a", 1), (2, None, None, 1), (3, "", "b", 1)], "doc_id long, text string, source string, start int")
+    found = [r for r in secret_scan.secret_findings(table, forest).collect() if r.is_secret]
+    assert [(r.doc_id, text[r.start : r.end], r.candidate_sha256) for r in found] == [(1, key, hashlib.sha256(key.encode()).hexdigest())]
+    out = by_id(table.withColumn("text", secret_scan.redacted(F.col("text"), F.col("source"), forest)))
+    assert out[1].text == text.replace(key, "[SECRET]") and out[2].text is None and out[3].text == ""
+    assert secret_scan.secret_findings(docs, forest).filter("is_secret").collect() == []
+    assert secret_scan.secret_findings(none, forest).collect() == []
+
+
+def labelled_docs(spark, n):
+    r = random.Random(8)
+    words = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        bad = r.random() < (0.6 if i % 5 == 0 else 0.1)
+        text = " ".join(r.choice(words) + ("###" if bad else "") for _ in range(60)) + (" nasty" if i % 11 == 0 else "")
+        rows.append((i, text, f"host{i % 5}", r.choice(["en", "de"]), int(not bad), int(i % 11 == 0)))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, q int, t int")
+
+
+def test_quality_classifier_on_held_out_documents(spark):
+    all_ = labelled_docs(spark, 600)
+    labels = all_.filter("doc_id % 2 = 0").selectExpr("doc_id", "q as quality", "t as toxic")
+    got = by_id(quality_classifier.classify(all_.drop("q", "t"), labels.unionByName(labels.limit(5))))
+    truth = by_id(all_)
+    right = [got[i].kept == bool(truth[i].q and not truth[i].t) for i in truth if i % 2]
+    assert np.mean(right) > 0.95
+    sites = {(r.host, r.prior_quality) for r in got.values()}
+    assert max(p for h, p in sites if h == "host0") < min(p for h, p in sites if h == "host1")
+    kept = quality_classifier.keep_documents(all_.drop("q", "t"), labels)
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept} and kept.columns == all_.columns[:4]
+
+
+def test_quality_classifier_edges(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    assert len(quality_classifier.classify(docs, labels).collect()) == docs.count()
+    assert quality_classifier.classify(none, labels.filter("false")).collect() == []
+
+
+# --- top-k -----------------------------------------------------------------------------------------------------------
+
+
+def brute_top(rows, k):
+    clean = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for q, qv in {(i, tuple(v)) for i, v in clean if i % 100 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in clean if i != q and len(v) == len(qv))[:k]
+        out |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    return out
+
+
+def test_top_k_against_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(0, 0.2, 8).astype("f4").tolist()) for i in range(420)]
+    rows += [(i, rows[7][1]) for i in range(500, 560)] + [(600, rows[7][1]), (600, rows[7][1]), (7, rows[7][1])]
+    rows += [(700, None), (701, [1.0, None] * 4), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (800, [0.5, -0.25]), (801, [1.5, 2.0]), (900, []), (None, rows[0][1]), (1000, [0.0] * 8)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(4)
+    monkeypatch.setattr(bit_sliced_topk, "BLOCK_ROWS", 100)
+    for slices in (1, 4):
+        monkeypatch.setattr(bit_sliced_topk, "SLICES", slices)
+        got = [tuple(x) for x in bit_sliced_topk.top_k(table, F.col("id") % 100 == 0).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_top(rows, 10)
+    assert bit_sliced_topk.top_k(table.filter("false"), F.col("id") % 100 == 0).collect() == []
