@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spandrel.plans import receipt_queries
+
 FLAGSHIP = "r1_topk_bigram"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+PARTS = (receipt_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
