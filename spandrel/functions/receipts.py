@@ -31,8 +31,14 @@ def date(x: Column) -> Column:
 
 
 def corpus_date(x: Column) -> Column:
-    """yyyy-MM-dd by the first of six formats that reads the text."""
-    return F.date_format(F.coalesce(*(F.try_to_date(x, f) for f in CORPUS_DATES)), "yyyy-MM-dd")
+    """yyyy-MM-dd by the first of six formats that reads the text; years of two digits from 69 on are of the last
+    century."""
+
+    def read(f: str) -> Column:
+        d = F.try_to_date(x, f)
+        return d if "yyyy" in f else F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
+
+    return F.date_format(F.coalesce(*map(read, CORPUS_DATES)), "yyyy-MM-dd")
 
 
 def amount(x: Column) -> Column:

@@ -16,6 +16,11 @@ def to_halfwidth(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once: a column named inside an inner function would be made anew there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(x: Column, ascii_only: bool = False) -> Column:
     """Canonical form, white space collapsed, upper case; an empty text is null."""
     x = x if ascii_only else to_halfwidth(x)

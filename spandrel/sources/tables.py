@@ -21,3 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder; column pruning and filters reach the scan."""
     importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores if it comes in fewer parts than there are, as small files do; large inputs stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
