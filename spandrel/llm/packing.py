@@ -33,7 +33,8 @@ from spandrel.llm.common import staged
 #: A text is cut before blanks and line ends; no token spans such a cut, see `Tokeniser.ids`.
 PART = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-CACHE_PARTS = 150_000
+#: Parts in the newer cache of a worker, about 100 MB; the older one holds as many at most.
+CACHE_PARTS = 500_000
 CACHE_CHARS = 64
 #: Pieces that one shard packs.
 SHARD = 20_000
