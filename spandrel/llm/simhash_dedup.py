@@ -9,6 +9,12 @@ differ in at most those two bits, so all of them link to the group's smallest an
 
 Components come from alternating large-star and small-star steps over the links, in the shared folder between steps.
 Equal fingerprints are one node, so copies are never paired.
+
+keep_first, the pipeline's stage, has a contract of its own: documents whose sets of 5-word shingles have a Jaccard
+similarity of at least 0.8 link. Their fingerprints differ in some 10 of 64 bits, too many for deletion variants. Here
+candidates share a band, that is BAND least hashes of a set (at 0.8, 99.96 % of pairs share one of BANDS), and each is
+compared exactly. In a band with more than FRAME documents each is compared with its neighbours in the order of the
+rotated fingerprints.
 """
 
 from __future__ import annotations
@@ -32,17 +38,32 @@ SHINGLE = 3
 FRAME = 32
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: keep_first: words of a shingle, and the similarity that links, as a fraction.
+COPY_SHINGLE, ALIKE = 5, (4, 5)
+BANDS, BAND = 20, 5
+#: Neighbours that are compared in a band of more than FRAME documents, in each of four rotations.
+NEIGHBOURS = 8
+ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+XORS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits: each set if it is set in over half the hashes of the text's word shingles, repeats included. Fewer words
-    than a shingle make one of the whole; no words give zero."""
+def shingles(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's word shingles, repeats included. Fewer words than a shingle make one of the whole."""
     words = text.lower().split()  # on bytes: A-Z only, and exactly the white space \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - size + 1)
     grams = zip(*(words[i:] for i in range(size)), strict=False) if len(words) >= size else [words]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(seed)), np.uint64, n)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
+    """64 bits: each set if it is set in over half the hashes of the text's shingles; no words give zero."""
+    return majority(shingles(text, size, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for a in range(0, n, BLOCK):
         counts += np.unpackbits(hashes[a : a + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -134,15 +155,63 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class left, that of the smallest id (of equal ids, any one row)."""
-
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint((t or "").encode(), size) for t in texts], np.uint64).view(np.int64))
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"), F.struct("*").alias("row"))
-    rows = staged(numbered, "numbered")
-    few = rows.select("number", "id", "fp")
-    first = few.join(classes(few), "fp").groupBy("root").agg(F.min(F.struct("id", "number")).alias("first")).select("first.number")
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of BAND least values of a set under its own permutations."""
+    least = np.full(BANDS * BAND, ONES, np.uint64)
+    for a in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[a : a + 1024, None] ^ XORS) * FACTORS).min(axis=0), out=least)
+    out = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b) with a > b: nodes (node, fp, bands) that share a band."""
+    turn = (F.col("band") % 4 * 16).cast("int")
+    left, right = F.call_function("shiftleft", F.col("fp"), turn), F.call_function("shiftrightunsigned", F.col("fp"), 64 - turn)
+    banded = nodes.select("node", "fp", F.posexplode("bands").alias("band", "sig")).withColumn("turned", left.bitwiseOR(right))
+    group = Window.partitionBy("band", "sig")
+    before = F.collect_list("node").over(group.orderBy("turned", "node").rowsBetween(-(FRAME - 1), -1))
+    read = banded.select("node", F.count(F.lit(1)).over(group).alias("n"), before.alias("before")).filter((F.col("n") > 1) & (F.size("before") > 0))
+    met = F.when((F.col("n") <= FRAME) | (F.size("before") <= NEIGHBOURS), F.col("before")).otherwise(F.slice("before", -NEIGHBOURS, NEIGHBOURS))
+    pairs = read.select("node", F.explode(met).alias("x"))
+    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose `sets` (node, hashes) are similar enough, compared exactly."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    all_ = F.size("of_a") + F.size("of_b") - F.col("shared")
+    return both.filter(F.col("shared") * ALIKE[1] >= all_ * ALIKE[0]).select("a", "b")
+
+
+def keep_first(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each class of near copies left, that of the smallest id (of equal ids, any one row).
+    Equal sets of shingles are one node; texts without words are copies of each other."""
+
+    @F.pandas_udf("copy binary, fp long, bands array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            hashes = np.unique(shingles((t or "").encode(), size))
+            rows.append((xxhash.xxh3_128_digest(hashes.tobytes()), _signed(majority(hashes)), bands(hashes)))
+        return pd.DataFrame(rows, columns=["copy", "fp", "bands"])
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles((t or "").encode(), size)).view(np.int64) for t in texts], dtype=object)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("sketch"), F.struct("*").alias("row"))
+    rows = staged(numbered.select("number", "id", "sketch.*", "row"), "numbered")
+    nodes = staged(rows.groupBy("copy", "fp", "bands").agg(F.min("number").alias("node")), "copies")
+    pairs = staged(candidates(nodes), "candidates")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+    texts = rows.select("number", F.col(f"row.{text_col}").alias("text")).join(used, "number", "left_semi")
+    sets = staged(texts.select(F.col("number").alias("node"), hashes("text").alias("hashes")), "sets")
+    roots = components(alike(pairs, sets))
+    rooted = nodes.select("copy", "node").join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
+    first = rows.select("number", "id", "copy").join(rooted, "copy").groupBy("root").agg(F.min(F.struct("id", "number")).alias("first")).select("first.number")
     return rows.join(first, "number", "left_semi").select("row.*")

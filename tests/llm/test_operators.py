@@ -144,6 +144,33 @@ def test_links_find_every_pair_also_in_large_groups(spark):
     assert all(k == min(order[x] for x in g) for k, g in groups.items())
 
 
+def test_keep_first_finds_planted_near_copies(spark):
+    r = random.Random(7)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    jaccard = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    fresh = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts, gone = [], set()
+    for i in range(300):
+        base = fresh(200)
+        copy = list(base)
+        for at in r.sample(range(200), r.choice([1, 2, 3, 4, 5, 6, 8, 12])):
+            copy[at] = "changed"
+        texts += [base, copy]
+        if jaccard(base, copy) >= 0.8:
+            gone.add(2 * i + 1)
+    crowd = fresh(200)  # more near copies of one text than a frame holds
+    first = len(texts)
+    texts.append(crowd)
+    for _ in range(150):
+        at = r.randrange(200)
+        texts.append([*crowd[:at], f"new{at}", *crowd[at + 1 :]])
+    gone |= set(range(first + 1, len(texts)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in simhash_dedup.keep_first(docs).collect()}
+    assert 100 < len([i for i in gone if i < first]) < 290
+    assert set(range(len(texts))) - kept == gone
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 
