@@ -356,6 +356,16 @@ def test_quality_classifier_edges(spark, docs, none):
     assert quality_classifier.classify(none, labels.filter("false")).collect() == []
 
 
+def test_quality_classifier_fit_keeps_words_apart(spark):
+    text = " ".join(f"word{i}" for i in range(30_000))
+    row = quality_classifier.hashed(spark.createDataFrame([(text,)], "text string")).first()
+    assert row.words_hashed.numNonzeros() > 22_000
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(40)], "id long, quality int, toxic int")
+    texts = labels.selectExpr("id", "concat('plain ', if(id % 2 = 0, 'bad', 'good')) as text").repartition(8)
+    fitted = quality_classifier.fit(texts, labels)
+    assert all(e.model.getMaxIter() == 60 and e.model.numFeatures == 1 << 16 for e in fitted)
+
+
 # --- top-k -----------------------------------------------------------------------------------------------------------
 
 
