@@ -4,7 +4,8 @@ Words of templates and texts are lower-cased runs of letters and digits (a "." b
 a template are hashed, and of each WINDOW neighbouring hashes the smallest is its fingerprint; the inverted index maps
 fingerprints to (template, place). A text's windows are winnowed alike, so a shared run of K + WINDOW - 1 words always
 shares a fingerprint. Hits of one template on neighbouring diagonals make a candidate, which a banded local alignment
-of the words around it turns into matched words, coverage of the template and the span of characters.
+of the words around it turns into a segment. Segments of a template that follow each other are chained into a finding:
+matched words, coverage of the template, the span of characters, and whether it is whole or partial.
 
 The index holds the templates only; it does not grow with the data and travels with the task. Texts are read in one
 narrow pass. Defined results: null and empty texts have no findings; repeated rows are scanned each; a template that
@@ -37,7 +38,12 @@ def band_of(words: int) -> int:
 
 
 
+#: A finding that covers so much of its template is whole, else partial.
 COVERAGE = 0.75
+#: Matched words of a segment at least: a run of so many words always shares a fingerprint.
+LEAST = K + WINDOW - 1
+#: Template words that two segments of a chain may share; they count once.
+OVERLAP = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -110,25 +116,47 @@ class Index:
                     last = d
         return out
 
-    def scan(self, text: str) -> list[tuple[str, int, int, int, float]]:
-        """(template, start, end, matched words, coverage) of the findings, best of overlapping ones of a template."""
+    def scan(self, text: str) -> list[tuple[str, int, int, int, float, str]]:
+        """(template, start, end, matched words, coverage, verdict) of the findings, best of overlapping ones of a
+        template; its segments that follow each other in template and text are one finding."""
         words, spans = words_of(text)
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        found: dict[int, list[Segment]] = defaultdict(list)
         for t, d in self.candidates(words):
-            if (got := aligned(self.words[t], words, d)) and got[2] >= COVERAGE * len(self.words[t]):
+            if (got := aligned(self.words[t], words, d)) and got[2] >= LEAST:
                 found[t].append(got)
         out = []
         for t, all_ in found.items():
-            taken: list[tuple[int, int, int]] = []
-            for a, b, n in sorted(all_, key=lambda x: (-x[2], x[0])):
-                if all(b <= x[0] or a >= x[1] for x in taken):
-                    taken.append((a, b, n))
-            out += [(self.names[t], spans[a][0], spans[b - 1][1], n, n / len(self.words[t])) for a, b, n in taken]
+            size = len(self.words[t])
+            taken: list[Segment] = []
+            for x in sorted(all_, key=lambda x: (-x[2], x[0])):
+                if all(x[1] <= y[0] or x[0] >= y[1] for y in taken):
+                    taken.append(x)
+            for a, b, n in chained(taken, size):
+                verdict = "whole" if n >= COVERAGE * size else "partial"
+                out.append((self.names[t], spans[a][0], spans[b - 1][1], n, n / size, verdict))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def aligned(template: list[str], words: list[str], diagonal: int) -> tuple[int, int, int] | None:
-    """(first word, end, matched words) of the best local alignment of the template within its band of a diagonal."""
+#: First word and end in the text, matched words, first word and end in the template.
+Segment = tuple[int, int, int, int, int]
+
+
+def chained(segments: list[Segment], size: int) -> list[tuple[int, int, int]]:
+    """(first word, end, matched words) of chains of segments that do not overlap in the text: in the order of the text,
+    each joins the open chain whose template part ends last before its own, if no more than `size` words lie between."""
+    chains: list[list[int]] = []  # first word, end, matched words, end in the template
+    for a, b, n, i, j in sorted(segments):
+        open_ = [c for c in chains if c[3] <= i + OVERLAP and a - c[1] <= size]
+        if open_:
+            c = max(open_, key=lambda c: c[3])
+            c[1], c[2], c[3] = b, min(size, c[2] + n - max(0, c[3] - i)), j
+        else:
+            chains.append([a, b, n, j])
+    return [(a, b, n) for a, b, n, _ in chains]
+
+
+def aligned(template: list[str], words: list[str], diagonal: int) -> Segment | None:
+    """The best local alignment of the template within its band of a diagonal."""
     best, cell, band = 0, None, band_of(len(template))
     width = 2 * band + 1
     score = [[0] * width for _ in range(len(template) + 1)]
@@ -150,7 +178,7 @@ def aligned(template: list[str], words: list[str], diagonal: int) -> tuple[int,
     if cell is None:
         return None
     i, k = cell
-    end, matched, start = i + diagonal + k - band + 1, 0, 0
+    end, matched, start, until = i + diagonal + k - band + 1, 0, 0, i + 1
     while i >= 0 and back[i + 1][k]:
         step, j = back[i + 1][k], i + diagonal + k - band
         if step == 1:
@@ -161,7 +189,7 @@ def aligned(template: list[str], words: list[str], diagonal: int) -> tuple[int,
             i, k = i - 1, k + 1
         else:
             start, k = j, k - 1
-    return start, end, matched
+    return start, end, matched, i + 1, until
 
 
 @lru_cache(4)
@@ -169,19 +197,20 @@ def _index(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(dict(templates))
 
 
-SCHEMA = [("license", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("matched_words", T.LongType()), ("coverage", T.DoubleType())]
+SCHEMA = [("license", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("matched_words", T.LongType()), ("coverage", T.DoubleType()), ("verdict", T.StringType())]
 
 
-def license_findings(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, license, start, end, matched_words, coverage): places in code points."""
+def license_findings(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", partial: bool = False) -> DataFrame:
+    """(id, license, start, end, matched_words, coverage, verdict): places in code points. Partial findings come only
+    with `partial`, as in the registered query."""
     chosen = tuple((templates or TEMPLATES).items())
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in SCHEMA)])
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(chosen)
         for batch in batches:
-            rows = [(i, *x) for i, t in enumerate(batch.column(1)) for x in index.scan(t.as_py() or "")]
+            rows = [(i, *x) for i, t in enumerate(batch.column(1)) for x in index.scan(t.as_py() or "") if partial or x[-1] == "whole"]
             if rows:
                 at, *columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], schema.names)

@@ -13,7 +13,7 @@ from spandrel.sources.tables import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_findings(table(spark, sf_dir, "documents"))
+    return license_scan.license_findings(table(spark, sf_dir, "documents"), partial=True)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

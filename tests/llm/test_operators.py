@@ -292,6 +292,22 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_findings(docs).collect() == [] and license_scan.license_findings(none).collect() == []
 
 
+def test_license_scan_chains_segments_and_reports_parts(spark):
+    mit = license_scan.TEMPLATES["MIT text"]
+    words = mit.split()
+    half = len(words) // 2
+    footer = " ".join(f"footer{i}" for i in range(40))
+    broken = " ".join([*words[:half], footer, *words[half:]])
+    table = spark.createDataFrame([(1, broken), (2, mit[:200]), (3, f"{mit} {footer} {mit}")], "doc_id long, text string")
+    whole = license_scan.license_findings(table).filter("doc_id = 1").collect()
+    assert [(r.license, r.coverage, r.verdict) for r in whole] == [("MIT text", 1.0, "whole")]
+    assert broken[whole[0].start : whole[0].end] == broken.rstrip(".")
+    got = [r for r in license_scan.license_findings(table, partial=True).collect() if r.license == "MIT text"]
+    part = [r for r in got if r.doc_id == 2]
+    assert [(r.verdict, r.start) for r in part] == [("partial", 0)] and 0.1 < part[0].coverage < 0.5
+    assert [r.coverage for r in got if r.doc_id == 3] == [1.0, 1.0]
+
+
 def test_winnowing_keeps_a_shared_run():
     r = random.Random(4)
     words = [f"w{r.randrange(30)}" for _ in range(400)]
