@@ -267,11 +267,35 @@ def test_vector_best_fit_holds_every_capacity():
         packing.best_fit(np.array([101]), packing.Capacity(100, 5, 1e9))
 
 
-def test_cached_tokens_equal_the_tokenizer():
+def test_tokens_equal_the_library():
     t, r = packing.Tokeniser(BYTES), random.Random(2)
+    assert t.merging is not None
     for _ in range(3000):
         text = "".join(r.choice([*"ab 'st\n\t\r　\xa0é1$.", "<|endoftext|>", "'ll"]) for _ in range(r.randint(0, 30)))
         assert t.ids(text) == t.whole(text)
+    for c in [*range(0x3000), *range(0xFE00, 0x10000), *range(0x1F300, 0x1F700)]:
+        text = f"a{chr(c)}b {chr(c)} 1{chr(c)}!{chr(c)}{chr(c)}\n{chr(c)}'s"
+        assert t.ids(text) == t.whole(text)
+    # every token merges to itself, so no pair but its own can make it
+    vocabulary = t.model.get_vocab(with_added_tokens=False)
+    as_byte = {c: b for b, c in packing.byte_signs().items()}
+    for token, i in vocabulary.items():
+        raw = bytes(as_byte[c] for c in token)
+        text = raw.decode("utf-8", "ignore")
+        if text.encode() == raw and len(t.model.pre_tokenizer.pre_tokenize_str(text)) == 1:
+            assert t.model.encode(text, add_special_tokens=False).ids == [i]
+
+
+def test_packing_under_capacities_that_bind(docs):
+    capacity = packing.Capacity(2048, 3, 1.5 * 1024**2, piece=1024)
+    rows = collections.defaultdict(list)
+    for r in packing.pack_documents(docs, BYTES, capacity, shard=50).collect():
+        rows[r.sequence_id].append(r)
+    for all_ in rows.values():
+        n = [r.length for r in all_]
+        left = (2048 - sum(n), 3 - len(n), capacity.attention - sum(x * x for x in n))
+        assert min(left) >= 0 and all(tuple(r)[-3:] == left for r in all_)
+    assert max(len(x) for x in rows.values()) == 3 and max(sum(r.length for r in x) for x in rows.values()) < 2048
 
 
 # --- licenses, secrets, quality --------------------------------------------------------------------------------------
