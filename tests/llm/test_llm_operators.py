@@ -431,7 +431,7 @@ def test_quality_classifier_fit_keeps_words_apart(spark):
 
 
 def brute_top(rows, k):
-    clean = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    clean = [(i, [int(np.floor(1024 * x)) if abs(x) < 2**53 else int(x) * 1024 for x in map(float, v)]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, qv in {(i, tuple(v)) for i, v in clean if i % 100 == 0}:
         best = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in clean if i != q and len(v) == len(qv))[:k]
@@ -439,15 +439,29 @@ def brute_top(rows, k):
     return out
 
 
-def test_top_k_against_brute_force(spark, monkeypatch):
+def test_top_k_against_brute_force(spark):
     r = np.random.default_rng(3)
     rows = [(i, r.normal(0, 0.2, 8).astype("f4").tolist()) for i in range(420)]
     rows += [(i, rows[7][1]) for i in range(500, 560)] + [(600, rows[7][1]), (600, rows[7][1]), (7, rows[7][1])]
     rows += [(700, None), (701, [1.0, None] * 4), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (800, [0.5, -0.25]), (801, [1.5, 2.0]), (900, []), (None, rows[0][1]), (1000, [0.0] * 8)]
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(4)
-    monkeypatch.setattr(bit_sliced_topk, "BLOCK_ROWS", 100)
-    for slices in (1, 4):
-        monkeypatch.setattr(bit_sliced_topk, "SLICES", slices)
-        got = [tuple(x) for x in bit_sliced_topk.top_k(table, F.col("id") % 100 == 0).collect()]
-        assert len(got) == len(set(got)) and set(got) == brute_top(rows, 10)
+    want = brute_top(rows, 10)
+    for block_rows, slices, query_rows in ((100, 1, 3), (64, 4, 2), (8192, 6, 4096)):
+        got = [tuple(x) for x in bit_sliced_topk.top_k(table, F.col("id") % 100 == 0, block_rows=block_rows, slices=slices, query_rows=query_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     assert bit_sliced_topk.top_k(table.filter("false"), F.col("id") % 100 == 0).collect() == []
+
+
+def test_top_k_is_exact_for_numbers_of_any_size(spark):
+    big = float(1 << 20)
+    rows = [(0, [1.0, 0.0]), (1, [2e6, 0.0]), (2, [5.0, 0.0]), (3, [-2e6, 3.0]), (100, [-3e6, 1.0]), (4, [big, big]), (5, [1e300, 0.0][::-1]), (6, [0.25, 1.0])]
+    rows = [(i, v) for i, v in rows if i != 5] + [(5, [0.0, -1e300])]
+    sixteen = [(10 + i, [big / 4 - i] * 16) for i in range(30)] + [(200, [big / 4] * 16), (300, [1.0] * 64), *((400 + i, [big + i] * 64) for i in range(1, 9))]
+    table = lambda rs: spark.createDataFrame(rs, "vec_id long, embedding array<double>").repartition(3)
+    for rs in (rows[:-1], sixteen):
+        got = {tuple(x) for x in bit_sliced_topk.top_k(table(rs), F.col("id") % 100 == 0, block_rows=10).collect()}
+        assert got == brute_top(rs, 10)
+    # a score below 64 bits is not among the best 5 of query 0, one above is an error
+    assert {tuple(x) for x in bit_sliced_topk.top_k(table(rows), F.col("id") == 100, k=5).collect()} == {x for x in brute_top(rows, 5) if x[0] == 100}
+    with pytest.raises(Exception, match="64 bits"):
+        bit_sliced_topk.top_k(table([(0, [1e300]), (1, [1.0])]), F.col("id") == 0).collect()
