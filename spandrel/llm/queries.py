@@ -42,7 +42,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled(spark))
+    forest = secret_scan.train(secret_scan.labelled(spark), public_tokenizers.path("piece_bpe_32k.model"))
     return secret_scan.secret_findings(table(spark, sf_dir, "documents"), forest)
 
 

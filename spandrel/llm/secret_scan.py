@@ -1,15 +1,20 @@
 """Secret scans: candidates by pattern, a random forest to remove false positives.
 
-A candidate is a run of at least LEAST key characters with a digit, or of mixed case. Its features are its length, its character
-transitions, how much of it dictionary words cover, the path the text comes from, and the words beside it. The forest
-is trained by Spark on labelled findings; its trees (their number and depth are parameters, so their size is bounded)
-are read off once and travel with the scan, which is then one narrow pass over whole texts.
+Candidates come by shape and by context: runs of at least LEAST key characters, issued keys, web tokens and private-key
+blocks wherever they stand, passwords within URLs, and whatever is assigned to a name that speaks of secrets, however
+short and of whatever characters. Where candidates overlap, the more telling kind stands for all. Their features are
+length, character transitions, how much of them dictionary words cover, the path the text comes from, and the words
+beside them. The forest is trained by Spark on labelled findings; its trees (their number and depth are parameters, so
+their size is bounded) are read off once and travel with the scan, which is then one narrow pass over whole texts.
+
+The dictionary is the whole words of a public tokenizer's vocabulary, read from its file by each worker.
 
 Labelled findings are rows (before, candidate, after, path, label). Where a project has none of its own, `labelled()`
-makes them: keys of the usual shapes in the usual places, against identifiers, checksums, numbers, placeholders and
-long words. Labels have no other source here.
+makes them: secrets of the usual shapes in the usual places, against identifiers, checksums, numbers, placeholders,
+settings, prose and long words. Labels have no other source here.
 
-Defined results: null and empty texts have no findings; null paths are empty; repeated rows are scanned each; other
+Defined results: null and empty texts have no findings; null paths are empty; repeated rows are scanned each; equal
+spans are one candidate; a probability of exactly the threshold is a secret; an empty table has no findings; other
 columns are not read by the scan and are kept by the redaction.
 """
 
@@ -21,10 +26,13 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import sentencepiece
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +41,17 @@ from pyspark.sql import types as T
 
 LEAST = 16
 KEY = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-#: How issued keys of well-known services start.
-ISSUED = re.compile(r"AKIA|ASIA|gh[pousr]_|glpat-|sk_live_|sk-|xox[abp]-|npm_|AIza|eyJ")
-HAS_DIGIT, HAS_LOWER, HAS_UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
+#: How issued keys of well-known services look, and the forms of web tokens, private keys and URLs.
+ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|glpat-|sk_live_|sk-|xox[abp]-|npm_|AIza)[A-Za-z0-9_\-]{16,}")
+WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}")
+PRIVATE = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?-----END \1-----", re.DOTALL)
+IN_URL = re.compile(r"://[^\s/:@]*:([^\s/@]+)@")
+#: Names that speak of secrets, before a sign of assignment; what is assigned, in quotes or up to a blank.
+NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)[a-z0-9_\-]*[\"'\])]*\s*$")
+SIGN = re.compile(r"=>|:=|[=:]")
+VALUE = re.compile(r"\s*(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"',;]{4,}))")
+#: Kinds of candidates, the most telling first.
+KINDS = ("private", "web_token", "issued", "in_url", "assigned", "run")
 #: Characters of context on either side.
 BESIDE = 40
 #: Words that name secrets, words that name harmless identifiers, and common words of code and prose.
@@ -46,17 +62,48 @@ WORDS = (
     "file data value type class test main code list item page text line word string number object array model view table index query service config system server client request "
     "response content document process function method return error default example sample placeholder change your here"
 ).split()
-DICTIONARY = re.compile("|".join(sorted((w for w in {*WORDS, *SECRET_WORDS} if len(w) > 2), key=len, reverse=True)))
+#: Letters of a dictionary word at least.
+WORD_LETTERS = 4
 HARMLESS_PATHS = re.compile(r"(?i)test|example|sample|doc|mock|fixture|lock")
 PLACEHOLDER = re.compile(r"(?i)x{4,}|example|placeholder|your|changeme|0{6,}|1234567")
 FEATURES = (
     "length", "digits", "uppers", "lowers", "signs", "entropy", "distinct", "hex", "class_changes", "letter_pairs", "vowel_changes", "longest_letters", "covered", "placeholder", "issued",
-    "path_harmless", "assigned", "quoted", "secret_beside", "harmless_beside", "words_beside",
+    "path_harmless", "assigned", "quoted", "secret_beside", "harmless_beside", "words_beside", *(f"kind_{k}" for k in KINDS),
 )
-TREES, DEPTH, SEED, FINDINGS = 24, 8, 7, 4000
+TREES, DEPTH, SEED, FINDINGS = 24, 10, 7, 6000
+
+
+@lru_cache(2)
+def dictionary(path: str) -> ahocorasick.Automaton:
+    """The whole words of a SentencePiece vocabulary, in lower case, as one automaton."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = (model.id_to_piece(i) for i in range(model.vocab_size()))
+    out = ahocorasick.Automaton()
+    for word in {n[1:].lower() for n in names if n.startswith("▁")}:
+        if len(word) >= WORD_LETTERS and word.isalpha():
+            out.add_word(word, len(word))
+    out.make_automaton()
+    return out
 
 
-def features(before: str, candidate: str, after: str, path: str) -> list[float]:
+def covered(low: str, words: ahocorasick.Automaton) -> int:
+    """Characters that dictionary words cover."""
+    n, end = 0, -1  # matches come by growing end
+    runs: list[list[int]] = []
+    for last, size in words.iter(low):
+        start = last - size + 1
+        while runs and runs[-1][0] >= start:
+            runs.pop()
+        if runs and runs[-1][1] >= start - 1:
+            runs[-1][1] = last
+        else:
+            runs.append([start, last])
+    for a, b in runs:
+        n, end = n + b - max(a, end + 1) + 1, b
+    return n
+
+
+def features(before: str, candidate: str, after: str, path: str, kind: str, words: ahocorasick.Automaton) -> list[float]:
     n = len(candidate)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in candidate]
     low = candidate.lower()
@@ -78,33 +125,53 @@ def features(before: str, candidate: str, after: str, path: str) -> list[float]:
         sum(len(x) - 1 for x in letters) / n,
         sum(a != b for a, b in zip(vowels, vowels[1:], strict=False)) / max(1, len(vowels)),
         max(map(len, letters), default=0) / n,
-        sum(len(x) for x in DICTIONARY.findall(low)) / n,
+        covered(low, words) / n,
         float(bool(PLACEHOLDER.search(candidate))),
-        float(bool(ISSUED.match(candidate))),
+        float(bool(ISSUED.search(candidate))),
         float(bool(HARMLESS_PATHS.search(path))),
         float(left.endswith(("=", ":", "=>"))),
         float(before.endswith(('"', "'")) and after.startswith(('"', "'"))),
         float(any(w in x for x in beside for w in SECRET_WORDS)),
         float(any(w == x for x in beside for w in HARMLESS_WORDS)),
         float(len(re.findall(r"\b[a-z]{2,}\b", near))),
+        *(float(kind == k) for k in KINDS),
     ]
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of the candidates of a text."""
-    out = []
-    for m in KEY.finditer(text):
-        x = m[0]
-        if HAS_DIGIT.search(x) or (HAS_LOWER.search(x) and HAS_UPPER.search(x, 1)):
-            out.append(m.span())
-    return out
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the candidates of a text, none of which overlap."""
+    found = [(m.start(), m.end(), "run") for m in KEY.finditer(text)]
+    for m in SIGN.finditer(text):
+        if NAMED.search(text[max(0, m.start() - BESIDE) : m.start()]) and (v := VALUE.match(text, m.end())):
+            found.append((*v.span(v.lastindex), "assigned"))
+    found += [(m.start(), m.end(), "issued") for m in ISSUED.finditer(text)]
+    if "eyJ" in text:
+        found += [(m.start(), m.end(), "web_token") for m in WEB_TOKEN.finditer(text)]
+    if "://" in text:
+        found += [(*m.span(1), "in_url") for m in IN_URL.finditer(text)]
+    if "-----BEGIN" in text:
+        found += [(m.start(), m.end(), "private") for m in PRIVATE.finditer(text)]
+    found.sort(key=lambda x: (KINDS.index(x[2]), x[0]))
+    taken: list[tuple[int, int, str]] = []
+    for kind in KINDS:  # spans of one kind are in order and never overlap
+        own, out, i = [x for x in found if x[2] == kind], [], 0
+        for x in own:
+            while i < len(taken) and taken[i][1] <= x[0]:
+                i += 1
+            if i == len(taken) or taken[i][0] >= x[1]:
+                if not out or out[-1][1] <= x[0]:
+                    out.append(x)
+        taken = sorted(taken + out)
+    return taken
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as arrays: feature (-1 at leaves), threshold, left and right node, probability of a secret at leaves."""
+    """Trees as arrays: feature (-1 at leaves), threshold, left and right node, probability of a secret at leaves; and
+    the file of the dictionary that its features count by."""
 
     trees: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
+    vocabulary: str
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -118,16 +185,23 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
-    """A forest from labelled findings (before, candidate, after, path, label)."""
+def train(findings: DataFrame, vocabulary: str, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
+    """A forest from labelled findings (before, candidate, after, path, label); vocabulary: the dictionary's file."""
 
     @F.pandas_udf("array<double>")
     def vector(before: pd.Series, candidate: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([features(b or "", c, a or "", p or "") for b, c, a, p in zip(before, candidate, after, path, strict=True)])
+        words = dictionary(vocabulary)
+        return pd.Series([features(b or "", c, a or "", p or "", kind_of(b or "", c, a or ""), words) for b, c, a, p in zip(before, candidate, after, path, strict=True)])
 
     rows = findings.filter(F.length("candidate") > 0).select(array_to_vector(vector("before", "candidate", "after", "path")).alias("features"), F.col("label").cast("double").alias("label"))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
-    return Forest(tuple(_nodes(t._call_java("rootNode")) for t in model.trees))
+    return Forest(tuple(_nodes(t._call_java("rootNode")) for t in model.trees), vocabulary)
+
+
+def kind_of(before: str, candidate: str, after: str) -> str:
+    """The kind under which the scan would find a labelled candidate in its place."""
+    a = len(before)
+    return next((k for start, end, k in candidates(before + candidate + after) if start < a + len(candidate) and end > a), "run")
 
 
 def _nodes(root) -> tuple[np.ndarray, ...]:
@@ -161,24 +235,42 @@ def _labelled(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
     word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
     prose = lambda k: " ".join(r.choice([word(), r.choice(WORDS)]) for _ in range(k))
 
+    name = lambda: r.choice(["", "api_", "client_", "aws_", "db_", "MY_"]) + r.choice(["token", "secret", "password", "passwd", "key", "auth_token", "access_key", "private_key"])
+    sign = lambda: r.choice([" = ", "=", ": ", ":", " => "])
+
+    def assigned(value: str, named: str = "") -> tuple[str, str, str]:
+        quote = r.choice(['"', "'", '"', ""]) if not re.search(r"[\s\"',;]", value) else '"'
+        named = named or name()
+        named = named.upper() if r.random() < 0.2 else named
+        return f"{prose(r.randint(0, 4))}{r.choice([chr(10), ' '])}{named}{sign()}{quote}", value, f"{quote}{r.choice(['', chr(10), ' ' + prose(3), '###', ','])}"
+
     def secret() -> tuple[str, str, str]:
-        kind = r.randint(0, 5)
+        kind = r.choice([*range(10), 6, 6])
         if kind < 2:  # issued keys betray themselves, wherever they stand
             value = "AK" + "IA" + some(upper + digits, 16) if kind else r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "npm_"]) + some(lower + upper + digits, r.randint(24, 40))
-            if r.random() < 0.5:
-                return f"{prose(r.randint(0, 6))} ", value, r.choice([f" {prose(4)}", "\n", ".", ""])
-        elif kind < 4:
+            return assigned(value) if r.random() < 0.5 else (f"{prose(r.randint(0, 6))}{r.choice([' ', '/', ' key:'])}", value, r.choice([f" {prose(4)}", "\n", ".", ""]))
+        if kind < 4:
             value = some("0123456789abcdef", r.choice([16, 18, 20, 24, 32, 40, 40, 64]))
-        elif kind == 4:
-            value = some(lower + upper + digits, r.randint(16, 48))
-        else:
-            value = some(lower + upper + digits + "+/", r.choice([24, 32, 44, 64])) + r.choice(["", "=", "=="])
-        name = r.choice(["", "api_", "client_", "aws_", "db_", "MY_"]) + r.choice(["token", "secret", "password", "key", "auth_token", "access_key", "private_key"])
-        quote, sign = r.choice(['"', "'", '"', ""]), r.choice([" = ", "=", ": ", ":", " => "])
-        return f"{prose(r.randint(0, 4))}{r.choice([chr(10), ' '])}{name}{sign}{quote}", value, f"{quote}{r.choice(['', chr(10), ' ' + prose(3), '###', ','])}"
+            return assigned(value.upper() if r.random() < 0.2 else value)
+        if kind == 4:
+            return assigned(some(lower + upper + digits, r.randint(16, 48)))
+        if kind == 5:
+            return assigned(some(lower + upper + digits + "+/", r.choice([24, 32, 44, 64])) + r.choice(["", "=", "=="]))
+        if kind == 6:  # passwords that people make
+            value = r.choice([some(lower + digits, r.randint(6, 11)), r.choice(WORDS) + some(digits, r.randint(1, 4)) + r.choice("!#$%&*") + r.choice(["", r.choice(WORDS).capitalize()]), some(lower, r.randint(16, 24)), "".join(r.sample(WORDS, r.randint(3, 4))), "".join(w.capitalize() for w in r.sample(WORDS, 2)) + some(digits + "!#$", 3)])
+            return assigned(value, r.choice(["", "", "password", "passwd", "pwd"]))
+        if kind == 7:
+            value = some(lower + upper + digits, r.randint(6, 14)) if r.random() < 0.7 else r.choice(WORDS) + some(digits, 3)
+            return f"{prose(3)} {r.choice(['postgres', 'mysql', 'amqp', 'https', 'redis'])}://{r.choice(WORDS)}:", value, f"@{r.choice(WORDS)}.{word()}{r.choice([':5432/db', '/', ''])}"
+        if kind == 8:
+            part = lambda k: some(lower + upper + digits + "-_", k)
+            return r.choice(["Authorization: Bearer ", f"{prose(2)} ", "token=", 'jwt = "']), f"eyJ{part(17)}.eyJ{part(r.randint(20, 60))}.{part(43)}", r.choice(["\n", '"', f" {prose(2)}"])
+        body = "\n".join(some(lower + upper + digits + "+/", 64) for _ in range(r.randint(2, 6)))
+        what = r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY"])
+        return f"{prose(2)}\n", f"-----BEGIN {what}-----\n{body}\n-----END {what}-----", "\n"
 
     def harmless() -> tuple[str, str, str]:
-        kind = r.randint(0, 6)
+        kind = r.randint(0, 9)
         if kind == 0:
             return f"{prose(3)} ", some(digits, r.choice([16, 18, 20])), f" {prose(2)}"
         if kind == 1:
@@ -193,10 +285,16 @@ def _labelled(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
             path = "/".join([*(r.choice(WORDS) for _ in range(4)), word() + some(digits, 2)]).ljust(LEAST, "s")
             return r.choice(["http://", "see ", "/"]), path, r.choice([".html", " ", "\n"])
         if kind == 5:
-            value = r.choice(["YOUR_API_KEY_HERE_123", "xxxxxxxxxxxxxxxxxxxx1", "EXAMPLE_TOKEN_000000", "changeme_changeme_1", "0000000000000000000"])
-            return f"{r.choice(['token', 'api_key', 'secret'])} = \"", value, '"'
+            value = r.choice(["YOUR_API_KEY_HERE_123", "xxxxxxxxxxxxxxxxxxxx1", "EXAMPLE_TOKEN_000000", "changeme_changeme_1", "0000000000000000000", "changeme", "********", "<password>", "${DB_PASSWORD}", "your-password"])
+            return f"{r.choice(['token', 'api_key', 'secret', 'password'])}{sign()}\"", value, '"'
+        if kind == 6:  # settings and prose after such names
+            value = r.choice(["None", "null", "true", "false", "required", "string", "string,", "optional", "self.token", "os.environ", "getpass()", "request.headers", "config.secret", r.choice(WORDS), word()])
+            return f"{prose(r.randint(0, 3))} {name()}{sign()}", value.rjust(4, "e"), r.choice([" " + prose(4), "\n", ")", ","])
+        if kind == 7:
+            return f"{prose(4)} ", "-".join(r.choice([word(), r.choice(WORDS)]) for _ in range(r.randint(3, 5))).ljust(LEAST, "e"), f" {prose(3)}"
         long_ = "".join(c for c in "".join(syllable() for _ in range(r.randint(6, 10))) if c.isascii())
-        return f"{prose(4)} ", (long_.capitalize() + some(digits, r.randint(1, 3))).ljust(LEAST, "e"), f" {prose(3)}"
+        tail = some(digits, r.randint(1, 3)) if kind == 8 else ""
+        return f"{prose(4)} ", (r.choice([long_, long_.capitalize(), long_.upper()]) + tail).ljust(LEAST, "e"), f" {prose(3)}"
 
     out = []
     for i in range(n):
@@ -208,11 +306,12 @@ def _labelled(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
 
 def scored(texts: list[str], paths: list[str], forest: Forest) -> list[tuple[int, int, int, float]]:
     """(row, start, end, probability) of all candidates of a batch."""
-    spans = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t)]
+    spans = [(i, *x) for i, t in enumerate(texts) for x in candidates(t)]
     if not spans:
         return []
-    x = np.array([features(texts[i][max(0, a - BESIDE) : a], texts[i][a:b], texts[i][b : b + BESIDE], paths[i]) for i, a, b in spans])
-    return [(*s, float(p)) for s, p in zip(spans, forest.probability(x), strict=True)]
+    words = dictionary(forest.vocabulary)
+    x = np.array([features(texts[i][max(0, a - BESIDE) : a], texts[i][a:b], texts[i][b : b + BESIDE], paths[i], kind, words) for i, a, b, kind in spans])
+    return [(*s[:3], float(p)) for s, p in zip(spans, forest.probability(x), strict=True)]
 
 
 def secret_findings(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
