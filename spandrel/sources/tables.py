@@ -24,6 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` dealt over all cores if it comes in fewer parts than there are, as small files do; large inputs stay."""
+    """`df` dealt over all cores if it is read from fewer files than there are cores; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
