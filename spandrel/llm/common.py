@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,25 +17,50 @@ WS = r"\x09-\x0D\x20"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary folder that goes with the process; on a cluster there is no safe guess, so that is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spandrel-')}"
-        sc.setCheckpointDir(at)
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spandrel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(f"file://{folder}")
         at = sc.getCheckpointDir()
     return at.rstrip("/")
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once as Parquet below the shared folder and read again: it cuts the lineage, survives lost
-    executors, and gives later joins true sizes."""
+    executors, and gives later joins true sizes. Folders of one application lie together (`stages_of`)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{stages_of(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stages_of(spark: SparkSession) -> str:
+    """The folder of everything that this application has staged."""
+    return f"{shared_dir(spark)}/spandrel-{spark.sparkContext.applicationId}"
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a staged frame that nothing will read again."""
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all that this application has staged; for the end of a job, when its results are written."""
+    _delete(spark, stages_of(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text column; an empty array for null, empty or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))

@@ -13,8 +13,8 @@ Equal fingerprints are one node, so copies are never paired.
 keep_first, the pipeline's stage, has a contract of its own: documents whose sets of 5-word shingles have a Jaccard
 similarity of at least 0.8 link. Their fingerprints differ in some 10 of 64 bits, too many for deletion variants. Here
 candidates share a band, that is BAND least hashes of a set (at 0.8, 99.96 % of pairs share one of BANDS), and each is
-compared exactly. In a band with more than FRAME documents each is compared with its neighbours in the order of the
-rotated fingerprints.
+compared exactly. In a band with more than FRAME documents each is compared with the band's first document, by which
+a crowd of copies of one text is connected, and with its neighbours in the order of the rotated fingerprints.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import staged, text_batches
+from spandrel.llm.common import discard, staged, text_batches
 
 SEED = 42
 SHINGLE = 3
@@ -126,6 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         next_ = large.join(small, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         next_ = staged(next_, "edges")
+        discard(edges)
         # done when every node has one edge and no node is both an end and a root
         parents = next_.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         loose = parents.filter("n > 1").select("a").unionByName(next_.select(F.col("b").alias("a")).distinct().join(parents.select("a"), "a", "left_semi"))
@@ -174,9 +175,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     banded = nodes.select("node", "fp", F.posexplode("bands").alias("band", "sig")).withColumn("turned", left.bitwiseOR(right))
     group = Window.partitionBy("band", "sig")
     before = F.collect_list("node").over(group.orderBy("turned", "node").rowsBetween(-(FRAME - 1), -1))
-    read = banded.select("node", F.count(F.lit(1)).over(group).alias("n"), before.alias("before")).filter((F.col("n") > 1) & (F.size("before") > 0))
-    met = F.when((F.col("n") <= FRAME) | (F.size("before") <= NEIGHBOURS), F.col("before")).otherwise(F.slice("before", -NEIGHBOURS, NEIGHBOURS))
-    pairs = read.select("node", F.explode(met).alias("x"))
+    read = banded.select("node", F.count(F.lit(1)).over(group).alias("n"), F.min("node").over(group).alias("first"), before.alias("before")).filter("n > 1")
+    near = F.when(F.size("before") <= NEIGHBOURS, F.col("before")).otherwise(F.slice("before", -NEIGHBOURS, NEIGHBOURS))
+    met = F.when(F.col("n") <= FRAME, F.col("before")).otherwise(F.array_append(near, F.col("first")))
+    pairs = read.select("node", F.explode(met).alias("x")).filter("node <> x")
     return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
 
 
