@@ -8,9 +8,13 @@
 3. Verdict. A document's posterior adds its evidence to the log odds of its path; it is kept if the odds of good
    quality are at least even, and, as labels mark toxic documents too, the odds of toxicity are not.
 
+The site columns are the caller's: `site_of` reads host and path from a URL. The table `documents` has no URL, so there the
+registered query and the pipeline take `source` as the host and `lang` as its path.
+
 Defined results: null, empty and blank texts have no words and are judged by the intercept and their site; null hosts
 and paths are sites of their own; repeated rows count and are judged each; labels repeated for one id count by their
-smallest values; without any labels of both kinds for a target its evidence is zero.
+smallest values; without any labels of both kinds for a target its evidence is zero; equal odds keep a document; an
+empty table has no verdicts; columns of the caller's are packed away, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from spandrel.llm.common import packed, staged, words_of
 TARGETS = ("quality", "toxic")
 #: Labelled documents that a fit reads at most, in the order of a hash of their ids.
 SAMPLE = 12_000
-BUCKETS = 1 << 16
+#: The largest prime below 2**16. With 2**16 a vector of coefficients takes over half a megabyte, which the JVM's
+#: collector treats as a huge object: a fit then leaves hundreds of megabytes of such vectors behind on the driver.
+BUCKETS = 65_521
 #: The weight of the sum of absolute coefficients. On held-out labels a larger one (0.0015) found 72 % of toxic documents,
 #: this one 92 %, with no more clean documents lost.
 REGULARISATION, ROUNDS, SEED = 0.0001, 60, 11
@@ -59,6 +65,12 @@ def hashed(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="word_list", outputCol="words_hashed").transform(rows).drop("word_list")
 
 
+def site_of(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a URL: the host in lower case, and the first part of the path; null where there is none."""
+    path = F.regexp_extract(F.parse_url(url, F.lit("PATH")), "^/([^/]+)/", 1)
+    return F.lower(F.parse_url(url, F.lit("HOST"))), F.nullif(path, F.lit(""))
+
+
 def known_labels(labels: DataFrame, id_col: str) -> DataFrame:
     """One row an id (null ids and labels of neither kind go)."""
     one = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
@@ -162,9 +174,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **names
     return judged(c.scores, c.table).withColumnRenamed("id", id_col)
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """The documents that the classifier keeps, with their own columns. Texts are scored a second time here, as that is
-    cheaper than to shuffle them or write them twice."""
-    c = learn(docs, labels, id_col, text_col, host_col, path_col)
+def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """The documents that the classifier keeps, with their own columns. Each text is scored once: rows are written with
+    their scores, from which the sites are learnt and the verdicts read."""
+    known = staged(known_labels(labels, id_col), "labels")
+    fitted = fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, sample)
     rows = packed(docs, id_col, text_col).select("*", F.col(f"row.{host_col}").cast("string").alias("host"), F.col(f"row.{path_col}").cast("string").alias("path"))
-    return judged(evidence(rows, c.fitted), c.table).filter("kept").select("row.*")
+    scored = staged(evidence(rows, fitted), "evidence")
+    table = sites(scored.drop("row"), known, fitted)
+    return judged(scored, table).filter("kept").select("row.*")
