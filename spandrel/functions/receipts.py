@@ -5,29 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spandrel.functions.text import bound, normalize_text, to_halfwidth
+
+#: Joins texts that travel as one; a control character, so that texts do not hold it.
+SEPARATOR = "\x1f"
 #: Patterns and weights of the formats.
 DMY = r"(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{4})"
 YMD = r"(\d{2,4})\s*[年/\-.]\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})\s*日?"
 CURRENCY = r"(?i)NT\$|NTD|TWD|RM|MYR|新台幣|新臺幣|\$|元|圓"
+BOX_CURRENCY = r"(?i)^(NT\$|NTD|TWD|RM|MYR|\$)\s*"
+BOX_AMOUNT = r"(?U)^-?\d{1,3}(,\d{3})*(\.\d+)?$|^-?\d+(\.\d+)?$"
+DOC_TYPES = ("e_invoice", "receipt")
 TAX_WEIGHTS = (1, 2, 1, 2, 1, 2, 4, 1)
 CORPUS_DATES = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yy", "dd MMM yyyy", "yyyyMMdd")
 
 
-def date(x: Column) -> Column:
-    """yyyy-MM-dd of a date in western or republican years, separated or run together; null if it is no date of 1990
-    to 2100. A four-digit year at the end beats one at the start."""
-    s = F.regexp_replace(F.trim(x), "中華民國|民國", "")
-    digits = F.regexp_replace(s, r"\D", "")
-    pick = lambda p, i: F.regexp_extract(s, p, i).cast("int")
-    part = lambda a, n: F.substring(digits, a, n).cast("int")
+def date(x: Column, ascii_only: bool = False) -> Column:
+    """yyyy-MM-dd of a date in western or republican years, separated or run together, full width or not; null if it is
+    no date of 1990 to 2100. A four-digit year at the end beats one at the start. `ascii_only` is for texts that have
+    been brought to half width already, as inside arrays."""
+
+    def written(s: Column) -> Column:
+        """The date's parts as year-month-day."""
+        digits = F.regexp_replace(s, r"\D", "")
+        pick = lambda p, *at: F.concat_ws("-", *(F.regexp_extract(s, p, i) for i in at))
+        part = lambda *cuts: F.concat_ws("-", *(F.substring(digits, a, n) for a, n in cuts))
+        return (
+            F.when(s.rlike(DMY), pick(DMY, 3, 2, 1)).when(s.rlike(YMD), pick(YMD, 1, 2, 3))
+            .when(F.length(digits) == 8, part((1, 4), (5, 2), (7, 2))).when(F.length(digits) == 7, part((1, 3), (4, 2), (6, 2)))
+        )
 
-    def by(dmy: int, ymd: int, eight: tuple[int, int], seven: tuple[int, int]) -> Column:
-        return F.when(s.rlike(DMY), pick(DMY, dmy)).when(s.rlike(YMD), pick(YMD, ymd)).when(F.length(digits) == 8, part(*eight)).when(F.length(digits) == 7, part(*seven))
+    def real(parts: Column) -> Column:
+        y, m, d = (F.get(parts, F.lit(i)).cast("int") for i in range(3))
+        year = F.when(y < 1000, y + 1911).otherwise(y)
+        text = F.concat_ws("-", *(F.lpad(c.cast("string"), n, "0") for c, n in ((year, 4), (m, 2), (d, 2))))
+        return F.when(year.between(1990, 2100), F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
 
-    y, m, d = by(3, 1, (1, 4), (1, 3)), by(2, 2, (5, 2), (4, 2)), by(1, 3, (7, 2), (6, 2))
-    y = F.when(y < 1000, y + 1911).otherwise(y)
-    real = F.try_to_date(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
-    return F.when(y.between(1990, 2100), F.date_format(real, "yyyy-MM-dd"))
+    s = F.regexp_replace(F.trim(x if ascii_only else to_halfwidth(x)), "中華民國|民國", "")
+    return bound(F.split(bound(s, written), "-"), real)
 
 
 def corpus_date(x: Column) -> Column:
@@ -41,19 +56,27 @@ def corpus_date(x: Column) -> Column:
     return F.date_format(F.coalesce(*map(read, CORPUS_DATES)), "yyyy-MM-dd")
 
 
-def amount(x: Column) -> Column:
+def amount(x: Column, ascii_only: bool = False) -> Column:
     """The number of an amount without currency signs, commas and blanks; null if anything else is left."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(x, CURRENCY, ""), "[, ]", ""))
+    s = F.trim(F.regexp_replace(F.regexp_replace(x if ascii_only else to_halfwidth(x), CURRENCY, ""), "[, ]", ""))
     return F.when(s.rlike(r"^-?\d+(\.\d+)?$"), s.cast("double"))
 
 
+def box_amount(text: Column, half: Column) -> Column:
+    """The number of a box that holds an amount alone, with a sign of currency before or after it; else null. text: the
+    box as read, half: the same in half width."""
+    bare = lambda t: F.regexp_replace(F.regexp_replace(F.trim(t), BOX_CURRENCY, ""), "[元圓]+$", "")
+    return F.when(bare(text).rlike(BOX_AMOUNT), amount(bare(half), ascii_only=True))
+
+
 def amount_text(x: Column) -> Column:
     """An amount as its comparison sees it: whole numbers without decimals."""
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
-def tax_id(x: Column) -> Column:
-    s = F.regexp_replace(x, r"\D", "")
+def tax_id(x: Column, ascii_only: bool = False) -> Column:
+    """The eight digits of an id, whatever stands between them; null if there are more or fewer."""
+    s = F.regexp_replace(x if ascii_only else to_halfwidth(x), r"\D", "")
     return F.when(F.length(s) == 8, s)
 
 
@@ -67,11 +90,17 @@ def tax_id_valid(x: Column) -> Column:
     return F.coalesce(x.rlike(r"^\d{8}$") & good, F.lit(False))
 
 
-def invoice_number(x: Column) -> Column:
-    s = F.regexp_replace(F.upper(x), r"(?U)[\s\-–—]", "")
+def invoice_number(x: Column, ascii_only: bool = False) -> Column:
+    s = F.regexp_replace(F.upper(x if ascii_only else to_halfwidth(x)), r"(?U)[\s\-–—]", "")
     return F.when(s.rlike(r"^[A-Z]{2}\d{8}$"), s)
 
 
+def item_names(names: Column) -> Column:
+    """Canonical names of an array; texts without signs are null. The array travels to Python as one text."""
+    joined = to_halfwidth(F.array_join(F.transform(names, lambda n: F.coalesce(n, F.lit(""))), SEPARATOR))
+    return F.when(F.size(names) > 0, F.transform(F.split(joined, SEPARATOR), lambda n: normalize_text(n, ascii_only=True))).otherwise(F.array().cast("array<string>"))
+
+
 def exact(a: Column, b: Column) -> Column:
     """Equal, two nulls included."""
     return a.eqNullSafe(b)

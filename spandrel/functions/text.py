@@ -51,6 +51,7 @@ def sentences(x: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+#: How captions, footnotes, list items and headings start.
 CAPTION = r"^\s*(?:圖|表)\s*[0-9一二三四五六七八九十IVXivx\-–—.]+"
 FOOTNOTE = r"^\s*(?:註|注|備註|資料來源|來源)[:：\s]|\(\s*註\s*\d+\s*\)"
 LIST = r"^\s*(?:[\-•●▪]|[0-9一二三四五六七八九十]+[.)、．]|[（(][0-9一二三四五六七八九十]+[）)])"

@@ -17,11 +17,14 @@ from spandrel.sources.tables import table
 #: Dollars a million tokens in and out, and dollars a GPU hour.
 PRICES = {"click": (0.15, 0.60), "view": (0.10, 0.40), "purchase": (2.50, 10.0), "signup": (0.30, 2.50)}
 GPU_HOUR = 0.40
+#: Signs and their full-width forms, by which every fourth raw value is written.
+WIDE = ("0123456789/-.,$ABabNTRM", "０１２３４５６７８９／－．，＄ＡＢａｂＮＴＲＭ")
 
 
 def f1_normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    """Names with blanks of several kinds, letters and digits in full width, a ligature and a superscript."""
     c = table(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("key"), TX.normalize_text(F.concat(F.lit("  "), F.regexp_replace("c_name", "#", "  # "), F.lit(" x ")), ascii_only=True).alias("norm"))
+    return c.select(F.col("c_custkey").alias("key"), TX.normalize_text(F.concat(F.lit("  "), F.regexp_replace("c_name", "#", "　 # "), F.lit(" ｘ１ ﬁ² "))).alias("norm"))
 
 
 def f3_normalize_date(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +34,7 @@ def f3_normalize_date(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.concat(F.lit("中華民國"), roc, F.lit("年"), F.date_format(day, "MM"), F.lit("月"), F.date_format(day, "dd"), F.lit("日")))
         .when(k == 2, F.date_format(day, "dd/MM/yyyy")).when(k == 3, F.date_format(day, "yyyyMMdd")).when(k == 4, F.concat(F.lpad(roc, 3, "0"), F.date_format(day, "MMdd"))).otherwise(F.concat(F.date_format(day, "yyyy"), F.lit("-13-"), F.date_format(day, "dd")))
     )
+    raw = F.when(F.col("o_orderkey") % 4 == 1, F.translate(raw, *WIDE)).otherwise(raw)
     return o.select(F.col("o_orderkey").alias("key"), raw.alias("raw")).select("key", "raw", R.date(F.col("raw")).alias("iso"))
 
 
@@ -47,6 +51,7 @@ def f4_normalize_amount(spark: SparkSession, d: str) -> DataFrame:
     cents = F.floor(F.col("o_totalprice") * 100).cast("long")
     whole, rest = F.expr("floor(o_totalprice * 100) div 100"), F.lpad((cents % 100).cast("string"), 2, "0")
     raw = F.when(k == 0, F.concat(F.lit("NT$"), F.format_number(whole, 0), F.lit("."), rest)).when(k == 1, F.concat(F.lit("RM "), whole.cast("string"), F.lit("."), rest)).when(k == 2, F.concat(F.lit("-"), whole.cast("string"))).when(k == 3, F.concat(whole.cast("string"), F.lit(" 元"))).otherwise(F.lit("n/a"))
+    raw = F.when(F.col("o_orderkey") % 4 == 1, F.translate(raw, *WIDE)).otherwise(raw)
     return o.select(F.col("o_orderkey").alias("key"), raw.alias("raw")).select("key", "raw", R.amount(F.col("raw")).alias("amount"))
 
 
@@ -59,6 +64,7 @@ def f6_tax_id_checksum(spark: SparkSession, d: str) -> DataFrame:
 def f7_invoice_number(spark: SparkSession, d: str) -> DataFrame:
     o, k, n = table(spark, d, "orders"), F.col("o_orderkey") % 4, F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
     raw = F.when(k == 0, F.concat(F.lit("AB-"), n)).when(k == 1, F.concat(F.lit("ab "), n)).when(k == 2, F.concat(F.lit("ABC"), n)).otherwise(F.concat(F.lit("x–Y"), n))
+    raw = F.when(F.col("o_orderkey") % 3 == 1, F.translate(raw, *WIDE)).otherwise(raw)
     return o.select(F.col("o_orderkey").alias("key"), R.invoice_number(raw).alias("invoice_number"))
 
 
@@ -244,15 +250,15 @@ k AS (SELECT l_orderkey, f, v, count(*) AS c FROM v GROUP BY ALL), z AS (SELECT
 y AS (SELECT l_orderkey, max(s) FILTER (f = 1) AS l_returnflag, max(s) FILTER (f = 2) AS l_linestatus, max(s) FILTER (f = 3) AS l_quantity FROM z GROUP BY 1)
 """
 ORACLES = {
-    "f1_normalize_text": r"SELECT c_custkey AS key, upper(trim(regexp_replace('  ' || replace(c_name, '#', '  # ') || ' x ', '\s+', ' ', 'g'))) AS norm FROM customer",
+    "f1_normalize_text": r"SELECT c_custkey AS key, upper(trim(regexp_replace('  ' || replace(c_name, '#', '  # ') || ' x1 fi2 ', '\s+', ' ', 'g'))) AS norm FROM customer",
     "f3_normalize_date": """WITH o AS (SELECT o_orderkey AS key, o_orderkey % 6 AS k, o_orderdate AS t FROM orders)
         SELECT key, CASE k WHEN 0 THEN strftime(t, '%Y-%m-%d') WHEN 1 THEN '中華民國' || (year(t) - 1911) || '年' || strftime(t, '%m') || '月' || strftime(t, '%d') || '日' WHEN 2 THEN strftime(t, '%d/%m/%Y')
         WHEN 3 THEN strftime(t, '%Y%m%d') WHEN 4 THEN lpad((year(t) - 1911)::VARCHAR, 3, '0') || strftime(t, '%m%d') ELSE strftime(t, '%Y') || '-13-' || strftime(t, '%d') END AS raw,
-        CASE WHEN k < 5 THEN strftime(t, '%Y-%m-%d') END AS iso FROM o""",
+        CASE WHEN k < 5 THEN strftime(t, '%Y-%m-%d') END AS iso FROM o""".replace("SELECT key, CASE k", "SELECT key, CASE WHEN key % 4 = 1 THEN translate(r, $WIDE) ELSE r END AS raw, iso FROM (SELECT key, CASE k").replace("AS raw,\n", "AS r,\n").replace("AS iso FROM o", "AS iso FROM o)").replace("$WIDE", ", ".join(f"'{x}'" for x in WIDE)),
     "s21_date_formats": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 < 6 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders",
     "f4_normalize_amount": """WITH o AS (SELECT o_orderkey AS key, o_orderkey % 5 AS k, floor(o_totalprice * 100)::BIGINT AS c FROM orders), p AS (SELECT *, c // 100 AS w, lpad((c % 100)::VARCHAR, 2, '0') AS r FROM o)
         SELECT key, CASE k WHEN 0 THEN 'NT$' || format('{:,}', w) || '.' || r WHEN 1 THEN 'RM ' || w || '.' || r WHEN 2 THEN '-' || w WHEN 3 THEN w || ' 元' ELSE 'n/a' END AS raw,
-        CASE WHEN k < 2 THEN (w || '.' || r)::DOUBLE WHEN k = 2 THEN -w::DOUBLE WHEN k = 3 THEN w::DOUBLE END AS amount FROM p""",
+        CASE WHEN k < 2 THEN (w || '.' || r)::DOUBLE WHEN k = 2 THEN -w::DOUBLE WHEN k = 3 THEN w::DOUBLE END AS amount FROM p""".replace("SELECT key, CASE k", "SELECT key, CASE WHEN key % 4 = 1 THEN translate(t, $WIDE) ELSE t END AS raw, amount FROM (SELECT key, CASE k").replace("END AS raw,\n", "END AS t,\n").replace("AS amount FROM p", "AS amount FROM p)").replace("$WIDE", ", ".join(f"'{x}'" for x in WIDE)),
     "f6_tax_id_checksum": """WITH k AS (SELECT c_custkey AS key FROM customer UNION ALL SELECT s_suppkey + 1000000 FROM supplier), t AS (SELECT key, lpad((key * 7919 % 100000000)::VARCHAR, 8, '0') AS tax_id FROM k),
         p AS (SELECT key, tax_id, unnest([substring(tax_id, i, 1)::INT * [1, 2, 1, 2, 1, 2, 4, 1][i] FOR i IN range(1, 9)]) AS p FROM t),
         s AS (SELECT key, tax_id, sum(p // 10 + p % 10) AS s FROM p GROUP BY ALL) SELECT key, tax_id, s % 5 = 0 OR (substring(tax_id, 7, 1) = '7' AND (s + 1) % 5 = 0) AS valid FROM s""",
