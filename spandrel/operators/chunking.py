@@ -6,10 +6,10 @@ runs along the array within one row, and rows stay where they were read. A null
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.functions.text import bound
+from spandrel.functions.text import bound, sentences
 
 SIZE, OVERLAP, SECTION = 800, 120, 1800
 SPANS = "array<struct<first:int,last:int>>"
@@ -118,3 +118,38 @@ def level_sections(elements: Column) -> Column:
         return F.struct(F.concat(a["out"], F.array(F.transform(above, lambda h: h["text"]))).alias("out"), F.concat(above, own).alias("open"), e["page"].cast("long").alias("page"))
 
     return F.aggregate(elements, start, step, lambda a: a["out"])
+
+
+#: Fixed value: what stands for a page that no chunk represents.
+PLACEHOLDER = "[page without text]"
+
+
+def chunk_rows(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, chunk_idx, kind, text, pages, section, first_ord, last_ord) from elements (key, ord, page, type, text, section,
+    chunk): a chunk's texts a line each, its kind by its tables and figures, and as section the last of its elements' that
+    is not null. Elements of one chunk meet; a document's chunks need not."""
+    own = placed.filter("chunk >= 0").groupBy(key, F.col("chunk").alias("chunk_idx"))
+    tables, figures = F.count_if(F.col("type") == "table"), F.count_if(F.col("type") == "figure")
+    texts = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text"))))
+    rows = own.agg(
+        F.when(tables > 1, "cross-page-table").when(tables == 1, "table").when(figures > 0, "figure-caption").otherwise("text").alias("kind"), F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("text"),
+        F.array_sort(F.collect_set("page")).alias("pages"), F.max_by("section", F.when(F.col("section").isNotNull(), F.col("ord"))).alias("section"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"),
+    )
+    return rows
+
+
+def page_fallbacks(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, chunk_idx, page, text): a placeholder for each page without a chunk, numbered on after the document's chunks."""
+    pages = placed.groupBy(key, "page").agg(F.max("chunk").alias("most"))
+    used = pages.groupBy(key).agg(F.max("most").alias("used"))
+    lost = pages.filter("most < 0").select(key, "page", F.row_number().over(Window.partitionBy(key).orderBy("page")).alias("n"))
+    return lost.join(used, key).select(key, (F.col("used") + F.col("n")).cast("int").alias("chunk_idx"), "page", F.lit(PLACEHOLDER).alias("text"))
+
+
+def sentence_nodes(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, sent_idx, chunk_idx, text): the sentences of chunks (key, chunk_idx, text), numbered through the document. Only
+    the chunks' counts of sentences are summed over a document; the texts stay where they are."""
+    rows = chunks.select(key, "chunk_idx", sentences(F.col("text")).alias("parts"))
+    before = F.sum(F.size("parts")).over(Window.partitionBy(key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("before", F.coalesce(before, F.lit(0)))
+    return placed.select(key, "chunk_idx", "before", F.posexplode("parts").alias("n", "text")).select(key, (F.col("before") + F.col("n")).cast("int").alias("sent_idx"), "chunk_idx", "text")

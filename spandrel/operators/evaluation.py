@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spandrel.functions import text as TX
+from spandrel.operators.geometry import BOX, iou
 
 PASS = 0.999
 #: Thresholds of the sensitivity sweep, and the least precision, recall and accuracy of a validated router.
@@ -88,6 +89,34 @@ def visual(elements: Column, kind: Column, least: Column, need_box: Column) -> C
     return _share(F.array(F.size(own) >= F.coalesce(least, F.lit(1)), ~need_box | F.exists(own, lambda x: x["x0"].isNotNull())))
 
 
+def grounding(elements: Column, target: Column, expected: tuple) -> Column:
+    """The best overlap of a box (normalized: x0..y1) of an element that holds the target with the expected box; 0 without."""
+    over = lambda x: iou(tuple(x[c] for c in BOX), expected)
+    hits = F.filter(elements, lambda x: x["x0"].isNotNull() & contains(x["text"], target))
+    return F.coalesce(F.array_max(F.transform(hits, over)), F.lit(0.0))
+
+
+def scored(dimension: Column, scores: dict[str, Column]) -> Column:
+    """The score of a case by its dimension; an unknown one is an error."""
+    out = F.raise_error(F.concat(F.lit("no such dimension: "), dimension)).cast("double")
+    for name, score in scores.items():
+        out = F.when(dimension == name, score).otherwise(out)
+    return out
+
+
+def gold_decisions(gold: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """Gold rows with their decisions; a gold row without one is an error when it is read."""
+    both = gold.join(decisions.withColumn("decided_", F.lit(True)), keys, "left")
+    say = F.raise_error(F.concat(F.lit("no decision for "), F.concat_ws("/", *keys))).cast("boolean")
+    return both.filter(F.coalesce("decided_", say)).drop("decided_")
+
+
+def audit_rollup(audits: DataFrame) -> DataFrame:
+    """(documents, mean recall, mean precision, elements, shadowed) of audits (recall, precision, elements, shadowed); without
+    audits 0 and nulls."""
+    return audits.agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("precision"), 6).alias("mean_precision"), F.sum("elements").alias("elements"), F.sum("shadowed").alias("shadowed"))
+
+
 def dimension_rollup(cases: DataFrame) -> DataFrame:
     """(dimension, n, mean, pass_rate) of (dimension, score), and a total whose dimension is null: one pass with grouping
     sets. Without rows there is the total alone, with nulls."""

@@ -39,8 +39,11 @@ class Windows:
         if self.size <= 0 or not 0 <= self.overlap < self.size or not 0 <= self.whole <= 1 or not 0 <= self.coverage <= 1:
             raise ValueError("size > overlap >= 0; whole and coverage in 0..1")
 
-    def texts(self, x: Column) -> Column:
-        """Windows of a text: the whole if it is short enough, else one at every step before its end."""
+    def texts(self, x: Column, section: Column | None = None) -> Column:
+        """Windows of a text, with its section path on a line before it: the whole if it is short enough, else one at every
+        step before its end."""
+        if section is not None:
+            x = F.concat_ws("\n", F.nullif(section, F.lit("")), F.coalesce(x, F.lit("")))
         x = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
         many = F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(self.size - self.overlap)), lambda i: F.substring(x, i + 1, F.lit(self.size)))
         return F.when(F.length(x) <= self.size, F.array(x)).otherwise(many)
@@ -103,12 +106,13 @@ def _windowed(cosine: np.ndarray, coverage: np.ndarray, first: np.ndarray, w: Wi
     return w.whole * cosine[first] + (1 - w.whole) * best
 
 
-def top_chunks(chunks: DataFrame, questions: DataFrame, k: int = TOP, score: str = "cosine", windows: Windows | None = None, key: str = "doc_id", index: str = "chunk_idx", text: str = "text", q_id: str = "item_id", q_text: str = "text") -> DataFrame:
+def top_chunks(chunks: DataFrame, questions: DataFrame, k: int = TOP, score: str = "cosine", windows: Windows | None = None, key: str = "doc_id", index: str = "chunk_idx", text: str = "text", q_id: str = "item_id", q_text: str = "text", section: str | None = None) -> DataFrame:
     """(q_id, key, index, score, rank): the k best chunks of every question, ties to smaller key and index; chunks that
-    share nothing fill up to k. score: "cosine" or "coverage"; with windows, the windowed score."""
+    share nothing fill up to k. score: "cosine" or "coverage"; with windows, the windowed score, whose windows start with the
+    path of the column `section`, if one is named."""
     texts = F.array(TX.compact(F.col(text)))
     if windows is not None:
-        texts = F.concat(texts, F.transform(windows.texts(F.col(text)), lambda w: TX.compact(w)))
+        texts = F.concat(texts, F.transform(windows.texts(F.col(text), F.col(section) if section else None), lambda w: TX.compact(w)))
     rows = chunks.select(F.col(key).cast("long").alias("key"), F.col(index).cast("int").alias("idx"), texts.alias("texts"))
     schema = "item long, key long, idx int, score double"
     out = None

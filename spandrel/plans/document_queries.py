@@ -163,7 +163,7 @@ def _routed(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, expected, confidence): labels against a score of the text's size."""
     words = F.size(F.split("text", " "))
     docs = table(spark, d, "documents").select("doc_id", F.round(0.5 * F.least(F.size(F.split("text", "\n")) / 6, F.lit(1.0)) + 0.5 * F.least(words / 400, F.lit(1.0)), 6).alias("confidence"))
-    return docs.join(table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("expected")), "doc_id")
+    return E.gold_decisions(table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("expected")), docs, ["doc_id"])
 
 
 def a15_confusion(spark: SparkSession, d: str) -> DataFrame:

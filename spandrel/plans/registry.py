@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spandrel.plans import document_queries, extraction_queries, receipt_queries
+from spandrel.plans import benchmark_queries, document_queries, extraction_queries, receipt_queries
 
 FLAGSHIP = "r1_topk_bigram"
-PARTS = (receipt_queries, extraction_queries, document_queries)
+PARTS = (receipt_queries, extraction_queries, document_queries, benchmark_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
