@@ -9,7 +9,8 @@ matched words, coverage of the template, the span of characters, and whether it
 
 The index holds the templates only; it does not grow with the data and travels with the task. Texts are read in one
 narrow pass. Defined results: null and empty texts have no findings; repeated rows are scanned each; a template that
-occurs several times is reported each time; a short notice inside a longer one is reported beside it.
+occurs several times is reported each time; of matches that overlap the longer wins, of equal ones the first; an empty
+table has no findings; texts of any length are read whole; other columns are not read; a short notice inside a longer one is reported beside it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spandrel.llm.license_templates import TEMPLATES
@@ -197,6 +199,13 @@ def _index(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(dict(templates))
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from license files (name -> text), for a library of whole licenses: some hundred texts at most, as the
+    index travels with the tasks."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value")
+    return {r["name"]: r["value"] for r in rows.orderBy("name").limit(1000).toLocalIterator()}
+
+
 SCHEMA = [("license", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("matched_words", T.LongType()), ("coverage", T.DoubleType()), ("verdict", T.StringType())]
 
 

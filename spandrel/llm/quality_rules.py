@@ -47,6 +47,7 @@ POLICIES = {
     for p in (
         Policy("base-1", BASE_RULES),
         Policy("corpus-1", (*BASE_RULES, "symbols", "word_length", "duplicate_lines", "shouting")),
+        Policy("corpus-2", (*BASE_RULES, "symbols", "duplicate_lines"), ("word_length", "shouting")),
     )
 }
 DEFAULT = "corpus-1"
@@ -178,6 +179,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 """
 
 
+#: The ablation of the default policy in DuckDB: a rule rejects alone where its bit is the only one.
+ABLATION_ORACLE = f"WITH a AS ({ORACLE}) " + " UNION ALL ".join(
+    f"SELECT '{n}' AS rule, count(*) FILTER (failure_bits & {1 << bit} <> 0) AS n_failed, count(*) FILTER (failure_bits <> 0) AS n_rejected, count(*) FILTER (failure_bits = {1 << bit}) AS n_rejected_alone FROM a"
+    for n, (bit, _) in RULES.items()
+)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """What the query returns: the ledger with the default policy's verdicts."""
     return verdicts(ledger(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "failure_bits", "base_failed", "kept")

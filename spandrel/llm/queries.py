@@ -54,6 +54,18 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy rejects, and rejects alone, from the ledger of op3."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+def packing_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing under capacities that bind beside the tokens: six documents, and the attention cost of one and a half
+    pieces of half a sequence."""
+    capacity = packing.Capacity(2048, 6, 1.5 * 1024**2, weights=(1.0, 0.5, 0.5), rule="dot", piece=1024)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
@@ -65,10 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_topk": op10_exact_topk,
+    "rules_ablation": rules_ablation,
+    "packing_capacities": packing_capacities,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op4_warc": warc.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op10_exact_topk": bit_sliced_topk.ORACLE,
+    "rules_ablation": quality_rules.ABLATION_ORACLE,
 }

@@ -33,8 +33,10 @@ from spandrel.llm.common import shared_dir, staged
 #: Fixed value: the date of every record, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 1000
-ROLL_BYTES = 8 << 20
-PARTITION_BYTES = 32 << 20
+#: Compressed bytes at which a file ends, the usual size of such archives.
+ROLL_BYTES = 1 << 30
+#: Payload bytes that one task writes: least and most; between them the data are cut in PARTS.
+LEAST_PART, MOST_PART, PARTS = 32 << 20, 1 << 30, 256
 MANIFEST = "file string, records long, bytes long, sha1 string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -83,6 +85,11 @@ def revisits(digests: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return digests.distinct().join(heads, "digest").filter("key < refers_to").select("key", "digest", "refers_to")
 
 
+def part_bytes(size: int) -> int:
+    """Bytes of a part: by the data alone, so that archives do not depend on the cluster; 100 TB make some 100,000 files."""
+    return min(MOST_PART, max(LEAST_PART, size // PARTS))
+
+
 class Roller:
     """Writes members to files below `root` that end when they reach `limit` bytes."""
 
@@ -118,7 +125,7 @@ def write(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", p
     seen = revisits(digests, least_bytes)
     if partitions is None:
         size = digests.select(F.sum(F.col("n") + 500).alias("n")).first()["n"] or 0
-        partitions = max(1, -(-size // PARTITION_BYTES))
+        partitions = max(1, -(-size // part_bytes(size)))
     marks = seen.select("key", F.lit(0).alias("kind"), "digest", "refers_to", F.lit("").alias("url"), F.lit(b"").alias("payload"))
     records = rows.select("key", F.lit(1).alias("kind"), F.lit("").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload")
     dealt = records.unionByName(marks).repartitionByRange(partitions, "key").sortWithinPartitions("key", "kind", "digest", "url", "payload")

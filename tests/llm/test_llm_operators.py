@@ -3,6 +3,7 @@ comparisons with brute force, the library itself, round trips or held-out rows."
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -353,6 +354,21 @@ def test_license_scan_chains_segments_and_reports_parts(spark):
     assert [r.coverage for r in got if r.doc_id == 3] == [1.0, 1.0]
 
 
+def test_license_templates_from_files(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not (folder / "Apache-2.0").exists():
+        pytest.skip("no license texts on this machine")
+    templates = license_scan.read_templates(spark, f"file://{folder}/Apache-2.0")
+    text = templates["Apache-2.0"]
+    table = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing of the kind")], "doc_id long, text string")
+    got = license_scan.license_findings(table, templates).collect()
+    assert [(r.doc_id, r.license, r.coverage, r.verdict) for r in got] == [(1, "Apache-2.0", 1.0, "whole")]
+
+
+def test_warc_parts_grow_with_the_data():
+    assert warc.part_bytes(1) == 32 << 20 and warc.part_bytes(64 << 30) == 256 << 20 and warc.part_bytes(10**14) == 1 << 30
+
+
 def test_winnowing_keeps_a_shared_run():
     r = random.Random(4)
     words = [f"w{r.randrange(30)}" for _ in range(400)]
