@@ -36,6 +36,8 @@ SAMPLE = 12_000
 #: The largest prime below 2**16. With 2**16 a vector of coefficients takes over half a megabyte, which the JVM's
 #: collector treats as a huge object: a fit then leaves hundreds of megabytes of such vectors behind on the driver.
 BUCKETS = 65_521
+#: Rows of the sample that one task of a fitting round reads.
+FIT_ROWS = 6_000
 #: The weight of the sum of absolute coefficients. On held-out labels a larger one (0.0015) found 72 % of toxic documents,
 #: this one 92 %, with no more clean documents lost.
 REGULARISATION, ROUNDS, SEED = 0.0001, 60, 11
@@ -81,7 +83,8 @@ def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Evide
     """Classifiers from `texts` (id, text) and `labels` (id, targets): at most `sample` labelled documents, so their
     ids are broadcast safely."""
     chosen = staged(labels.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample), "labelled-sample")
-    rows = staged(hashed(texts.join(F.broadcast(chosen), "id")).select("words_hashed", *TARGETS), "labelled-features")
+    # the scan for the sample is as wide as the corpus, its few rows are not: every round would run a task for each file
+    rows = staged(hashed(texts.join(F.broadcast(chosen), "id")).select("words_hashed", *TARGETS), "labelled-features").coalesce(max(1, -(-sample // FIT_ROWS)))
     out = []
     for target in TARGETS:
         own = rows.select("words_hashed", F.col(target).cast("double").alias("label")).filter("label in (0, 1)")
