@@ -2,8 +2,8 @@
 
 Chunks stay where they are. A task counts, for a batch of its chunks, only the grams that questions have (plus each
 text's norm over all its grams), multiplies counts by the questions', and keeps the k best of each question; so what is
-shuffled is k rows a question and task, never a (question, chunk) pair. Questions travel with the task; their number is
-checked, and more of them than QUESTIONS go in blocks, one pass over the chunks each.
+shuffled is k rows a question and task, never a (question, chunk) pair. Questions pass through the
+driver and travel with the task in blocks of QUESTIONS, one pass over the chunks each; nothing bounds how many there are.
 """
 
 from __future__ import annotations
