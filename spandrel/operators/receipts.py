@@ -69,6 +69,13 @@ def config_summary(scores: DataFrame, config: str, fields: list[str]) -> DataFra
     return scores.groupBy(config).agg(F.sum(F.when(F.col("field") == fields[0], 1).otherwise(0)).alias("n"), *means)
 
 
+def item_summary(scores: DataFrame, config: str, measured: str) -> DataFrame:
+    """A row a configuration: means of its records' item scores (see item_scores); records without a match have no name rate
+    and do not count in its mean. A configuration that extracts no items (`measured` false) has null means."""
+    means = [F.round(F.avg(F.when(F.col(measured), F.col(m))), 6).alias(f"items_{m}") for m in ("precision", "recall", "f1", "amount_accuracy", "name_exact_rate")]
+    return scores.groupBy(config).agg(*means)
+
+
 def challenge_pivot(scores: DataFrame, key: str, config: str, challenge: str, values: list[int]) -> DataFrame:
     """Mean over records of a record's mean exact rate, a column a challenge."""
     one = scores.groupBy(key, config, challenge).agg(F.avg(F.col("exact").cast("int")).alias("m"))
