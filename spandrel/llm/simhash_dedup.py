@@ -13,8 +13,10 @@ Equal fingerprints are one node, so copies are never paired.
 keep_first, the pipeline's stage, has a contract of its own: documents whose sets of 5-word shingles have a Jaccard
 similarity of at least 0.8 link. Their fingerprints differ in some 10 of 64 bits, too many for deletion variants. Here
 candidates share a band, that is BAND least hashes of a set (at 0.8, 99.96 % of pairs share one of BANDS), and each is
-compared exactly. In a band with more than FRAME documents each is compared with the band's first document, by which
-a crowd of copies of one text is connected, and with its neighbours in the order of the rotated fingerprints.
+compared exactly. In a band with more than FRAME documents each is first compared with the band's first document, by
+which a crowd of copies of one text is connected, and with its neighbours in the order of the rotated fingerprints. If
+that leaves such a band in several components, `settled` finds every link between them: by the prefix filter, documents
+that are similar enough share one of their rarest shingles, and those of a shingle are compared across components only.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ BLOCK = 1 << 16
 #: keep_first: words of a shingle, and the similarity that links, as a fraction.
 COPY_SHINGLE, ALIKE = 5, (4, 5)
 BANDS, BAND = 20, 5
-#: Neighbours that are compared in a band of more than FRAME documents, in each of four rotations.
+#: Neighbours that are compared at first in a band of more than FRAME documents, in each of four rotations.
 NEIGHBOURS = 8
+#: Documents of one rare shingle that meet all others of it in one round: at first, and at most.
+MEET, MEET_MOST = 32, 1024
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 XORS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.uint64(1)
 
@@ -168,18 +172,71 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a > b: nodes (node, fp, bands) that share a band."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a > b: nodes (node, fp, bands) that share a band; and (node, band, sig) of the bands with more than
+    FRAME nodes, not all of whose pairs are among them."""
     turn = (F.col("band") % 4 * 16).cast("int")
     left, right = F.call_function("shiftleft", F.col("fp"), turn), F.call_function("shiftrightunsigned", F.col("fp"), 64 - turn)
     banded = nodes.select("node", "fp", F.posexplode("bands").alias("band", "sig")).withColumn("turned", left.bitwiseOR(right))
     group = Window.partitionBy("band", "sig")
     before = F.collect_list("node").over(group.orderBy("turned", "node").rowsBetween(-(FRAME - 1), -1))
-    read = banded.select("node", F.count(F.lit(1)).over(group).alias("n"), F.min("node").over(group).alias("first"), before.alias("before")).filter("n > 1")
+    read = banded.select("node", "band", "sig", F.count(F.lit(1)).over(group).alias("n"), F.min("node").over(group).alias("first"), before.alias("before")).filter("n > 1")
     near = F.when(F.size("before") <= NEIGHBOURS, F.col("before")).otherwise(F.slice("before", -NEIGHBOURS, NEIGHBOURS))
     met = F.when(F.col("n") <= FRAME, F.col("before")).otherwise(F.array_append(near, F.col("first")))
-    pairs = read.select("node", F.explode(met).alias("x")).filter("node <> x")
-    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+    read = staged(read.select("node", "band", "sig", "n", met.alias("met")), "bands")
+    pairs = read.select("node", F.explode("met").alias("x")).filter("node <> x")
+    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct(), read.filter(F.col("n") > FRAME).select("node", "band", "sig")
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(hash, node, size): the shingles of each of `sets` (node, hashes) by which it must meet any other that is similar
+    enough. Of two such sets, ordered from the rarest shingle on, these many first ones have one in common; those that
+    no other set has are counted and left out."""
+    all_ = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
+    held = all_.groupBy("hash").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    own = Window.partitionBy("node")
+    shared = all_.join(held, "hash").select("hash", "node", "size", F.count(F.lit(1)).over(own).alias("n"), F.row_number().over(own.orderBy("held", "hash")).alias("at"))
+    first = F.col("size") - F.ceil(F.col("size") * ALIKE[0] / ALIKE[1]) + 1
+    return shared.filter(F.col("at") <= first - (F.col("size") - F.col("n"))).select("hash", "node", "size")
+
+
+def settled(links: DataFrame, crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root): components of `links` (a, b) and of all links between nodes of `crowds` (node, band, sig).
+
+    Only crowds that `links` leaves in several components are looked at. In each round, some nodes of each rare shingle
+    meet all others of it that are in other components, and are done with; nodes of its largest component come last.
+    A shingle within one component needs no more. So a crowd of copies costs a few rounds over its rows, whatever its
+    size, and no link is lost.
+    """
+    roots = components(links)
+    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed(rows: DataFrame, *by: str) -> DataFrame:
+        rows = rooted(rows)
+        some = rows.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        return rows.join(some.select(*by), list(by), "left_semi")
+
+    loose = staged(mixed(crowds, "band", "sig").select("node").distinct(), "loose")
+    if loose.isEmpty():
+        return roots
+    rare = staged(rare_shingles(sets.join(loose, "node", "left_semi")), "rare")
+    meet = MEET
+    while True:
+        left = staged(mixed(rare, "hash"), "left")
+        if left.isEmpty():
+            return roots
+        largest = left.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
+        others = left.join(largest, "hash").filter("root <> largest")
+        turn = F.row_number().over(Window.partitionBy("hash").orderBy("node"))
+        now = staged(others.withColumn("turn", turn).filter(F.col("turn") <= meet).select("hash", F.col("node").alias("x"), F.col("root").alias("of"), F.col("size").alias("long")), "meeting")
+        near = F.least("size", "long") * ALIKE[1] >= F.greatest("size", "long") * ALIKE[0]
+        pairs = left.join(now, "hash").filter((F.col("root") != F.col("of")) & near)
+        pairs = pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+        new = staged(alike(pairs, sets), "links")
+        if not new.isEmpty():
+            roots = components(roots.toDF("a", "b").unionByName(new))
+        rare = left.join(now.select("hash", F.col("x").alias("node")), ["hash", "node"], "left_anti").select("hash", "node", "size")
+        meet = min(2 * meet, MEET_MOST)
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,11 +266,12 @@ def keep_first(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id"
     numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("sketch"), F.struct("*").alias("row"))
     rows = staged(numbered.select("number", "id", "sketch.*", "row"), "numbered")
     nodes = staged(rows.groupBy("copy", "fp", "bands").agg(F.min("number").alias("node")), "copies")
-    pairs = staged(candidates(nodes), "candidates")
+    pairs, crowds = candidates(nodes)
+    pairs = staged(pairs, "candidates")
     used = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
     texts = rows.select("number", F.col(f"row.{text_col}").alias("text")).join(used, "number", "left_semi")
     sets = staged(texts.select(F.col("number").alias("node"), hashes("text").alias("hashes")), "sets")
-    roots = components(alike(pairs, sets))
+    roots = settled(staged(alike(pairs, sets), "links"), crowds, sets)
     rooted = nodes.select("copy", "node").join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
     first = rows.select("number", "id", "copy").join(rooted, "copy").groupBy("root").agg(F.min(F.struct("id", "number")).alias("first")).select("first.number")
     return rows.join(first, "number", "left_semi").select("row.*")

@@ -145,6 +145,36 @@ def test_links_find_every_pair_also_in_large_groups(spark):
     assert all(k == min(order[x] for x in g) for k, g in groups.items())
 
 
+def test_crowds_of_several_components_lose_no_link(spark, monkeypatch):
+    """All documents share one band's crowd, compared at first with one neighbour only: every link comes from the rest."""
+    r = random.Random(11)
+    monkeypatch.setattr(simhash_dedup, "FRAME", 2)
+    monkeypatch.setattr(simhash_dedup, "NEIGHBOURS", 1)
+    monkeypatch.setattr(simhash_dedup, "MEET", 2)
+    sets = []
+    for _ in range(12):  # groups of one template: 65 % in common with others, near copies and chains within
+        base = list(range(130)) + [1000 + r.randrange(10**6) for _ in range(70)]
+        for _ in range(r.randrange(1, 9)):
+            base = list(base)
+            for at in r.sample(range(200), r.choice([3, 8, 15, 30])):
+                base[at] = 10**7 + r.randrange(10**7)
+            sets.append(sorted(set(base)))
+    sets.append([])
+    alike = lambda x, y: 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    rows = spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>")
+    crowds = rows.select("node", F.lit(0).alias("band"), F.lit(1).alias("sig"))
+    first = spark.createDataFrame([(i, 0) for i in range(1, len(sets)) if alike(sets[i], sets[0])], "a long, b long")
+    got = {x.node: x.root for x in simhash_dedup.settled(first, crowds, rows).collect()}
+    assert len(set(root)) > 12 and len(set(root)) < len(sets)
+    assert [got.get(i, i) for i in range(len(sets))] == root
+
+
 def test_keep_first_finds_planted_near_copies(spark):
     r = random.Random(7)
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
