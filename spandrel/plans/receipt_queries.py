@@ -155,6 +155,12 @@ def a2_item_prf(spark: SparkSession, d: str) -> DataFrame:
     return O.item_scores(rows, "o_orderkey")
 
 
+def a3_item_means(spark: SparkSession, d: str) -> DataFrame:
+    """Four configurations of orders by key; the last extracts no items."""
+    scores = a2_item_prf(spark, d).withColumn("config", (F.col("o_orderkey") % 4).cast("int"))
+    return O.item_summary(scores.withColumn("measured", F.col("config") != 3), "config", "measured")
+
+
 ITEMS_SQL = """
 l AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i, p_name AS n, l_extendedprice AS a
       FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -236,7 +242,7 @@ def t10_first_valid_attempt(spark: SparkSession, d: str) -> DataFrame:
     return O.first_valid_attempt(c.select("conv_id", "turn", valid.alias("valid")), "conv_id", "turn", F.col("valid"))
 
 
-QUERIES = {f.__name__: f for f in (f1_normalize_text, f3_normalize_date, s21_date_formats, f4_normalize_amount, f6_tax_id_checksum, f7_invoice_number, f9_fuzzy_score, a1_field_scores, a3_config_summary, a11_challenge_pivot, t9_item_alignment, a2_item_prf, a5_latency_cold_warm, a6_api_cost, a7_gpu_cost, a8_cost_branch, a9_field_consistency, a10_stability, a21_parse_timing, a22_usage_totals, t10_first_valid_attempt)}
+QUERIES = {f.__name__: f for f in (f1_normalize_text, f3_normalize_date, s21_date_formats, f4_normalize_amount, f6_tax_id_checksum, f7_invoice_number, f9_fuzzy_score, a1_field_scores, a3_config_summary, a11_challenge_pivot, t9_item_alignment, a2_item_prf, a3_item_means, a5_latency_cold_warm, a6_api_cost, a7_gpu_cost, a8_cost_branch, a9_field_consistency, a10_stability, a21_parse_timing, a22_usage_totals, t10_first_valid_attempt)}
 
 _E = "e AS (SELECT *, regexp_extract(props, '([0-9]+)', 1)::DOUBLE AS tokens FROM events)"
 _PRICES = "(VALUES " + ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in PRICES.items()) + ") AS r(event_type, rate_in, rate_out)"
@@ -290,3 +296,8 @@ ORACLES = {
     "t10_first_valid_attempt": """WITH c AS (SELECT conv_id, turn, turn % 3 = 2 AND role <> 'user' AS valid FROM conversations), f AS (SELECT conv_id, min(turn) FILTER (valid) AS first FROM c GROUP BY 1)
         SELECT conv_id, count(*) FILTER (first IS NULL OR turn <= first) AS attempts, first IS NOT NULL AS is_valid FROM c JOIN f USING (conv_id) GROUP BY conv_id, first""",
 }
+ORACLES["a3_item_means"] = (
+    "SELECT (o_orderkey % 4)::INTEGER AS config, "
+    + ", ".join(f"round(avg({m}) FILTER (o_orderkey % 4 <> 3), 6) AS items_{m}" for m in ("precision", "recall", "f1", "amount_accuracy", "name_exact_rate"))
+    + f" FROM ({ORACLES['a2_item_prf']}) AS s GROUP BY 1"
+)
