@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import bit_sliced_topk, chat_format, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, warc
+from spandrel.llm import bit_sliced_topk, chat_format, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants, warc
 from spandrel.sources.tables import table
 
 
@@ -54,6 +54,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the default policy rejects, and rejects alone, from the ledger of op3."""
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_topk": op10_exact_topk,
+    "op11_spelling_variants": op11_spelling_variants,
     "rules_ablation": rules_ablation,
     "packing_capacities": packing_capacities,
 }
@@ -85,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op10_exact_topk": bit_sliced_topk.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
     "rules_ablation": quality_rules.ABLATION_ORACLE,
 }
