@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import bit_sliced_topk, chat_format, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants, warc
+from spandrel.llm import bit_sliced_topk, chat_format, language_mixture, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants, vector_codes, warc
 from spandrel.sources.tables import table
 
 
@@ -58,6 +58,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.languages(table(spark, sf_dir, "documents"))
+
+
 def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the default policy rejects, and rejects alone, from the ledger of op3."""
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -82,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_topk": op10_exact_topk,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_language_mixture": op13_language_mixture,
     "rules_ablation": rules_ablation,
     "packing_capacities": packing_capacities,
 }
@@ -91,5 +101,6 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": chat_format.ORACLE,
     "op10_exact_topk": bit_sliced_topk.ORACLE,
     "op11_spelling_variants": spelling_variants.ORACLE,
+    "op12_vector_codes": vector_codes.oracle(),
     "rules_ablation": quality_rules.ABLATION_ORACLE,
 }
