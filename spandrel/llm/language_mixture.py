@@ -60,35 +60,28 @@ class Letters:
         return cls.table[points]
 
 
-def grams(text: str, order: int = ORDER, buckets: int = BUCKETS, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets in ascending order, counts) of the n-grams of a text. Runs of what is no letter are one blank; texts begin
-    and end with one."""
-    total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def grams(text: str, order: int = ORDER, buckets: int = BUCKETS, block: int = BLOCK) -> np.ndarray:
+    """Counts of the n-grams of a text by bucket. Runs of what is no letter are one blank; texts begin and end with one."""
+    total = np.zeros(buckets, np.int64)
     held = np.full(1, 32, np.uint64)
-    for a in range(0, len(text), block):
-        points = np.frombuffer(text[a : a + block].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        points = np.where(Letters.of(points), points, 32).astype(np.uint64)
-        points = np.concatenate([held, points])
-        held, total = _counted(points, total, order, buckets)
-    _, total = _counted(np.append(held, np.uint64(32)), total, order, buckets)
+    for a in range(0, len(text) + 1, block):
+        points = np.frombuffer((text[a : a + block].lower() + " " * (a + block > len(text))).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.concatenate([held, np.where(Letters.of(points), points, 32).astype(np.uint64)])
+        points = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]
+        n = len(points) - order + 1
+        if n > 0:
+            total += np.bincount(hashed(points, n, order, buckets), minlength=buckets)
+        held = points[max(0, n) :]
     return total
 
 
-def _counted(points: np.ndarray, total: tuple[np.ndarray, np.ndarray], order: int, buckets: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """(the last points, which the next block begins with; `total` and the n-grams of `points`)."""
-    points = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]
-    n = len(points) - order + 1
-    if n <= 0:
-        return points, total
+def hashed(points: np.ndarray, n: int, order: int, buckets: int) -> np.ndarray:
+    """Buckets of the n n-grams of some code points."""
     h = np.zeros(n, np.uint64)
     for i in range(order):
         h = (h ^ points[i : i + n]) * FACTOR
         h ^= h >> np.uint64(29)
-    keys, counts = np.unique((h % np.uint64(buckets)).astype(np.int64), return_counts=True)
-    if len(total[0]):
-        keys, at = np.unique(np.concatenate([total[0], keys]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([total[1], counts]), len(keys)).astype(np.int64)
-    return points[n:], (keys, counts)
+    return (h % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -109,8 +102,7 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buck
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = held.setdefault(lang, np.zeros(buckets + 1, np.int64))
-                keys, n = grams(text or "", buckets=buckets)
-                own[keys] += n
+                own[:buckets] += grams(text or "", buckets=buckets)
                 own[buckets] += 1
         for lang, own in held.items():
             used = np.flatnonzero(own)
@@ -174,8 +166,9 @@ def judged(text: str | None, model: Model, penalty: float = PENALTY) -> tuple[st
     """(language, score, the languages of the set by share, their shares) of one text."""
     if not text or not model.languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, [], []
-    keys, n = grams(text, buckets=len(model.log_likelihood))
-    own = model.log_likelihood[keys]
+    n = grams(text, buckets=len(model.log_likelihood))
+    used = np.flatnonzero(n)
+    n, own = n[used], model.log_likelihood[used]
     single = n @ own / ORDER + model.log_prior  # each letter counts once against the prior
     first = int(single.argmax())
     chosen, share = selected(own, n, first, penalty * np.log(1 + n.sum()))
