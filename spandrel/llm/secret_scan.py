@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, a random forest to remove false positives.
 
 Candidates come by shape and by context: runs of at least LEAST key characters, issued keys, web tokens and private-key
-blocks wherever they stand, passwords within URLs, and whatever is assigned to a name that speaks of secrets, however
-short and of whatever characters. Where candidates overlap, the more telling kind stands for all. Their features are
+blocks wherever they stand, passwords within URLs, and whatever is assigned to a name that speaks of secrets, by a sign
+or in prose ("the password is ..."), of whatever characters. Where candidates overlap, the more telling kind stands for
+all. Every search reads a text once, from stop to stop, so that no text takes more than its length. Their features are
 length, character transitions, how much of them dictionary words cover, the path the text comes from, and the words
 beside them. The forest is trained by Spark on labelled findings; its trees (their number and depth are parameters, so
 their size is bounded) are read off once and travel with the scan, which is then one narrow pass over whole texts.
@@ -14,8 +15,9 @@ makes them: secrets of the usual shapes in the usual places, against identifiers
 settings, prose and long words. Labels have no other source here.
 
 Defined results: null and empty texts have no findings; null paths are empty; repeated rows are scanned each; equal
-spans are one candidate; a probability of exactly the threshold is a secret; an empty table has no findings; other
-columns are not read by the scan and are kept by the redaction.
+spans are one candidate; a probability of exactly the threshold is a secret; a text of any length takes time and memory
+in proportion to it; an empty table has no findings; other columns are not read by the scan and are kept by the
+redaction.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -43,13 +46,19 @@ LEAST = 16
 KEY = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: How issued keys of well-known services look, and the forms of web tokens, private keys and URLs.
 ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|glpat-|sk_live_|sk-|xox[abp]-|npm_|AIza)[A-Za-z0-9_\-]{16,}")
-WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}")
-PRIVATE = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?-----END \1-----", re.DOTALL)
+DOTTED = re.compile(r"[A-Za-z0-9_\-.]+")
+#: A web token: its first part begins with this; letters of each of the three parts at least (of the first: after it).
+TOKEN_START, TOKEN_PART = "eyJ", 6
+KEY_MARK = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
 IN_URL = re.compile(r"://[^\s/:@]*:([^\s/@]+)@")
-#: Names that speak of secrets, before a sign of assignment; what is assigned, in quotes or up to a blank.
-NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)[a-z0-9_\-]*[\"'\])]*\s*$")
-SIGN = re.compile(r"=>|:=|[=:]")
-VALUE = re.compile(r"\s*(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"',;]{4,}))")
+#: Names that speak of secrets, and what assigns to them: a sign, or a verb of prose.
+NAMED = re.compile(r"(?i)passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer")
+NAME_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+SIGN = re.compile(r"=>|:=|[=:]|(?<=\s)(?:is|was)(?=\s)")
+BLANK, STOP = re.compile(r"\s*"), re.compile(r"[\s\"',;]")
+QUOTE_END = {q: re.compile(f"[{q}\n]") for q in "\"'"}
+#: Letters of an assigned value at least.
+LEAST_VALUE = 3
 #: Kinds of candidates, the most telling first.
 KINDS = ("private", "web_token", "issued", "in_url", "assigned", "run")
 #: Characters of context on either side.
@@ -107,7 +116,7 @@ def features(before: str, candidate: str, after: str, path: str, kind: str, word
     n = len(candidate)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in candidate]
     low = candidate.lower()
-    counts = [low.count(c) for c in set(low)]
+    counts = Counter(low).values()
     letters = re.findall("[a-z]+", low)
     vowels = [c in "aeiouy" for c in low if c.isalpha()]
     near, left = (before[-BESIDE:] + " " + after[:BESIDE]).lower(), before.rstrip("\"' ")
@@ -129,7 +138,7 @@ def features(before: str, candidate: str, after: str, path: str, kind: str, word
         float(bool(PLACEHOLDER.search(candidate))),
         float(bool(ISSUED.search(candidate))),
         float(bool(HARMLESS_PATHS.search(path))),
-        float(left.endswith(("=", ":", "=>"))),
+        float(left.endswith(("=", ":", "=>", " is", " was"))),
         float(before.endswith(('"', "'")) and after.startswith(('"', "'"))),
         float(any(w in x for x in beside for w in SECRET_WORDS)),
         float(any(w == x for x in beside for w in HARMLESS_WORDS)),
@@ -138,29 +147,80 @@ def features(before: str, candidate: str, after: str, path: str, kind: str, word
     ]
 
 
+def assigned_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is assigned to a name that speaks of secrets: in quotes on one line, or up to a stop. What
+    lies between two signs is read for the second one only, and stops are found in one pass beside the signs."""
+    stops = (m.start() for m in STOP.finditer(text))
+    stop, last = -1, 0
+    for m in SIGN.finditer(text):
+        before, last = text[last : m.start()].rstrip().rstrip("\"'])"), m.end()
+        if not NAMED.search(before[len(before.rstrip(NAME_CHARS)) :]):
+            continue
+        start = BLANK.match(text, m.end()).end()
+        if quote := QUOTE_END.get(text[start : start + 1]):
+            end = quote.search(text, start + 1)
+            if end and end.group() == text[start] and end.start() - start > LEAST_VALUE:
+                yield start + 1, end.start()
+            continue
+        while stop is not None and stop < start:
+            stop = next(stops, None)
+        end = len(text) if stop is None else stop
+        if end - start >= LEAST_VALUE:
+            yield start, end
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of three dotted parts of which the first holds TOKEN_START."""
+    for m in DOTTED.finditer(text):
+        if TOKEN_START not in m.group():
+            continue
+        start, parts, free = m.start(), m.group().split("."), m.start()
+        for i, part in enumerate(parts):
+            if start >= free and i + 2 < len(parts) and len(parts[i + 1]) >= TOKEN_PART <= len(parts[i + 2]):
+                at = part.find(TOKEN_START)
+                if at >= 0 and len(part) - at - len(TOKEN_START) >= TOKEN_PART:
+                    free = start + len(part) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                    yield start + at, free
+            start += len(part) + 1
+
+
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of private-key blocks: a beginning, up to the nearest end of the same kind."""
+    marks = [(m.start(), m.end(), m.group(1), m.group(2)) for m in KEY_MARK.finditer(text)]
+    ends: dict[str, int] = {}
+    closing = [0] * len(marks)  # where the block that begins here ends, found from the right
+    for i in range(len(marks) - 1, -1, -1):
+        start, end, what, kind = marks[i]
+        if what == "END":
+            ends[kind] = end
+        else:
+            closing[i] = ends.get(kind, 0)
+    free = 0
+    for (start, _, what, _), end in zip(marks, closing, strict=True):
+        if what == "BEGIN" and end and start >= free:
+            yield start, end
+            free = end
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the candidates of a text, none of which overlap."""
-    found = [(m.start(), m.end(), "run") for m in KEY.finditer(text)]
-    for m in SIGN.finditer(text):
-        if NAMED.search(text[max(0, m.start() - BESIDE) : m.start()]) and (v := VALUE.match(text, m.end())):
-            found.append((*v.span(v.lastindex), "assigned"))
-    found += [(m.start(), m.end(), "issued") for m in ISSUED.finditer(text)]
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "web_token") for m in WEB_TOKEN.finditer(text)]
-    if "://" in text:
-        found += [(*m.span(1), "in_url") for m in IN_URL.finditer(text)]
-    if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "private") for m in PRIVATE.finditer(text)]
-    found.sort(key=lambda x: (KINDS.index(x[2]), x[0]))
+    by_kind = {
+        "private": private_keys(text) if "-----BEGIN" in text else (),
+        "web_token": web_tokens(text) if TOKEN_START in text else (),
+        "issued": (m.span() for m in ISSUED.finditer(text)),
+        "in_url": (m.span(1) for m in IN_URL.finditer(text)) if "://" in text else (),
+        "assigned": assigned_values(text),
+        "run": (m.span() for m in KEY.finditer(text)),
+    }
     taken: list[tuple[int, int, str]] = []
-    for kind in KINDS:  # spans of one kind are in order and never overlap
-        own, out, i = [x for x in found if x[2] == kind], [], 0
-        for x in own:
-            while i < len(taken) and taken[i][1] <= x[0]:
+    for kind in KINDS:
+        out, i, free = [], 0, 0  # spans of one kind come in the order of their starts
+        for start, end in by_kind[kind]:
+            while i < len(taken) and taken[i][1] <= start:
                 i += 1
-            if i == len(taken) or taken[i][0] >= x[1]:
-                if not out or out[-1][1] <= x[0]:
-                    out.append(x)
+            if start >= free and (i == len(taken) or taken[i][0] >= end):
+                out.append((start, end, kind))
+                free = end
         taken = sorted(taken + out)
     return taken
 
@@ -238,6 +298,11 @@ def _labelled(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
     name = lambda: r.choice(["", "api_", "client_", "aws_", "db_", "MY_"]) + r.choice(["token", "secret", "password", "passwd", "key", "auth_token", "access_key", "private_key"])
     sign = lambda: r.choice([" = ", "=", ": ", ":", " => "])
 
+    def told(value: str) -> tuple[str, str, str]:
+        quote = r.choice(['"', "'", "", "", ""])
+        told = r.choice(["password", "Password", "passphrase", "secret", "token", "access key", "API key", "credential"])
+        return f"{prose(r.randint(0, 4))}{r.choice([' ', '. ', chr(10)])}{r.choice(['The ', 'the ', 'Your ', 'my ', ''])}{told} {r.choice(['is', 'was'])} {quote}", value, f"{quote}{r.choice(['.', ' ' + prose(3), chr(10), ', ' + prose(2)])}"
+
     def assigned(value: str, named: str = "") -> tuple[str, str, str]:
         quote = r.choice(['"', "'", '"', ""]) if not re.search(r"[\s\"',;]", value) else '"'
         named = named or name()
@@ -258,7 +323,9 @@ def _labelled(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
             return assigned(some(lower + upper + digits + "+/", r.choice([24, 32, 44, 64])) + r.choice(["", "=", "=="]))
         if kind == 6:  # passwords that people make
             value = r.choice([some(lower + digits, r.randint(6, 11)), r.choice(WORDS) + some(digits, r.randint(1, 4)) + r.choice("!#$%&*") + r.choice(["", r.choice(WORDS).capitalize()]), some(lower, r.randint(16, 24)), "".join(r.sample(WORDS, r.randint(3, 4))), "".join(w.capitalize() for w in r.sample(WORDS, 2)) + some(digits + "!#$", 3)])
-            return assigned(value, r.choice(["", "", "password", "passwd", "pwd"]))
+            if r.random() < 0.1:
+                value = some(lower + digits, r.randint(3, 5))
+            return told(value.replace(" ", "")) if r.random() < 0.25 and any(c.isdigit() for c in value) else assigned(value, r.choice(["", "", "password", "passwd", "pwd"]))
         if kind == 7:
             value = some(lower + upper + digits, r.randint(6, 14)) if r.random() < 0.7 else r.choice(WORDS) + some(digits, 3)
             return f"{prose(3)} {r.choice(['postgres', 'mysql', 'amqp', 'https', 'redis'])}://{r.choice(WORDS)}:", value, f"@{r.choice(WORDS)}.{word()}{r.choice([':5432/db', '/', ''])}"
@@ -289,6 +356,8 @@ def _labelled(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
             return f"{r.choice(['token', 'api_key', 'secret', 'password'])}{sign()}\"", value, '"'
         if kind == 6:  # settings and prose after such names
             value = r.choice(["None", "null", "true", "false", "required", "string", "string,", "optional", "self.token", "os.environ", "getpass()", "request.headers", "config.secret", r.choice(WORDS), word()])
+            if r.random() < 0.4:  # what prose says of them is no secret
+                return told(r.choice(["required", "wrong", "valid", "stored", "the", "not", "in", "sent", "hashed", "expired", "missing", r.choice(WORDS), word()]).rjust(LEAST_VALUE, "a"))
             return f"{prose(r.randint(0, 3))} {name()}{sign()}", value.rjust(4, "e"), r.choice([" " + prose(4), "\n", ")", ","])
         if kind == 7:
             return f"{prose(4)} ", "-".join(r.choice([word(), r.choice(WORDS)]) for _ in range(r.randint(3, 5))).ljust(LEAST, "e"), f" {prose(3)}"
@@ -346,8 +415,8 @@ def redacted(text: Column, path: Column, forest: Forest, threshold: float = 0.5,
                 cuts.setdefault(i, []).append((a, b))
         out = list(texts)
         for i, spans in cuts.items():
-            for a, b in reversed(spans):
-                out[i] = out[i][:a] + mask + out[i][b:]
+            starts, ends = zip(*spans, strict=True)
+            out[i] = mask.join(whole[i][a:b] for a, b in zip((0, *ends), (*starts, len(whole[i])), strict=True))
         return pd.Series(out, dtype=object)
 
     return redact(text, path.cast("string"))
