@@ -227,6 +227,40 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(tuple, again)) == sorted(map(tuple, listed))  # bytes do not depend on how rows were dealt
 
 
+def test_warc_archives_hang_on_the_rows_alone(spark, tmp_path):
+    """60,000 rows, written twice in one session and dealt anew: one key holds a third, null keys a tenth."""
+    r = random.Random(12)
+    rows = [(None if i % 10 == 0 else 7 if i % 3 == 0 else r.choice([i, -i, i << 40, 1 << 62]), f"http://h/{i}", f"{r.random()} " * r.choice([1, 2, 60])) for i in range(60_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = []
+    for i, dealt in enumerate((pages.repartition(8), pages.repartition(8), pages.repartition(3, "url"))):
+        listed.append(sorted(map(tuple, warc.write(dealt, f"file://{tmp_path}/{i}", partitions=12).collect())))
+    assert listed[0] == listed[1] == listed[2] and sum(x[1] for x in listed[0]) == len(rows)
+    assert len(listed[0]) >= 12 and max(x[1] for x in listed[0]) < 3 * len(rows) / 12
+    got = warc.read(spark, f"file://{tmp_path}/0")
+    assert got.count() == len(rows) and got.select("url").distinct().count() == len(rows)
+    keys = [[r.page_id for r in got.collect() if r.page_id is not None]]
+    assert sorted(keys[0]) == sorted(k for k, *_ in rows if k is not None)
+
+
+def test_warc_shards_against_a_plain_walk(spark):
+    r = random.Random(4)
+    for case in range(3):
+        keys = [r.choice([r.randrange(-(1 << 63), 1 << 63), r.randrange(50), (1 << 63) - 1, -(1 << 63)]) for _ in range(3000)]
+        sizes = [r.randrange(5000) for _ in keys]
+        frame = spark.createDataFrame(list(zip(keys, sizes, strict=True)), "key long, n long")
+        dealt = warc.shards(frame, 40_000)
+        load = collections.Counter()
+        for k, n in zip(keys, sizes, strict=True):
+            at = int(np.searchsorted(dealt.starts, k, "right")) - 1
+            assert at >= 0
+            load[at] += n + warc.HEADERS
+        assert sum(load.values()) == sum(sizes) + warc.HEADERS * len(sizes)
+        for at, n in load.items():
+            assert n <= 40_000 * dealt.splits[at] and (dealt.splits[at] == 1 or n > 40_000 * (dealt.splits[at] - 1)), case
+        assert dealt.number < 3 * sum(load.values()) / 40_000 and (np.diff(dealt.starts.astype(object)) > 0).all()
+
+
 def test_warc_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(pages).collect() == []
