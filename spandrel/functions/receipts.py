@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spandrel.functions.text import bound, normalize_text, to_halfwidth
+from spandrel.functions.text import bound, normalize_text, strip, to_halfwidth
 
 #: Joins texts that travel as one; a control character, so that texts do not hold it.
 SEPARATOR = "\x1f"
@@ -58,14 +58,14 @@ def corpus_date(x: Column) -> Column:
 
 def amount(x: Column, ascii_only: bool = False) -> Column:
     """The number of an amount without currency signs, commas and blanks; null if anything else is left."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(x if ascii_only else to_halfwidth(x), CURRENCY, ""), "[, ]", ""))
+    s = strip(F.regexp_replace(F.regexp_replace(x if ascii_only else to_halfwidth(x), CURRENCY, ""), "[, ]", ""))
     return F.when(s.rlike(r"^-?\d+(\.\d+)?$"), s.cast("double"))
 
 
 def box_amount(text: Column, half: Column) -> Column:
     """The number of a box that holds an amount alone, with a sign of currency before or after it; else null. text: the
     box as read, half: the same in half width."""
-    bare = lambda t: F.regexp_replace(F.regexp_replace(F.trim(t), BOX_CURRENCY, ""), "[元圓]+$", "")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(strip(t), BOX_CURRENCY, ""), "[元圓]+$", "")
     return F.when(bare(text).rlike(BOX_AMOUNT), amount(bare(half), ascii_only=True))
 
 

@@ -21,6 +21,11 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_text(x: Column, ascii_only: bool = False) -> Column:
     """Canonical form, white space collapsed, upper case; an empty text is null."""
     x = x if ascii_only else to_halfwidth(x)

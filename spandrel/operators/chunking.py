@@ -138,9 +138,11 @@ def chunk_rows(placed: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows
 
 
-def page_fallbacks(placed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, chunk_idx, page, text): a placeholder for each page without a chunk, numbered on after the document's chunks."""
-    pages = placed.groupBy(key, "page").agg(F.max("chunk").alias("most"))
+def page_fallbacks(placed: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, chunk_idx, page, text): a placeholder for each of `pages` (key, page) without a chunk, be it that its elements
+    have none or that it has no element at all; numbered on after the document's chunks."""
+    every = placed.select(key, "page", "chunk").unionByName(pages.select(key, "page", F.lit(-1).alias("chunk")))
+    pages = every.groupBy(key, "page").agg(F.max("chunk").alias("most"))
     used = pages.groupBy(key).agg(F.max("most").alias("used"))
     lost = pages.filter("most < 0").select(key, "page", F.row_number().over(Window.partitionBy(key).orderBy("page")).alias("n"))
     return lost.join(used, key).select(key, (F.col("used") + F.col("n")).cast("int").alias("chunk_idx"), "page", F.lit(PLACEHOLDER).alias("text"))
@@ -148,8 +150,8 @@ def page_fallbacks(placed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sentence_nodes(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sent_idx, chunk_idx, text): the sentences of chunks (key, chunk_idx, text), numbered through the document. Only
-    the chunks' counts of sentences are summed over a document; the texts stay where they are."""
-    rows = chunks.select(key, "chunk_idx", sentences(F.col("text")).alias("parts"))
-    before = F.sum(F.size("parts")).over(Window.partitionBy(key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("before", F.coalesce(before, F.lit(0)))
-    return placed.select(key, "chunk_idx", "before", F.posexplode("parts").alias("n", "text")).select(key, (F.col("before") + F.col("n")).cast("int").alias("sent_idx"), "chunk_idx", "text")
+    the chunks' counts of sentences meet by document and are summed; the texts meet their sums by chunk."""
+    counts = chunks.select(key, "chunk_idx", F.size(sentences(F.col("text"))).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1))
+    placed = chunks.join(counts.select(key, "chunk_idx", F.coalesce(before, F.lit(0)).alias("before")), [key, "chunk_idx"])
+    return placed.withColumn("parts", sentences(F.col("text"))).select(key, "chunk_idx", "before", F.posexplode("parts").alias("n", "text")).select(key, (F.col("before") + F.col("n")).cast("int").alias("sent_idx"), "chunk_idx", "text")

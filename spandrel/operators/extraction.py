@@ -17,6 +17,8 @@ from spandrel.operators.layout import line_numbers
 
 #: Words of total rows and of item headers, compared with the upper-case line.
 TOTAL_WORDS = ("總計", "合計", "合计", "應付金額", "应付金额", "應付總額", "消費金額", "TOTAL", "GRAND TOTAL", "AMOUNT DUE", "NET TOTAL", "TOTAL SALES", "DUE")
+#: The fewer words by which an annotator's suggestion knows a total row, compared as written.
+SUGGESTED_WORDS = ("總計", "合計", "應付金額", "應付總額", "消費金額")
 HEADER_WORDS = ("品名", "品項", "數量", "数量", "金額", "金额", "QTY", "DESCRIPTION", "AMOUNT")
 INVOICE = r"(?U)[A-Za-z]{2}\s?-?\s?\d{8}"
 TAX_ID = r"(?U)\d{8}"
@@ -119,7 +121,7 @@ def assembled(images: DataFrame, image: str = "image_id", helper: DataFrame | No
 
 def suggested(lines: Column) -> Column:
     """Header fields that an annotator is offered: as `header_fields`, but ids are sought in all lines joined by blanks,
-    and the total is the first amount on a line with a total word (as written) or on the line after it."""
+    and the total is the first amount on a line with one of SUGGESTED_WORDS or on the line after it."""
     texts = F.transform(lines, lambda l: l["text"])
 
     def number(t: Column) -> Column:
@@ -129,7 +131,7 @@ def suggested(lines: Column) -> Column:
     def found(known: Column) -> Column:
         joined = F.array_join(texts, " ")
         ids = F.regexp_extract_all(F.when(known["invoice"].isNull(), joined).otherwise(F.replace(joined, known["invoice"], F.lit(""))), F.lit(TAX_ID), F.lit(0))
-        near = F.transform(lines, lambda l, i: F.when(F.greatest(*(F.contains(l["text"], F.lit(w)) for w in TOTAL_WORDS)), F.coalesce(number(l["half"]), number(F.get(lines, i + 1)["half"]))))
+        near = F.transform(lines, lambda l, i: F.when(F.greatest(*(F.contains(l["text"], F.lit(w)) for w in SUGGESTED_WORDS)), F.coalesce(number(l["half"]), number(F.get(lines, i + 1)["half"]))))
         return F.struct(F.get(texts, F.lit(0)).alias("seller_name"), known["date"].alias("date"), known["invoice"].alias("invoice_number"), F.get(ids, F.lit(0)).alias("seller_tax_id"), F.get(ids, F.lit(1)).alias("buyer_tax_id"), _first(near).alias("total_amount"))
 
     first = F.struct(_first(F.transform(lines, lambda l: R.date(l["half"], ascii_only=True))).alias("date"), _first(F.transform(texts, lambda t: F.nullif(F.regexp_extract(t, INVOICE, 0), F.lit("")))).alias("invoice"))

@@ -48,15 +48,23 @@ def serialised(rows: DataFrame, ir: str = "ir") -> DataFrame:
 
 
 def elements_of(documents: DataFrame) -> DataFrame:
-    """(document_id, parser, page, reading_order, element_id, type, text) in canonical order within the row."""
-    pages = documents.select(F.col("ir.document.document_id").alias("document_id"), F.col("ir.parser.name").alias("parser"), F.explode("ir.pages").alias("p"))
-    return pages.select("document_id", "parser", F.col("p.page_number").alias("page"), F.explode("p.elements").alias("e")).select("document_id", "parser", "page", "e.reading_order", "e.element_id", F.col("e.element_type").alias("type"), "e.text")
+    """(document_id, parser, page, reading_order, element_id, type, text): a document's elements one after another by page
+    and reading order, equal ones as stored. Sorted within the row, so nothing is shuffled."""
+    return documents.select(F.col("ir.document.document_id").alias("document_id"), F.col("ir.parser.name").alias("parser"), F.explode(canonical_elements(F.col("ir"))).alias("e")).select(
+        "document_id", "parser", "e.page", "e.reading_order", "e.element_id", "e.type", "e.text"
+    )
+
+
+def canonical_elements(ir: Column) -> Column:
+    """(page, at, reading_order, nth, element_id, type, text) of a document's elements in canonical order; at and nth:
+    where its page and it are stored."""
+    one = lambda p, e, i, j: F.struct(p["page_number"].alias("page"), i.alias("at"), e["reading_order"].alias("reading_order"), j.alias("nth"), e["element_id"].alias("element_id"), e["element_type"].alias("type"), e["text"].alias("text"))
+    return F.array_sort(F.flatten(F.transform(ir["pages"], lambda p, i: F.transform(p["elements"], lambda e, j: one(p, e, i, j)))))
 
 
 def plain_text(ir: Column) -> Column:
     """A document's texts that are not empty, a line each, by page and reading order."""
-    texts = F.flatten(F.transform(ir["pages"], lambda p: F.transform(p["elements"], lambda e: F.struct(p["page_number"].alias("page"), e["reading_order"].alias("ord"), e["text"].alias("text")))))
-    return F.array_join(F.transform(F.filter(F.array_sort(texts), lambda e: F.coalesce(e["text"], F.lit("")) != ""), lambda e: e["text"]), "\n")
+    return F.array_join(F.transform(F.filter(canonical_elements(ir), lambda e: F.coalesce(e["text"], F.lit("")) != ""), lambda e: e["text"]), "\n")
 
 
 def artifact_name(x: Column) -> Column:

@@ -97,10 +97,10 @@ def w10_figure_caption(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j17_unrepresented_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without a chunk: an anti join inside the row."""
+    """Pages without a chunk, of as many pages as there are and one without any element: an anti join inside the row."""
     rows = elements(spark, d).select("doc_id", "els", C.structure_chunks(F.col("els")).alias("placed"))
     covered = F.transform(F.filter(F.arrays_zip("els", "placed"), lambda z: z["placed"]["chunk"] >= 0), lambda z: z["els"]["page"])
-    return rows.select("doc_id", F.explode(F.array_except(F.transform("els", lambda x: x["page"]), covered)).alias("page"))
+    return rows.select("doc_id", F.explode(F.array_except(F.sequence(F.lit(1), F.array_max(F.transform("els", lambda x: x["page"])) + 1), covered)).alias("page"))
 
 
 def a20_type_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -409,7 +409,7 @@ ORACLES = {
     "f14_sentences": f"""WITH x AS (SELECT doc_id, [y FOR y IN [regexp_replace(z, '^{BLANK}+|{BLANK}+$', '', 'g') FOR z IN string_split(regexp_replace(text, '([。！？!?；;]){BLANK}*', '\\1' || chr(10), 'g'), chr(10))] IF y <> ''] AS s FROM documents)
         SELECT doc_id, unnest(range(len(s)))::INTEGER AS sent_idx, unnest(s) AS text FROM x""",
     "w10_figure_caption": f"WITH {_LINES} SELECT a.doc_id, a.i AS ord, b.i AS caption_ord FROM e a LEFT JOIN e b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND b.type = 'caption' AND a.page = b.page WHERE a.type = 'figure'",
-    "j17_unrepresented_pages": f"WITH {_LINES} SELECT doc_id, page FROM e GROUP BY ALL HAVING bool_and(dark)",
+    "j17_unrepresented_pages": f"WITH {_LINES} SELECT doc_id, page FROM e GROUP BY ALL HAVING bool_and(dark) UNION ALL SELECT doc_id, max(page) + 1 FROM e GROUP BY doc_id",
     "a20_type_histogram": f"WITH {_LINES} SELECT type AS element_type, count(*) AS n FROM e GROUP BY 1",
     "r1_topk_bigram": f"WITH RECURSIVE {_PLAIN} {_SHOW}",
     "r2_topk_windowed": f"WITH RECURSIVE {_WINDOWED} {_SHOW}",

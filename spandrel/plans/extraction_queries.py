@@ -1,7 +1,7 @@
 """Receipt extraction over images made from orders by rule, each query with its DuckDB twin.
 
 An order is an image: lines for a seller, a date (some in full width), an invoice number (not on every third), two ids,
-an item header, its line items (every fifth without an amount), a total, and a footer. The twins state the result from
+an item header, its line items (every fifth without an amount), a total under one of three words, and a footer. The twins state the result from
 the columns that the image was made of.
 """
 
@@ -28,17 +28,17 @@ def _eight(x: Column) -> Column:
 
 def box_rows(spark: SparkSession, d: str) -> DataFrame:
     """(image_id, box_id, text, x0, y0, x1, y1): a line is 20 high, boxes of a line overlap in height by rule."""
-    o, k = table(spark, d, "orders").filter("o_orderkey % 4 <> 3"), F.col("o_orderkey")
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy/MM/dd")
     total = F.concat(F.lit("NT$"), F.format_number(F.floor("o_totalprice"), 0))
     box = lambda line, x, text: F.struct(F.lit(line).cast("double").alias("line"), F.lit(x).cast("double").alias("x"), text.alias("text"))
     heads = F.array(
         box(0, 0, F.concat(F.lit("shop "), F.col("o_orderpriority"))), box(1, 0, F.lit("日期")), box(1, 100, F.when(k % 2 == 0, wide(day)).otherwise(day)), box(2, 0, F.when(k % 3 != 0, F.concat(F.lit("No. AB-"), F.lpad(k.cast("string"), 8, "0"))).otherwise("no number")),
         box(3, 0, F.concat(F.lit("統編 "), _eight(F.col("o_custkey")))), box(3, 200, F.when(k % 5 == 0, F.concat(F.lit(" 買方 "), _eight(k))).otherwise("-")), box(4, 0, F.lit("品名")), box(4, 100, F.lit("數量")), box(4, 200, F.lit("金額")),
-        box(98, 0, F.lit("Total")), box(98, 100, F.when(k % 7 != 0, total).otherwise("unread")), box(99, 0, F.lit("thank you")), box(99, 50, F.lit("99")),
+        box(98, 0, F.when(k % 11 == 0, "TOTAL").when(k % 11 == 1, "合計").otherwise("Total")), box(98, 100, F.when(k % 7 != 0, total).otherwise("unread")), box(99, 0, F.lit("thank you")), box(99, 50, F.lit("99")),
     )
     head = o.select(k.alias("image_id"), F.explode(heads).alias("b"))
-    lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).filter("l_orderkey % 4 <> 3")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "p_name", "l_quantity", "l_extendedprice")).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
     paid = F.when(F.col("l_linenumber") % 5 == 4, F.lit("free")).otherwise(F.format_number(F.floor("l_extendedprice"), 0))
     parts = F.array(box(0, 0, F.col("p_name")), box(0, 100, F.col("l_quantity").cast("int").cast("string")), box(0, 200, paid))
@@ -53,7 +53,7 @@ def images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t2_line_text(spark: SparkSession, d: str) -> DataFrame:
-    return images(spark, d).select("image_id", F.posexplode(F.transform("lines", lambda l: l["text"])).alias("line", "text")).filter("line < 5")
+    return images(spark, d).select("image_id", F.posexplode(F.transform("lines", lambda l: l["text"])).alias("line", "text"))
 
 
 def t12_header_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,7 @@ def f5_tax_id(spark: SparkSession, d: str) -> DataFrame:
 
 def f8_box_amount(spark: SparkSession, d: str) -> DataFrame:
     o, k, n = table(spark, d, "orders"), F.col("o_orderkey"), F.floor("o_totalprice")
-    text = F.when(k % 6 == 0, F.format_number(n, 0)).when(k % 6 == 1, F.concat(F.lit("nt$ "), n.cast("string"))).when(k % 6 == 2, F.concat(F.lit("-"), n.cast("string"), F.lit(".5元"))).when(k % 6 == 3, F.concat(F.lit("1,23"), n.cast("string"))).when(k % 6 == 4, F.concat(n.cast("string"), F.lit(" pcs"))).otherwise(F.translate(n.cast("string"), WIDE_FROM, WIDE_TO))
+    text = F.when(k % 6 == 0, F.format_number(n, 0)).when(k % 6 == 1, F.concat(F.lit("nt$ "), n.cast("string"))).when(k % 6 == 2, F.concat(F.lit("-"), n.cast("string"), F.lit(".5元"))).when(k % 6 == 3, F.concat(F.lit("1,23"), n.cast("string"))).when(k % 6 == 4, F.concat(n.cast("string"), F.lit(" pcs"))).otherwise(F.concat(F.lit("\u3000"), F.translate(n.cast("string"), WIDE_FROM, WIDE_TO), F.lit("\t")))
     rows = o.select(k.alias("key"), text.alias("text")).withColumn("half", X.TX.to_halfwidth("text"))
     return rows.select("key", R.box_amount(F.col("text"), F.col("half")).alias("amount"))
 
@@ -132,25 +132,30 @@ def f26_schema_errors(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (t2_line_text, t12_header_fields, t13_items, t14_assemble, t15_pipeline, t16_prefill, p1_projection, f5_tax_id, f8_box_amount, f26_schema_errors)}
 
-_IMAGES = """o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderdate AS t, floor(o_totalprice)::BIGINT AS total FROM orders WHERE o_orderkey % 4 <> 3),
+_IMAGES = """o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderdate AS t, floor(o_totalprice)::BIGINT AS total FROM orders),
 l AS (SELECT l_orderkey AS k, l_linenumber AS n, arg_min(p_name, (l_partkey, p_name, l_quantity, l_extendedprice)) AS name, arg_min(floor(l_extendedprice), (l_partkey, p_name, l_quantity, l_extendedprice)) AS a, arg_min(l_quantity, (l_partkey, p_name, l_quantity, l_extendedprice)) AS q
       FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey IN (SELECT k FROM o) GROUP BY ALL),
 i AS (SELECT k, n, upper(name) AS name, a::DOUBLE AS amount, row_number() OVER (PARTITION BY k ORDER BY n)::INTEGER - 1 AS idx FROM l WHERE n % 5 <> 4),
 h AS (SELECT k, 'shop ' || p AS seller, strftime(t, '%Y-%m-%d') AS day, CASE WHEN k % 3 <> 0 THEN 'AB-' || lpad(k::VARCHAR, 8, '0') END AS inv, lpad((c * 7919 % 100000000)::VARCHAR, 8, '0') AS s, CASE WHEN k % 5 = 0 THEN lpad((k * 7919 % 100000000)::VARCHAR, 8, '0') END AS b,
       CASE WHEN k % 7 <> 0 THEN total::DOUBLE END AS total, total AS whole FROM o)"""
+#: The word of the total row; the annotator is offered the total of 合計 only, or else the number of the next line.
+_LABEL = "CASE k % 11 WHEN 0 THEN 'TOTAL' WHEN 1 THEN '合計' ELSE 'Total' END"
 _RAW = """r AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'e_invoice' WHEN 1 THEN 'receipt' END AS doc_type, o_orderdate AS t, o_custkey AS c, floor(o_totalprice)::DOUBLE AS total FROM orders)"""
 _EIGHT = "lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '0')"
 ORACLES = {
     "t2_line_text": f"""WITH {_IMAGES}, w AS (SELECT k, strftime(t, '%Y/%m/%d') AS day FROM o)
         SELECT k AS image_id, 0 AS line, seller AS text FROM h UNION ALL SELECT k, 1, '日期' || CASE WHEN k % 2 = 0 THEN translate(day, '0123456789/', '０１２３４５６７８９／') ELSE day END FROM w
-        UNION ALL SELECT k, 2, CASE WHEN inv IS NULL THEN 'no number' ELSE 'No. ' || inv END FROM h UNION ALL SELECT k, 3, '統編 ' || s || coalesce(' 買方 ' || b, '-') FROM h UNION ALL SELECT k, 4, '品名數量金額' FROM h""",
+        UNION ALL SELECT k, 2, CASE WHEN inv IS NULL THEN 'no number' ELSE 'No. ' || inv END FROM h UNION ALL SELECT k, 3, '統編 ' || s || coalesce(' 買方 ' || b, '-') FROM h UNION ALL SELECT k, 4, '品名數量金額' FROM h
+        UNION ALL SELECT k, 4 + row_number() OVER (PARTITION BY k ORDER BY n), name || q::INTEGER || CASE WHEN n % 5 = 4 THEN 'free' ELSE format('{{:,}}', a::BIGINT) END FROM l
+        UNION ALL SELECT k, 5 + coalesce(m, 0), {_LABEL} || CASE WHEN k % 7 <> 0 THEN 'NT$' || format('{{:,}}', whole) ELSE 'unread' END FROM h LEFT JOIN (SELECT k, count(*) AS m FROM l GROUP BY k) USING (k)
+        UNION ALL SELECT k, 6 + coalesce(m, 0), 'thank you99' FROM h LEFT JOIN (SELECT k, count(*) AS m FROM l GROUP BY k) USING (k)""",
     "t12_header_fields": f"WITH {_IMAGES} SELECT k AS image_id, CASE WHEN inv IS NULL THEN 'receipt' ELSE 'e_invoice' END AS doc_type, seller AS seller_name, day AS date, inv AS invoice_number, s AS seller_tax_id, b AS buyer_tax_id, total AS total_amount FROM h",
     "t13_items": f"WITH {_IMAGES} SELECT k AS image_id, idx, name, amount FROM i",
     "t14_assemble": f"""WITH {_IMAGES}, n AS (SELECT k, count(*)::INTEGER AS n, max(name) FILTER (idx = 0) AS first FROM i GROUP BY 1)
         SELECT k AS image_id, CASE WHEN inv IS NULL THEN 'receipt' ELSE 'e_invoice' END AS doc_type, total AS total_amount, CASE WHEN n IS NULL THEN CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END ELSE n END AS n_items, CASE WHEN n IS NULL AND k % 2 = 0 THEN 'asked' ELSE first END AS first_name FROM h LEFT JOIN n USING (k)""",
     "t15_pipeline": f"""WITH {_IMAGES}, n AS (SELECT k, count(*)::INTEGER AS n FROM i GROUP BY 1)
         SELECT k AS image_id, CASE WHEN inv IS NULL THEN 'receipt' ELSE 'e_invoice' END AS doc_type, upper(seller) AS seller_name, day AS date, replace(inv, '-', '') AS invoice_number, s AS seller_tax_id, b AS buyer_tax_id, total AS total_amount, coalesce(n, 0) AS n_items FROM h LEFT JOIN n USING (k)""",
-    "t16_prefill": f"WITH {_IMAGES} SELECT k AS image_id, seller AS seller_name, day AS date, inv AS invoice_number, s AS seller_tax_id, b AS buyer_tax_id, NULL::DOUBLE AS total_amount FROM h",
+    "t16_prefill": f"WITH {_IMAGES} SELECT k AS image_id, seller AS seller_name, day AS date, inv AS invoice_number, s AS seller_tax_id, b AS buyer_tax_id, CASE WHEN k % 11 = 1 THEN coalesce(total, 99) END::DOUBLE AS total_amount FROM h",
     "p1_projection": f"""WITH {_RAW} SELECT k AS key, doc_type, 'AB ' || k AS seller_name, strftime(t, '%Y-%m-%d') AS date, 'AB' || lpad(k::VARCHAR, 8, '0') AS invoice_number, lpad((c * 7919 % 100000000)::VARCHAR, 8, '0') AS seller_tax_id, NULL::VARCHAR AS buyer_tax_id,
         total AS total_amount, 'A ' || k || '|PLAIN' AS names FROM r""",
     "f5_tax_id": f"SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 < 2 THEN {_EIGHT} END AS tax_id FROM orders",

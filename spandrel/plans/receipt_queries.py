@@ -52,6 +52,7 @@ def f4_normalize_amount(spark: SparkSession, d: str) -> DataFrame:
     whole, rest = F.expr("floor(o_totalprice * 100) div 100"), F.lpad((cents % 100).cast("string"), 2, "0")
     raw = F.when(k == 0, F.concat(F.lit("NT$"), F.format_number(whole, 0), F.lit("."), rest)).when(k == 1, F.concat(F.lit("RM "), whole.cast("string"), F.lit("."), rest)).when(k == 2, F.concat(F.lit("-"), whole.cast("string"))).when(k == 3, F.concat(whole.cast("string"), F.lit(" 元"))).otherwise(F.lit("n/a"))
     raw = F.when(F.col("o_orderkey") % 4 == 1, F.translate(raw, *WIDE)).otherwise(raw)
+    raw = F.when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("\t"), raw, F.lit("\n"))).otherwise(raw)
     return o.select(F.col("o_orderkey").alias("key"), raw.alias("raw")).select("key", "raw", R.amount(F.col("raw")).alias("amount"))
 
 
@@ -264,7 +265,7 @@ ORACLES = {
     "s21_date_formats": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 < 6 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders",
     "f4_normalize_amount": """WITH o AS (SELECT o_orderkey AS key, o_orderkey % 5 AS k, floor(o_totalprice * 100)::BIGINT AS c FROM orders), p AS (SELECT *, c // 100 AS w, lpad((c % 100)::VARCHAR, 2, '0') AS r FROM o)
         SELECT key, CASE k WHEN 0 THEN 'NT$' || format('{:,}', w) || '.' || r WHEN 1 THEN 'RM ' || w || '.' || r WHEN 2 THEN '-' || w WHEN 3 THEN w || ' 元' ELSE 'n/a' END AS raw,
-        CASE WHEN k < 2 THEN (w || '.' || r)::DOUBLE WHEN k = 2 THEN -w::DOUBLE WHEN k = 3 THEN w::DOUBLE END AS amount FROM p""".replace("SELECT key, CASE k", "SELECT key, CASE WHEN key % 4 = 1 THEN translate(t, $WIDE) ELSE t END AS raw, amount FROM (SELECT key, CASE k").replace("END AS raw,\n", "END AS t,\n").replace("AS amount FROM p", "AS amount FROM p)").replace("$WIDE", ", ".join(f"'{x}'" for x in WIDE)),
+        CASE WHEN k < 2 THEN (w || '.' || r)::DOUBLE WHEN k = 2 THEN -w::DOUBLE WHEN k = 3 THEN w::DOUBLE END AS amount FROM p""".replace("SELECT key, CASE k", "SELECT key, CASE WHEN key % 4 = 1 THEN translate(t, $WIDE) WHEN key % 4 = 2 THEN chr(9) || t || chr(10) ELSE t END AS raw, amount FROM (SELECT key, CASE k").replace("END AS raw,\n", "END AS t,\n").replace("AS amount FROM p", "AS amount FROM p)").replace("$WIDE", ", ".join(f"'{x}'" for x in WIDE)),
     "f6_tax_id_checksum": """WITH k AS (SELECT c_custkey AS key FROM customer UNION ALL SELECT s_suppkey + 1000000 FROM supplier), t AS (SELECT key, lpad((key * 7919 % 100000000)::VARCHAR, 8, '0') AS tax_id FROM k),
         p AS (SELECT key, tax_id, unnest([substring(tax_id, i, 1)::INT * [1, 2, 1, 2, 1, 2, 4, 1][i] FOR i IN range(1, 9)]) AS p FROM t),
         s AS (SELECT key, tax_id, sum(p // 10 + p % 10) AS s FROM p GROUP BY ALL) SELECT key, tax_id, s % 5 = 0 OR (substring(tax_id, 7, 1) = '7' AND (s + 1) % 5 = 0) AS valid FROM s""",
