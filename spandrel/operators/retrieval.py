@@ -1,214 +1,152 @@
-"""Lexical retrieval: character n-grams of a stated set of questions against all chunks.
+"""Retrieval and its evaluation: top chunks for questions, evidence among chunks, answers, and what went wrong.
 
-Chunks stay where they are. A task counts, for a batch of its chunks, only the grams that questions have (plus each
-text's norm over all its grams), multiplies counts by the questions', and keeps the k best of each question; so what is
-shuffled is k rows a question and task, never a (question, chunk) pair. Questions pass through the
-driver and travel with the task in blocks of QUESTIONS, one pass over the chunks each; nothing bounds how many there are.
+Evidence of a question is a set of conditions on one chunk: its document, a page, pages that it must cover, and terms
+that its text must hold. Whether a chunk fulfils them is division: all its conditions must be met by the same chunk. As a
+chunk's text and an evidence's terms meet whole in one place, one count of the terms found decides, without a shuffle.
+Chunks and evidence meet in blocks in a grid, as in `gram_index`; nothing passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions import text as TX
+from spandrel.operators import gram_index
+from spandrel.operators.gram_index import TOP, Windows
 
-#: Questions that travel with one pass.
-QUESTIONS = 2048
-#: Texts that are counted together.
-TEXTS = 1024
-TOP = 5
-
-
-@dataclass(frozen=True)
-class Windows:
-    """Parameters of the windowed score: best window and whole chunk, cosine and coverage, weighed."""
-
-    size: int = 320
-    overlap: int = 80
-    whole: float = 0.25
-    coverage: float = 0.5
-
-    def __post_init__(self) -> None:
-        if self.size <= 0 or not 0 <= self.overlap < self.size or not 0 <= self.whole <= 1 or not 0 <= self.coverage <= 1:
-            raise ValueError("size > overlap >= 0; whole and coverage in 0..1")
-
-    def texts(self, x: Column, section: Column | None = None) -> Column:
-        """Windows of a text, with its section path on a line before it: the whole if it is short enough, else one at every
-        step before its end."""
-        if section is not None:
-            x = F.concat_ws("\n", F.nullif(section, F.lit("")), F.coalesce(x, F.lit("")))
-        x = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
-        many = F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(self.size - self.overlap)), lambda i: F.substring(x, i + 1, F.lit(self.size)))
-        return F.when(F.length(x) <= self.size, F.array(x)).otherwise(many)
-
-
-def gram_keys(text: str) -> np.ndarray:
-    """A number for each character bigram of a compacted text; one character is its own only gram."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    if len(c) == 1:
-        return c << 21
-    return (c[:-1] << 21) | (c[1:] + 1)
-
-
-class Questions:
-    """Gram counts of questions over their common vocabulary."""
-
-    def __init__(self, texts: list[str]):
-        counts = [np.unique(gram_keys(t), return_counts=True) for t in texts]
-        self.vocabulary = np.unique(np.concatenate([k for k, _ in counts])) if counts else np.zeros(0, np.int64)
-        self.counts = np.zeros((len(self.vocabulary), len(texts)))
-        for q, (keys, n) in enumerate(counts):
-            self.counts[np.searchsorted(self.vocabulary, keys), q] = n
-        self.norms = np.sqrt((self.counts**2).sum(axis=0))
-        self.sizes = self.counts.sum(axis=0)
-        self.most = int(self.counts.max(initial=0))
-
-    def against(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, coverage) of every text with every question; nothing in common, or no grams, gives zero."""
-        cosine, coverage = np.zeros((len(texts), self.counts.shape[1])), np.zeros((len(texts), self.counts.shape[1]))
-        for a in range(0, len(texts), TEXTS):
-            part = texts[a : a + TEXTS]
-            keys = [gram_keys(t) for t in part]
-            at = np.repeat(np.arange(len(part)), [len(k) for k in keys])
-            both, n = np.unique((at << 42) | np.concatenate(keys), return_counts=True)
-            row, key = both >> 42, both & ((1 << 42) - 1)
-            norms = np.sqrt(np.bincount(row, n.astype(float) ** 2, len(part)))
-            place = np.searchsorted(self.vocabulary, key)
-            known = place < len(self.vocabulary)
-            known[known] = self.vocabulary[place[known]] == key[known]
-            found = np.zeros((len(part), len(self.vocabulary)))
-            found[row[known], place[known]] = n[known]
-            dot, scale = found @ self.counts, norms[:, None] * self.norms[None, :]
-            cosine[a : a + len(part)] = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
-            shared = sum(((found >= t).astype(float) @ (self.counts >= t).astype(float) for t in range(1, self.most + 1)), np.zeros_like(dot))
-            coverage[a : a + len(part)] = np.divide(shared, self.sizes[None, :], out=np.zeros_like(dot), where=self.sizes[None, :] > 0)
-        return cosine, coverage
-
-
-def asked(questions: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The stated questions in blocks of bounded size."""
-    rows = [(r[0], r[1]) for r in questions.select(id_col, TX.compact(F.col(text_col))).orderBy(id_col).toLocalIterator()]
-    return [rows[a : a + QUESTIONS] for a in range(0, len(rows), QUESTIONS)]
-
-
-def _windowed(cosine: np.ndarray, coverage: np.ndarray, first: np.ndarray, w: Windows) -> np.ndarray:
-    """Scores of chunks from those of their texts; a chunk's first text is the whole, the others are its windows."""
-    local = (1 - w.coverage) * cosine + w.coverage * coverage
-    ends = np.append(first[1:], len(local))
-    best = np.stack([local[a + 1 : b].max(axis=0) for a, b in zip(first, ends, strict=True)]) if len(first) else local
-    return w.whole * cosine[first] + (1 - w.whole) * best
+__all__ = ["TOP", "Windows", "answers", "evidence_in", "extractive_answer", "question_results", "top_chunks"]
+
+#: Chunks, and pieces of evidence, that meet in one row.
+CHUNKS, EVIDENCE = 64, 1024
 
 
 def top_chunks(chunks: DataFrame, questions: DataFrame, k: int = TOP, score: str = "cosine", windows: Windows | None = None, key: str = "doc_id", index: str = "chunk_idx", text: str = "text", q_id: str = "item_id", q_text: str = "text", section: str | None = None) -> DataFrame:
     """(q_id, key, index, score, rank): the k best chunks of every question, ties to smaller key and index; chunks that
     share nothing fill up to k. score: "cosine" or "coverage"; with windows, the windowed score, whose windows start with the
     path of the column `section`, if one is named."""
-    texts = F.array(TX.compact(F.col(text)))
-    if windows is not None:
-        texts = F.concat(texts, F.transform(windows.texts(F.col(text), F.col(section) if section else None), lambda w: TX.compact(w)))
-    rows = chunks.select(F.col(key).cast("long").alias("key"), F.col(index).cast("int").alias("idx"), texts.alias("texts"))
-    schema = "item long, key long, idx int, score double"
-    out = None
-    for block in asked(questions, q_id, q_text):
-        ids, stated = [i for i, _ in block], [t for _, t in block]
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, stated=stated) -> Iterator[pa.RecordBatch]:
-            own = Questions(stated)
-            best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                flat = batch.column(2).flatten().to_pylist()
-                first = np.array(batch.column(2).offsets.to_numpy()[:-1]) - batch.column(2).offsets[0].as_py()
-                cosine, coverage = own.against(flat)
-                got = _windowed(cosine, coverage, first, windows) if windows is not None else (cosine if score == "cosine" else coverage)
-                keys, idx = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-                for q, (s, a, b) in enumerate(best):
-                    s, a, b = np.append(s, got[:, q]), np.append(a, keys), np.append(b, idx)
-                    order = np.lexsort((b, a, -s))[:k]
-                    best[q] = (s[order], a[order], b[order])
-            n = [len(x[0]) for x in best]
-            if sum(n):
-                s, a, b = (np.concatenate([x[i] for x in best]) for i in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int32)), pa.array(s)], ["item", "key", "idx", "score"])
-
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = chunks.sparkSession.createDataFrame([], schema)
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "key", "idx"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("item").alias(q_id), F.col("key").alias(key), F.col("idx").alias(index), "score", "rank")
-
-
-def evidence_in(chunks: DataFrame, terms: DataFrame, key: str = "doc_id", index: str = "chunk_idx", text: str = "text", q_id: str = "item_id", term: str = "text") -> DataFrame:
-    """(q_id, key, index): chunks whose text holds a question's evidence term, both without white space, separators and
-    case. All terms are looked for in one pass over each chunk."""
-    found = None
-    for block in asked_terms(terms, q_id, term):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            where: dict[str, list[int]] = {}
-            for i, t in block:
-                where.setdefault(t, []).append(i)
-            a = ahocorasick.Automaton()
-            for t, ids in where.items():
-                a.add_word(t, ids)
-            a.make_automaton()
-            for batch in batches:
-                hits = sorted({(i, n) for n, t in enumerate(batch.column(2).to_pylist()) for _, ids in a.iter(t) for i in ids})
-                if hits:
-                    at = pa.array([n for _, n in hits])
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hits], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["item", "key", "idx"])
-
-        rows = chunks.select(F.col(key).cast("long").alias("key"), F.col(index).cast("int").alias("idx"), TX.answer_form(F.col(text)).alias("t"))
-        got = rows.mapInArrow(run, "item long, key long, idx int")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        found = chunks.sparkSession.createDataFrame([], "item long, key long, idx int")
-    return found.toDF(q_id, key, index)
-
-
-def asked_terms(terms: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    rows = [(r[0], r[1]) for r in terms.select(id_col, TX.answer_form(F.col(text_col)).alias("t")).filter("t <> ''").orderBy(id_col).toLocalIterator()]
-    return [rows[a : a + QUESTIONS] for a in range(0, len(rows), QUESTIONS)]
-
-
-def question_results(top: DataFrame, found: DataFrame, questions: DataFrame, answered: Column, unanswerable: Column, mode_all: Column | None = None, key: str = "doc_id", index: str = "chunk_idx", q_id: str = "item_id") -> DataFrame:
-    """(q_id, recall, rr, correct, citation_valid, error_source) of every question.
-
-    top: ranked chunks; found: evidence per chunk, with a column `evidence` where a question has several; answered: over
-    questions' columns, whether an answer that the evidence holds was given. Evidence mode "any" needs one evidence
-    among the ranked, "all" each of them: the reciprocal rank is that of the first, or of the last first one.
+    indexed = gram_index.index(chunks, windows, key, index, text, section)
+    found = gram_index.search(indexed, questions, k, score, windows, q_id, q_text)
+    return found.select(q_id, F.col("key").alias(key), F.col("idx").alias(index), "score", "rank")
+
+
+def evidence_in(chunks: DataFrame, evidence: DataFrame, key: str = "doc_id", index: str = "chunk_idx", text: str = "text", pages: str = "pages", q_id: str = "item_id") -> DataFrame:
+    """(q_id, evidence, key, index): the chunks (key, index, text, pages) that fulfil a piece of evidence.
+
+    evidence: (q_id, evidence: its number in the question, document, page, pages, terms). A null document, page or pages
+    and a page of 0 ask for nothing; all of `pages` must be among the chunk's; every term must be in its text, both
+    without white space, separators and case, so a term without anything else is in every text. Null chunk pages are none.
+    """
+    own = chunks.select(F.col(key).cast("long").alias("key"), F.col(index).cast("int").alias("idx"), F.coalesce(F.col(pages).cast("array<int>"), F.array().cast("array<int>")).alias("pages"), TX.answer_form(F.col(text)).alias("text"))
+    terms = F.array_distinct(F.filter(F.transform(F.coalesce("terms", F.array().cast("array<string>")), TX.answer_form), lambda t: t != ""))
+    asked = evidence.select(F.col(q_id).cast("long").alias("item"), F.col("evidence").cast("int").alias("evidence"), F.col("document").cast("long").alias("document"), F.nullif(F.col("page").cast("int"), F.lit(0)).alias("page"), F.col("pages").cast("array<int>").alias("pages"), terms.alias("terms"))
+    met = gram_index.dealt(gram_index.rows_in_blocks(own, "block", CHUNKS), gram_index.rows_in_blocks(asked, "asked", EVIDENCE).withColumnRenamed("rows", "conditions"), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple] = {}
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for i in range(batch.num_rows):
+                if (of := batch.column(1)[i].as_py()) not in known:
+                    known[of] = _automaton(batch.column(2)[i].as_py())
+                rows, needed, automaton = known[of]
+                for chunk in batch.column(0)[i].as_py():
+                    hits: dict[int, set[int]] = {}
+                    if automaton is not None:
+                        for _, owners in automaton.iter(chunk["text"]):
+                            for e, term in owners:
+                                hits.setdefault(e, set()).add(term)
+                    full = [e for e, terms in hits.items() if len(terms) == needed[e]] + [e for e, n in enumerate(needed) if not n]
+                    out += [(rows[e]["item"], rows[e]["evidence"], chunk["key"], chunk["idx"]) for e in full if _fits(rows[e], chunk)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["item", "evidence", "key", "idx"])
+
+    found = met.select("rows", "asked", "conditions").mapInArrow(run, "item long, evidence int, key long, idx int")
+    return found.toDF(q_id, "evidence", key, index)
+
+
+def _automaton(rows: list[dict]) -> tuple[list[dict], list[int], ahocorasick.Automaton | None]:
+    """(evidence, terms that each needs, an automaton whose words know their owners)."""
+    where: dict[str, list[tuple[int, int]]] = {}
+    for e, row in enumerate(rows):
+        for n, term in enumerate(row["terms"]):
+            where.setdefault(term, []).append((e, n))
+    if not where:
+        return rows, [len(r["terms"]) for r in rows], None
+    a = ahocorasick.Automaton()
+    for term, owners in where.items():
+        a.add_word(term, owners)
+    a.make_automaton()
+    return rows, [len(r["terms"]) for r in rows], a
+
+
+def _fits(evidence: dict, chunk: dict) -> bool:
+    pages = chunk["pages"]
+    return (evidence["document"] is None or evidence["document"] == chunk["key"]) and (evidence["page"] is None or evidence["page"] in pages) and all(p in pages for p in evidence["pages"] or ())
+
+
+def answers(top: DataFrame, chunks: DataFrame, questions: DataFrame, key: str = "doc_id", index: str = "chunk_idx", text: str = "text", q_id: str = "item_id") -> DataFrame:
+    """(q_id, answer): what each question's `pattern` finds, by its `operation` (null: the first match), in the texts of its
+    ranked chunks, one below the other; null for questions that are `unanswerable`."""
+    texts = top.select(q_id, key, index, "rank").join(chunks.select(F.col(key), F.col(index), F.coalesce(text, F.lit("")).alias("of")), [key, index])
+    joined = texts.groupBy(q_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "of"))), lambda x: x["of"]), "\n").alias("retrieved"))  # k texts a question
+    rows = questions.select(q_id, "pattern", "operation", "unanswerable").join(joined, q_id, "left")
+    answer = extractive_answer(F.coalesce("retrieved", F.lit("")), F.col("pattern"), F.coalesce("operation", F.lit("first")))
+    return rows.select(q_id, F.when(~F.coalesce("unanswerable", F.lit(False)), answer).alias("answer"))
+
+
+def question_results(top: DataFrame, found: DataFrame, chunks: DataFrame, questions: DataFrame, answered: DataFrame, key: str = "doc_id", index: str = "chunk_idx", text: str = "text", q_id: str = "item_id") -> DataFrame:
+    """(q_id, answer, recall, rr, correct, citation_valid, error_source) of every question.
+
+    top: ranked chunks; found: `evidence_in`; answered: (q_id, answer); questions: (q_id, n_evidence, mode, unanswerable,
+    accepted: array, operation). Evidence mode "any" (or null) needs one piece of evidence among the ranked, "all" each of
+    them: the reciprocal rank is that of the first, or of the last first one. An answer is right if it is accepted, found
+    by evidence or not; an unanswerable question is right without one. A right answer is cited if its evidence was
+    retrieved and, but for sums, some retrieved chunk with evidence holds the answer's text.
     """
-    if "evidence" not in found.columns:
-        found = found.withColumn("evidence", F.lit(0))
-    first = top.join(found, [q_id, key, index]).groupBy(q_id, "evidence").agg(F.min("rank").alias("first"))
-    ranked = first.groupBy(q_id).agg(F.min("first").alias("any_rank"), F.max("first").alias("all_rank"), F.count(F.lit(1)).alias("n_ranked"))
-    corpus = found.select(q_id, "evidence").distinct().groupBy(q_id).agg(F.count(F.lit(1)).alias("n_found"))
-    wanted = F.col("n_evidence") if "n_evidence" in questions.columns else F.lit(1)
-    rows = questions.join(ranked, q_id, "left").join(corpus, q_id, "left")
-    every = mode_all if mode_all is not None else F.lit(False)
-    in_corpus = F.coalesce(F.when(every, F.col("n_found") >= wanted).otherwise(F.col("n_found") > 0), F.lit(False))
-    got = F.coalesce(F.when(every, F.col("n_ranked") >= wanted).otherwise(F.col("n_ranked") > 0), F.lit(False))
-    rr = F.when(unanswerable, 1.0).when(~got, 0.0).otherwise(1 / F.when(every, F.col("all_rank")).otherwise(F.col("any_rank")))
-    correct = F.when(unanswerable, ~answered).otherwise(answered & got)
-    source = F.when(correct, F.lit(None).cast("string")).when(~in_corpus, "parsing").when(~got, "retrieval").otherwise("generation")
-    return rows.select(q_id, F.when(unanswerable | got, 1.0).otherwise(0.0).alias("recall"), F.round(rr, 6).alias("rr"), correct.alias("correct"), F.when(unanswerable, ~answered).otherwise(correct & got).alias("citation_valid"), source.alias("error_source"))
-
-
-def extractive_answer(text: Column, pattern: Column, operation: Column, group: Column | int = 0) -> Column:
+    ranked = top.join(found, [q_id, key, index])
+    first = ranked.groupBy(q_id, "evidence").agg(F.min("rank").alias("first"))
+    ranks = first.groupBy(q_id).agg(F.min("first").alias("any_rank"), F.max("first").alias("all_rank"), F.count(F.lit(1)).alias("n_ranked"))
+    corpus = found.groupBy(q_id, "evidence").agg(F.count(F.lit(1)).alias("n")).groupBy(q_id).agg(F.count(F.lit(1)).alias("n_found"))
+    texts = ranked.select(q_id, key, index).distinct().join(chunks.select(key, index, F.col(text).alias("of")), [key, index])
+    literal = texts.join(answered, q_id).groupBy(q_id).agg(F.bool_or(F.contains(TX.answer_form(F.col("of")), TX.answer_form(F.col("answer")))).alias("literal"))
+    rows = questions.join(answered, q_id, "left").join(ranks, q_id, "left").join(corpus, q_id, "left").join(literal, q_id, "left")
+    mode = F.coalesce("mode", F.lit("any"))
+    every = F.when(mode.isin("any", "all"), mode == "all").otherwise(F.raise_error(F.concat(F.lit("no such evidence mode: "), mode)).cast("boolean"))
+    enough = lambda n: F.coalesce((F.col("n_evidence") > 0) & F.when(every, F.col(n) >= F.col("n_evidence")).otherwise(F.col(n) > 0), F.lit(False))
+    none = F.coalesce("unanswerable", F.lit(False))
+    rows = rows.withColumns({"in_corpus": enough("n_found"), "got": enough("n_ranked"), "none": none, "every": every})
+    accepted = F.transform(F.coalesce("accepted", F.array().cast("array<string>")), TX.answer_form)
+    rows = rows.withColumn("correct", F.when(F.col("none"), F.col("answer").isNull()).otherwise(F.array_contains(accepted, TX.answer_form(F.col("answer")))))
+    rr = F.when(F.col("none"), 1.0).when(~F.col("got"), 0.0).otherwise(1 / F.when(F.col("every"), F.col("all_rank")).otherwise(F.col("any_rank")))
+    cited = F.col("correct") & F.col("got") & (F.coalesce(F.col("operation") == "sum", F.lit(False)) | F.coalesce("literal", F.lit(False)))
+    source = F.when(F.col("correct"), F.lit(None).cast("string")).when(~F.col("in_corpus"), "parsing").when(~F.col("got"), "retrieval").otherwise("generation")
+    return rows.select(q_id, "answer", F.when(F.col("none") | F.col("got"), 1.0).otherwise(0.0).alias("recall"), F.round(rr, 6).alias("rr"), "correct", F.when(F.col("none"), F.col("answer").isNull()).otherwise(cited).alias("citation_valid"), source.alias("error_source"))
+
+
+def answer_group(pattern: Column) -> Column:
+    """The number of the pattern's group `answer`, 0 (the whole match) if it has none: one more than the groups that begin
+    before it."""
+    named = F.locate("(?P<answer>", pattern)
+    before = F.left(pattern, named - 1)
+    return F.when(named > 0, F.regexp_count(before, F.lit(r"(?<!\\)\((?!\?)|\(\?P<")) + 1).otherwise(0)
+
+
+def extractive_answer(text: Column, pattern: Column, operation: Column, group: Column | int | None = None) -> Column:
     """What a pattern finds in the retrieved text: its first match, all distinct ones joined by 、, or the sum of
-    distinct ones as decimals; null for none, for a number that cannot be read, and for a null pattern."""
-    flags = F.concat(F.lit("(?iumd)"), pattern)
-    found = F.array_distinct(F.regexp_extract_all(text, flags, group if isinstance(group, Column) else F.lit(group)))
+    distinct ones as decimals; null for none, for a number that cannot be read, and for a null or empty pattern. group: what
+    of a match counts, if not the pattern's group `answer`."""
+    flags = F.concat(F.lit("(?iumd)"), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")))
+    at = answer_group(pattern) if group is None else group if isinstance(group, Column) else F.lit(group)
+    found = F.regexp_extract_all(text, flags, at)
+    bare = F.array_distinct(F.transform(found, TX.strip))
     numbers = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"(?U)[,，%\s]", "")))
     total = F.aggregate(F.transform(numbers, lambda x: x.try_cast("decimal(38,10)")), F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + x).cast("decimal(38,10)"))
     whole = F.regexp_replace(F.regexp_replace(total.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     some = F.size(found) > 0
-    return F.when(pattern.isNull() | ~some, F.lit(None).cast("string")).when(operation == "first", F.get(found, F.lit(0))).when(operation == "unique_join", F.array_join(found, "、")).when(operation == "sum", whole).otherwise(F.raise_error(F.concat(F.lit("no such operation: "), operation)).cast("string"))
-
+    asked = F.coalesce(pattern, F.lit("")) != ""
+    return F.when(~asked | ~some, F.lit(None).cast("string")).when(operation == "first", F.get(bare, F.lit(0))).when(operation == "unique_join", F.array_join(bare, "、")).when(operation == "sum", whole).otherwise(F.raise_error(F.concat(F.lit("no such operation: "), operation)).cast("string"))

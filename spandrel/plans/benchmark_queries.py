@@ -357,7 +357,7 @@ ORACLES = {
             round(((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + coalesce(list_has_any([y + 1 FOR y IN a], b), false)::INT) / 3, 6), CASE WHEN ti IS NULL THEN 0 ELSE ((ti % 5 + 1 >= 3)::INT + (ti % 4 + 1 >= 2)::INT + contains(tt, 'a')::INT + contains(tt, 'zzzz')::INT) / 4 END, round(coalesce(g, 0), 6), (contains(t, '1')::INT + contains(t, 'zzzz')::INT) / 2]::DOUBLE[]) AS score FROM v""",
     "e12_caption_chunks": f"""WITH RECURSIVE {_PLACED}, c AS (SELECT doc_id, page, min(chunk) AS chunk_idx FROM pl WHERE chunk >= 0 GROUP BY ALL)
         SELECT doc_id, chunk_idx, 'f' || doc_id AS figure_id, mode, CASE WHEN mode = 'generic_caption' THEN 'a chart' ELSE 'values of ' || lang END AS text FROM documents JOIN c USING (doc_id), (SELECT unnest({list(CP.MODES[1:])}) AS mode) WHERE page = doc_id % 3 + 1""",
-    "a23_pixel_rescoring": f"""WITH x AS (SELECT item_id % 4 < 2 AS hit, item_id % 3 = 0 AND (contains({D._AF}, {D._AF.replace('(text', '(substring(text, 1, 9)')}) OR contains({D._AF}, '125')) AS said FROM benchmark), y AS (SELECT hit, hit AND said AS ok FROM x)
+    "a23_pixel_rescoring": f"""WITH x AS (SELECT item_id % 4 < 2 AS hit, item_id % 3 = 0 AND (contains({D._AFT('text')}, {D._AFT('substring(text, 1, 9)')}) OR contains({D._AFT('text')}, '125')) AS said FROM benchmark), y AS (SELECT hit, hit AND said AS ok FROM x)
         SELECT count(*) AS n, round(avg(hit::INT), 6) AS crop_recall, round(avg(ok::INT), 6) AS answer, round(avg(ok::INT), 6) AS citation, count(*) FILTER (NOT hit) AS retrieval_errors, count(*) FILTER (hit AND NOT ok) AS generation_errors FROM y""",
     "a19_audit_rollup": f"""WITH a AS ({D.ORACLES['a18_multiset_overlap']}), n AS (SELECT sum(len(string_split(text, chr(10)))) AS e, sum(len([i FOR i IN range(len(string_split(text, chr(10)))) IF i % 13 = 8])) AS s FROM documents WHERE text IS NOT NULL)
         SELECT count(*) AS documents, round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, any_value(e)::BIGINT AS elements, any_value(s)::BIGINT AS shadowed FROM a, n""",

@@ -16,7 +16,7 @@ from spandrel.operators import geometry as G
 from spandrel.operators import layout as L
 from spandrel.operators import receipts as O
 from spandrel.operators import retrieval as R
-from spandrel.sources.tables import spread, table
+from spandrel.sources.tables import spread, table, written_once
 
 LINES = 8
 
@@ -128,12 +128,42 @@ def f16_query_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _shown(R.top_chunks(chunks(spark, d), _benchmark(spark, d), score="coverage"))
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions by rule: a passage asks for the word after its first two. Modes, operations and questions without an answer
+    take turns by number."""
+    k, words = F.col("item_id"), F.split("text", r"\s+")
+    word = lambda i: F.get(words, F.lit(i))
+    start = F.regexp_replace(F.concat(word(0), F.lit(" "), word(1)), r"([.,])", r"\\$1")
+    pattern = F.when(k % 6 == 1, "[0-9]+").when(k % 13 != 12, F.concat(start, F.lit(" (?P<answer>[a-z]+)")))
+    return _benchmark(spark, d).select(
+        "item_id", "text", F.when(k % 4 == 0, "all").when(k % 4 == 2, "any").alias("mode"), F.when(k % 6 == 0, "unique_join").when(k % 6 == 1, "sum").when(k % 6 == 2, "first").alias("operation"),
+        (k % 10 == 9).alias("unanswerable"), pattern.alias("pattern"), F.array(F.regexp_replace(word(2), "[.,]", ""), F.upper(word(3))).alias("accepted"), (F.lit(1) + sum((F.when(c, 1).otherwise(0) for c in _more_evidence(k)), F.lit(0))).alias("n_evidence"),
+    )
+
+
+def _more_evidence(k: Column) -> list[Column]:
+    return [k % 3 == 0, k % 5 == 0, k % 8 == 3]
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The passage's both ends in one chunk; for some a part of it on the first page, a part that lies on both of the first
+    two pages, or any chunk of one document."""
+    null, part = lambda t: F.lit(None).cast(t), lambda a, n: F.substring("text", a, n)
+    piece = lambda n, document, page, pages, *terms: F.struct(F.lit(n).alias("evidence"), document.alias("document"), page.alias("page"), pages.alias("pages"), (F.array(*terms) if terms else F.array().cast("array<string>")).alias("terms"))
+    more = [
+        piece(1, null("long"), F.lit(1), null("array<int>"), part(31, 20)),
+        piece(2, null("long"), F.lit(0), F.array(F.lit(1), F.lit(2)), part(41, 10), F.lit(" ,。")),
+        piece(3, F.col("item_id"), null("int"), null("array<int>")),
+    ]
+    every = F.array(piece(0, null("long"), null("int"), null("array<int>"), part(1, 30), F.right("text", F.lit(30))), *(F.when(c, x) for c, x in zip(_more_evidence(F.col("item_id")), more, strict=True)))
+    return _benchmark(spark, d).select("item_id", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")).select("item_id", "x.*")
+
+
 def e11_question_eval(spark: SparkSession, d: str, windows: R.Windows | None = None) -> DataFrame:
-    """Questions are passages; their evidence is a chunk that holds them; by rule every tenth has no answer, and of every
-    seventh none was given."""
-    c, q = chunks(spark, d), _benchmark(spark, d)
-    k = F.col("item_id")
-    return R.question_results(R.top_chunks(c, q, windows=windows), R.evidence_in(c, q), q.select("item_id"), (k % 7 != 0) & (k % 10 != 9), k % 10 == 9)
+    pages = F.sequence((F.floor(F.col("first") / LINES) + 1).cast("int"), (F.floor(F.col("last") / LINES) + 1).cast("int"))
+    c, q = written_once(chunks(spark, d).withColumn("pages", pages)), _questions(spark, d)
+    top = written_once(R.top_chunks(c, q, windows=windows))
+    return R.question_results(top, R.evidence_in(c, _evidence(spark, d)), c, q, R.answers(top, c, q))
 
 
 def _rates() -> list[Column]:
@@ -377,13 +407,27 @@ _PLAIN = _TOP.replace("$WINDOWS", "false").replace("$SCORE", "max(cosine)")
 _WINDOWED = _TOP.replace("$WINDOWS", "true").replace("$SCORE", "0.25::DOUBLE * max(cosine) FILTER (w = -1) + 0.75::DOUBLE * max(0.5::DOUBLE * cosine + 0.5::DOUBLE * coverage) FILTER (w >= 0)")
 _COVERAGE = _TOP.replace("$WINDOWS", "false").replace("$SCORE", "max(coverage)")
 _SHOW = "SELECT item_id, rank, doc_id, chunk_idx, round(s, 6) AS score FROM top"
-_AF = f"lower(regexp_replace(text, '[\\x09-\\x0D\\x{{85}}\\p{{Z}},，。．%％元]', '', 'g'))"
-_E11 = f"""ev AS (SELECT b.item_id, x.doc_id, x.chunk_idx FROM (SELECT item_id, {_AF} AS a FROM benchmark) b JOIN (SELECT doc_id, chunk_idx, {_AF} AS a FROM c) x ON contains(x.a, b.a) AND b.a <> ''),
-rk AS (SELECT item_id, min(rank) AS first FROM top JOIN ev USING (item_id, doc_id, chunk_idx) GROUP BY 1), ec AS (SELECT DISTINCT item_id, true AS found FROM ev),
-g0 AS (SELECT item_id, first, coalesce(found, false) AS found, item_id % 10 = 9 AS none, item_id % 7 <> 0 AND item_id % 10 <> 9 AS answered FROM benchmark LEFT JOIN rk USING (item_id) LEFT JOIN ec USING (item_id)),
-g AS (SELECT item_id, CASE WHEN none OR first IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall, round(CASE WHEN none THEN 1.0::DOUBLE WHEN first IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / first END, 6) AS rr,
-      CASE WHEN none THEN NOT answered ELSE answered AND first IS NOT NULL END AS correct, CASE WHEN none THEN NOT answered ELSE answered AND first IS NOT NULL END AS citation_valid, found, first FROM g0),
-q AS (SELECT item_id, recall, rr, correct, citation_valid, CASE WHEN correct THEN NULL WHEN NOT found THEN 'parsing' WHEN first IS NULL THEN 'retrieval' ELSE 'generation' END AS error_source FROM g)"""
+#: The rules of questions and evidence, from the passages; then each question judged by the definition.
+_ASKED = """qu AS (SELECT item_id, item_id AS k, text, CASE WHEN item_id % 4 = 0 THEN 'all' ELSE 'any' END AS mode, CASE item_id % 6 WHEN 0 THEN 'unique_join' WHEN 1 THEN 'sum' ELSE 'first' END AS operation, item_id % 10 = 9 AS none,
+       string_split_regex(text, '\\s+') AS w FROM benchmark),
+evs AS (SELECT item_id, 0 AS e, NULL::BIGINT AS doc, NULL::INTEGER AS page, NULL::INTEGER[] AS pages, [left(text, 30), right(text, 30)] AS terms FROM qu UNION ALL SELECT item_id, 1, NULL, 1, NULL, [substring(text, 31, 20)] FROM qu WHERE k % 3 = 0
+  UNION ALL SELECT item_id, 2, NULL, NULL, [1, 2], [substring(text, 41, 10)] FROM qu WHERE k % 5 = 0 UNION ALL SELECT item_id, 3, item_id, NULL, NULL, [] FROM qu WHERE k % 8 = 3)"""
+_AFT = lambda x: f"lower(regexp_replace({x}, '[\\x09-\\x0D\\x{{85}}\\p{{Z}},，。．%％元]', '', 'g'))"
+_E11 = f"""{_ASKED},
+ct AS MATERIALIZED (SELECT doc_id, chunk_idx, {_AFT("text")} AS a, range(f // 8 + 1, z // 8 + 2) AS pages FROM c),
+et AS (SELECT item_id, e, doc, page, pages, [{_AFT("t")} FOR t IN terms] AS terms FROM evs),
+ev AS MATERIALIZED (SELECT item_id, e, doc_id, chunk_idx FROM et JOIN ct ON (doc IS NULL OR doc = doc_id) AND (page IS NULL OR list_contains(ct.pages, page)) AND (et.pages IS NULL OR list_has_all(ct.pages, et.pages)) AND len([t FOR t IN terms IF NOT contains(a, t)]) = 0),
+rt AS (SELECT item_id, string_agg(text, chr(10) ORDER BY rank) AS text FROM top JOIN c USING (doc_id, chunk_idx) GROUP BY 1),
+mt AS (SELECT item_id, operation, CASE WHEN none OR (k % 13 = 12 AND operation <> 'sum') THEN [] WHEN operation = 'sum' THEN regexp_extract_all(rt.text, '[0-9]+') ELSE regexp_extract_all(rt.text, regexp_replace(w[1] || ' ' || w[2], '([.,])', '\\\\\\1', 'g') || ' ([a-z]+)', 1, 'i') END AS m FROM qu LEFT JOIN rt USING (item_id)),
+an AS (SELECT item_id, CASE WHEN coalesce(len(m), 0) = 0 THEN NULL WHEN operation = 'first' THEN m[1] WHEN operation = 'sum' THEN (SELECT sum(DISTINCT try_cast(x AS HUGEINT))::VARCHAR FROM (SELECT unnest(m) AS x)) ELSE array_to_string([m[i] FOR i IN range(1, len(m) + 1) IF list_position(m, m[i]) = i], '、') END AS answer FROM mt),
+fe AS (SELECT item_id, e, min(rank) AS first FROM top JOIN ev USING (item_id, doc_id, chunk_idx) GROUP BY ALL), rk AS (SELECT item_id, min(first) AS lo, max(first) AS hi, count(*) AS n FROM fe GROUP BY 1),
+ec AS (SELECT item_id, count(DISTINCT e) AS n FROM ev GROUP BY 1), ne AS (SELECT item_id, count(*) AS n FROM evs GROUP BY 1),
+li AS (SELECT item_id, bool_or(contains(ct.a, {_AFT("coalesce(answer, '')")})) AS literal FROM top JOIN ev USING (item_id, doc_id, chunk_idx) JOIN ct USING (doc_id, chunk_idx) JOIN an USING (item_id) GROUP BY 1),
+g0 AS (SELECT item_id, answer, none, operation, literal, lo, hi, mode, coalesce(CASE mode WHEN 'all' THEN rk.n = ne.n ELSE rk.n > 0 END, false) AS got, coalesce(CASE mode WHEN 'all' THEN ec.n = ne.n ELSE ec.n > 0 END, false) AS found,
+       CASE WHEN none THEN answer IS NULL ELSE list_contains([{_AFT("regexp_replace(w[3], '[.,]', '', 'g')")}, {_AFT("upper(w[4])")}], {_AFT("coalesce(answer, '')")}) END AS correct
+       FROM qu JOIN an USING (item_id) JOIN ne USING (item_id) LEFT JOIN rk USING (item_id) LEFT JOIN ec USING (item_id) LEFT JOIN li USING (item_id)),
+q AS (SELECT item_id, answer, CASE WHEN none OR got THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall, round(CASE WHEN none THEN 1.0::DOUBLE WHEN NOT got THEN 0.0::DOUBLE WHEN mode = 'all' THEN 1.0::DOUBLE / hi ELSE 1.0::DOUBLE / lo END, 6) AS rr, correct,
+      CASE WHEN none THEN answer IS NULL ELSE correct AND got AND (operation = 'sum' OR coalesce(literal, false)) END AS citation_valid, CASE WHEN correct THEN NULL WHEN NOT found THEN 'parsing' WHEN NOT got THEN 'retrieval' ELSE 'generation' END AS error_source FROM g0)"""
 _RATES = "count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(correct::INT), 6) AS answer, round(avg(citation_valid::INT), 6) AS citation"
 _ROUTED = """x AS (SELECT doc_id, quality = 1 AS y, round(0.5::DOUBLE * least(len(string_split(text, chr(10))) / 6::DOUBLE, 1.0) + 0.5::DOUBLE * least(len(string_split(text, ' ')) / 400::DOUBLE, 1.0), 6) AS c FROM documents JOIN labels USING (doc_id))"""
 _QUALITY = """SELECT {lead} tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 6) AS accuracy

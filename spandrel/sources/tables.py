@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,20 @@ def spread(df: DataFrame) -> DataFrame:
     """`df` dealt over all cores if it is read from fewer files than there are cores; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the folder that driver and executors share (spark.checkpoint.dir), which outlives lost
+    executors. Where that is unset, a local session gets a temporary folder that goes with the process; on a cluster there
+    is no safe guess, so that is an error."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spandrel-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            at = f"file://{folder}"
+        sc.setCheckpointDir(at)
+    return df.checkpoint()

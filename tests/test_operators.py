@@ -1,11 +1,16 @@
 """Single operators on small fixtures: nulls, empties, ties and the rules that tables do not show."""
 
+import collections
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions import receipts as R
 from spandrel.functions import text as TX
-from spandrel.operators import chunking, evaluation, geometry, layout, receipts, retrieval
+from spandrel.operators import chunking, evaluation, geometry, gram_index, layout, receipts, retrieval
 
 
 def one(spark, value, *args):
@@ -91,13 +96,82 @@ def test_retrieval_fills_up_with_zeros_and_breaks_ties(spark):
         retrieval.Windows(100, 100)
 
 
-def test_evidence_modes(spark):
-    top = spark.createDataFrame([(1, 5, 0, 1), (1, 6, 0, 2), (2, 5, 0, 1)], "item_id long, doc_id long, chunk_idx int, rank int")
-    found = spark.createDataFrame([(1, 5, 0, 0), (1, 6, 0, 1), (2, 9, 9, 0)], "item_id long, doc_id long, chunk_idx int, evidence int")
-    q = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "item_id long, n_evidence int")
-    rows = {r.item_id: r for r in retrieval.question_results(top, found, q, F.lit(True), F.lit(False), F.lit(True)).collect()}
-    assert (rows[1].rr, rows[1].correct) == (0.5, True)
-    assert (rows[2].error_source, rows[3].error_source) == ("retrieval", "parsing")
+def plain_cosine(a, b):
+    grams = lambda t: collections.Counter([t] if len(t) == 1 else [t[i : i + 2] for i in range(len(t) - 1)])
+    x, y = (grams("".join((t or "").lower().split())) for t in (a, b))
+    norm = lambda c: math.sqrt(sum(n * n for n in c.values()))
+    return sum(n * y[g] for g, n in x.items()) / (norm(x) * norm(y)) if x and y else 0.0
+
+
+def test_search_equals_scores_of_all_pairs(spark, monkeypatch):
+    """Blocks of a few chunks and questions each, so that many meet and most are left out by their bounds."""
+    for name, n in (("CHUNKS", 7), ("SLICE", 5)):
+        monkeypatch.setattr(gram_index, name, n)
+    r = random.Random(3)
+    text = lambda: "".join(r.choice("abcdeé 你好") for _ in range(r.choice([0, 1, 5, 40])))
+    chunks = [(r.randrange(40), i, r.choice([text(), "abcab", None])) for i in range(150)]
+    asked = [(i, r.choice([text(), "abc", None])) for i in range(60)]
+    c = spark.createDataFrame(chunks, "doc_id long, chunk_idx int, text string").repartition(5)
+    q = spark.createDataFrame(asked, "item_id long, text string").repartition(3)
+    stated = gram_index.asked(q, size=4)
+    monkeypatch.setattr(gram_index, "asked", lambda *_: stated)
+    got = collections.defaultdict(list)
+    for x in retrieval.top_chunks(c, q, k=6).collect():
+        got[x.item_id].append((x["rank"], x.doc_id, x.chunk_idx, x.score))
+    for i, t in asked:
+        want = sorted((-round(plain_cosine(t, u), 9), d, n) for d, n, u in chunks)[:6]
+        assert [(d, n, round(s, 9)) for _, d, n, s in sorted(got[i])] == [(d, n, -s) for s, d, n in want], t
+
+
+def test_questions_never_pass_the_driver(spark):
+    """A hundred thousand questions are planned without a job, and answered."""
+    ids = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("text"))
+    chunks = spark.createDataFrame([(1, 0, "q77777"), (2, 0, "zz")], "doc_id long, chunk_idx int, text string")
+    top = retrieval.top_chunks(chunks, ids, k=1)
+    assert top.count() == 100_000
+    assert top.filter("item_id = 77777").collect()[0].score == 1.0
+
+
+def test_evidence_is_met_by_one_chunk(spark):
+    r = random.Random(6)
+    words = ["alpha", "Beta", "g a m", "12%", "δ元", "，"]
+    chunks = [(d, i, " ".join(r.sample(words, r.randrange(5))), sorted(r.sample([1, 2, 3], r.randrange(3)))) for d in range(9) for i in range(4)] + [(9, 0, None, None)]
+    maybe = lambda x: r.choice([None, None, x])
+    evidence = [(q, e, maybe(r.randrange(9)), maybe(r.randrange(4)), maybe(r.sample([1, 2, 3], r.randrange(3))), r.choice([None, [], r.sample(words, 1), r.sample(words, 2), ["alpha", "alpha", "missing"]])) for q in range(40) for e in range(2)]
+    form = lambda t: re.sub(r"[\s,，。．%％元]", "", t or "").lower()
+    want = []
+    for q, e, document, page, pages, terms in evidence:
+        for d, i, text, on in chunks:
+            on = on or []
+            if document in (None, d) and (not page or page in on) and set(pages or ()) <= set(on) and all(form(t) in form(text) for t in terms or ()):
+                want.append((q, e, d, i))
+    c = spark.createDataFrame(chunks, "doc_id long, chunk_idx int, text string, pages array<int>").repartition(3)
+    ev = spark.createDataFrame(evidence, "item_id long, evidence int, document long, page int, pages array<int>, terms array<string>")
+    assert sorted(map(tuple, retrieval.evidence_in(c, ev.repartition(4)).collect())) == sorted(want) and want
+    assert retrieval.evidence_in(c, ev.filter("false")).collect() == [] == retrieval.evidence_in(c.filter("false"), ev).collect()
+
+
+def test_results_of_questions(spark):
+    chunks = spark.createDataFrame([(5, 0, "the total is 7 units"), (6, 0, "seven"), (7, 0, "total is 9"), (8, 0, "and 2")], "doc_id long, chunk_idx int, text string")
+    top = spark.createDataFrame([(q, 5, 0, 1) for q in range(1, 9)] + [(q, 6, 0, 2) for q in range(1, 9)], "item_id long, doc_id long, chunk_idx int, rank int")
+    found = spark.createDataFrame([(1, 0, 5, 0), (1, 1, 6, 0), (2, 0, 9, 9), (4, 0, 6, 0), (5, 0, 6, 0), (7, 0, 6, 0)], "item_id long, evidence int, doc_id long, chunk_idx int")
+    total = r"total is (?P<answer>\d+)"
+    q = spark.createDataFrame(
+        [(1, 2, "all", False, ["7"], None, total), (2, 1, None, False, ["7"], "first", total), (3, 1, "any", None, ["8"], "first", total), (4, 1, "any", False, ["7"], "first", total), (5, 1, "any", False, ["7"], "sum", r"\d+"), (6, 0, "all", True, None, None, total), (7, 1, "all", False, ["x"], None, "none"), (8, 0, "any", False, None, None, None)],
+        "item_id long, n_evidence int, mode string, unanswerable boolean, accepted array<string>, operation string, pattern string",
+    )
+    answered = retrieval.answers(top, chunks, q)
+    rows = {r.item_id: tuple(r)[1:] for r in retrieval.question_results(top, found, chunks, q, answered).collect()}
+    assert rows[1] == ("7", 1.0, 0.5, True, True, None)  # the last piece of evidence comes second
+    assert rows[2] == ("7", 0.0, 0.0, True, False, None)  # right, though its evidence was not retrieved
+    assert rows[3] == ("7", 0.0, 0.0, False, False, "parsing")
+    assert rows[4] == ("7", 1.0, 0.5, True, False, None)  # the chunk with evidence does not hold the answer
+    assert rows[5] == ("7", 1.0, 0.5, True, True, None)  # a sum need not be written anywhere
+    assert rows[6] == (None, 1.0, 1.0, True, True, None)
+    assert rows[7] == (None, 1.0, 0.5, False, False, "generation") and rows[8][3:] == (False, False, "parsing")
+    bad = q.withColumn("mode", F.lit("most"))
+    with pytest.raises(Exception, match="no such evidence mode"):
+        retrieval.question_results(top, found, chunks, bad, answered).collect()
 
 
 def test_extractive_answers(spark):
@@ -105,6 +179,8 @@ def test_extractive_answers(spark):
     ask = lambda op, p=r"total ([\d,]+)": one(spark, retrieval.extractive_answer(text, F.lit(p).cast("string"), F.lit(op), 1))
     assert ask("first") == "1,000" and ask("unique_join") == "1,000、374150" and ask("sum") == "375150"
     assert ask("first", "none (x)") is None and ask("first", None) is None
+    named = lambda p: one(spark, retrieval.extractive_answer(text, F.lit(p), F.lit("first")))
+    assert named(r"(to)(?:tal) (?P<answer>[\d,]+)") == "1,000" and named(r"TOTAL \d") == "total 1" and named(r" 1,000\s") == "1,000"
 
 
 def test_parser_cases(spark):
