@@ -445,6 +445,68 @@ def test_winnowing_keeps_a_shared_run():
         assert own & prints
 
 
+def plain_alignment(template, words, diagonal, band):
+    """Cell by cell over the whole template: the best score, and the matched words of the best segment."""
+    score, back, best, cell = {}, {}, 0, None
+    at = lambda i, j: score.get((i, j), 0)
+    inside = lambda i, j: abs(j - i - diagonal) <= band and 0 <= j < len(words)
+    for i, word in enumerate(template):
+        for j in range(max(0, i + diagonal - band), min(len(words), i + diagonal + band + 1)):
+            both = at(i - 1, j - 1) + (2 if words[j] == word else -1)
+            down = at(i - 1, j) - 1 if abs(j - i + 1 - diagonal) <= band else -9
+            over = at(i, j - 1) - 1 if inside(i, j - 1) else -9
+            score[i, j], back[i, j] = max([(0, 0), (both, 1), (down, 2), (over, 3)], key=lambda x: x[0])
+            if score[i, j] > best:
+                best, cell = score[i, j], (i, j)
+    if cell is None:
+        return None
+    (i, j), matched = cell, 0
+    while i >= 0 and back.get((i, j), 0):
+        step = back[i, j]
+        matched += step == 1 and words[j] == template[i]
+        i, j = i - (step != 3), j - (step != 2)
+    return matched, cell[0] + 1, cell[1] + 1
+
+
+def test_license_alignment_equals_cell_by_cell():
+    r = random.Random(2)
+    for n in range(150):
+        template = [r.choice("abcd") for _ in range(r.randint(1, 40))]
+        words = [r.choice("xy") for _ in range(r.randint(0, 5))] + [r.choice("abcdz") if r.random() < 0.3 else t for t in template for _ in range(r.choice([0, 1, 1, 1, 1, 2]))]
+        d = r.randint(-3, 8)
+        got = license_scan.aligned(license_scan.hashed(template), license_scan.hashed(words), d, 0, len(template), 0, len(words))
+        want = plain_alignment(template, words, d, license_scan.band_of(len(template)))
+        assert (got and (got[2], got[4], got[1])) == want, n
+
+
+def test_license_changes_in_the_middle_and_throughout():
+    """Every template of 40 words or more: half of it replaced in its middle, and every third word replaced."""
+    index = license_scan.Index(license_scan.TEMPLATES | {"two": "zeta Omega", "one": "sigmatau"})
+    tried = 0
+    for t, words in enumerate(index.words):
+        if len(words) < 40:
+            continue
+        n, tried = len(words), tried + 1
+        middle = [*words[: n // 4], *(f"x{i}" for i in range(n // 2)), *words[n // 4 + n // 2 :]]
+        thirds = [f"y{i}" if i % 3 == 2 else w for i, w in enumerate(words)]
+        for text, equal in ((middle, n - n // 2), (thirds, n - n // 3)):
+            found = [x for x in index.scan("it begins " + " ".join(text) + " and ends") if x[0] == index.names[t]]
+            assert max(x[3] for x in found) >= equal and abs(max(x[4] for x in found) - equal / n) < 0.05, index.names[t]
+    assert tried > 3
+    assert [(x[0], x[3], x[5]) for x in index.scan("Zeta omega, SIGMATAU zeta")] == [("two", 2, "whole"), ("one", 1, "whole")]
+    with pytest.raises(ValueError, match="without words"):
+        license_scan.Index({"empty": " -- "})
+
+
+def test_license_templates_beyond_the_bound_are_an_error(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"l{i}.txt").write_text(f"license number {i}")
+    assert len(license_scan.read_templates(spark, f"file://{tmp_path}")) == 3
+    monkeypatch.setattr(license_scan, "MOST_TEMPLATES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        license_scan.read_templates(spark, f"file://{tmp_path}")
+
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
