@@ -17,6 +17,8 @@ compared exactly. In a band with more than FRAME documents each is first compare
 which a crowd of copies of one text is connected, and with its neighbours in the order of the rotated fingerprints. If
 that leaves such a band in several components, `settled` finds every link between them: by the prefix filter, documents
 that are similar enough share one of their rarest shingles, and those of a shingle are compared across components only.
+Each set has PARITIES bits, each the parity of the shingles that belong to it: two sets differ by at least as many
+shingles as bits, so that pairs with too many differing bits are never made.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,9 @@ BANDS, BAND = 20, 5
 NEIGHBOURS = 8
 #: Documents of one rare shingle that meet all others of it in one round: at first, and at most.
 MEET, MEET_MOST = 32, 1024
+#: Bits of a set's parities, in words of 64.
+PARITIES = 512
+WORDS = [f"p{i}" for i in range(PARITIES // 64)]
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 XORS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.uint64(1)
 
@@ -188,16 +193,31 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct(), read.filter(F.col("n") > FRAME).select("node", "band", "sig")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits of a set: each is the parity of the number of its hashes that belong to it."""
+    odd = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % PARITIES, minlength=PARITIES) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def near_enough(size: Column, other: Column, words: list[Column], others: list[Column]) -> Column:
+    """Whether two sets can be similar enough, by their sizes and parities."""
+    p, q = ALIKE
+    bits = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(words, others, strict=True)), F.lit(0))
+    return (F.least(size, other) * q >= F.greatest(size, other) * p) & (bits * (q + p) <= (size + other) * (q - p))
+
+
 def rare_shingles(sets: DataFrame) -> DataFrame:
-    """(hash, node, size): the shingles of each of `sets` (node, hashes) by which it must meet any other that is similar
+    """(hash, node, size, WORDS): the shingles of each of `sets` (node, hashes, parities) by which it must meet any other that is similar
     enough. Of two such sets, ordered from the rarest shingle on, these many first ones have one in common; those that
     no other set has are counted and left out."""
+    words = [F.col("parities")[i].alias(w) for i, w in enumerate(WORDS)]
     all_ = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
     held = all_.groupBy("hash").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     own = Window.partitionBy("node")
     shared = all_.join(held, "hash").select("hash", "node", "size", F.count(F.lit(1)).over(own).alias("n"), F.row_number().over(own.orderBy("held", "hash")).alias("at"))
     first = F.col("size") - F.ceil(F.col("size") * ALIKE[0] / ALIKE[1]) + 1
-    return shared.filter(F.col("at") <= first - (F.col("size") - F.col("n"))).select("hash", "node", "size")
+    rare = shared.filter(F.col("at") <= first - (F.col("size") - F.col("n"))).select("hash", "node", "size")
+    return rare.join(sets.select("node", *words), "node").select("hash", "node", "size", *WORDS)
 
 
 def settled(links: DataFrame, crowds: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,14 +248,14 @@ def settled(links: DataFrame, crowds: DataFrame, sets: DataFrame) -> DataFrame:
         largest = left.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
         others = left.join(largest, "hash").filter("root <> largest")
         turn = F.row_number().over(Window.partitionBy("hash").orderBy("node"))
-        now = staged(others.withColumn("turn", turn).filter(F.col("turn") <= meet).select("hash", F.col("node").alias("x"), F.col("root").alias("of"), F.col("size").alias("long")), "meeting")
-        near = F.least("size", "long") * ALIKE[1] >= F.greatest("size", "long") * ALIKE[0]
+        now = staged(others.withColumn("turn", turn).filter(F.col("turn") <= meet).select("hash", F.col("node").alias("x"), F.col("root").alias("of"), F.col("size").alias("long"), *(F.col(w).alias(f"of_{w}") for w in WORDS)), "meeting")
+        near = near_enough(F.col("size"), F.col("long"), [F.col(w) for w in WORDS], [F.col(f"of_{w}") for w in WORDS])
         pairs = left.join(now, "hash").filter((F.col("root") != F.col("of")) & near)
         pairs = pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
         new = staged(alike(pairs, sets), "links")
         if not new.isEmpty():
             roots = components(roots.toDF("a", "b").unionByName(new))
-        rare = left.join(now.select("hash", F.col("x").alias("node")), ["hash", "node"], "left_anti").select("hash", "node", "size")
+        rare = left.join(now.select("hash", F.col("x").alias("node")), ["hash", "node"], "left_anti").select("hash", "node", "size", *WORDS)
         meet = min(2 * meet, MEET_MOST)
 
 
@@ -259,9 +279,10 @@ def keep_first(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id"
             rows.append((xxhash.xxh3_128_digest(hashes.tobytes()), _signed(majority(hashes)), bands(hashes)))
         return pd.DataFrame(rows, columns=["copy", "fp", "bands"])
 
-    @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles((t or "").encode(), size)).view(np.int64) for t in texts], dtype=object)
+    @F.pandas_udf("hashes array<long>, parities array<long>")
+    def hashes(texts: pd.Series) -> pd.DataFrame:
+        own = [np.unique(shingles((t or "").encode(), size)) for t in texts]
+        return pd.DataFrame({"hashes": [x.view(np.int64) for x in own], "parities": [parities(x) for x in own]})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("sketch"), F.struct("*").alias("row"))
     rows = staged(numbered.select("number", "id", "sketch.*", "row"), "numbered")
@@ -270,7 +291,7 @@ def keep_first(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id"
     pairs = staged(pairs, "candidates")
     used = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
     texts = rows.select("number", F.col(f"row.{text_col}").alias("text")).join(used, "number", "left_semi")
-    sets = staged(texts.select(F.col("number").alias("node"), hashes("text").alias("hashes")), "sets")
+    sets = staged(texts.select(F.col("number").alias("node"), hashes("text").alias("of")).select("node", "of.*"), "sets")
     roots = settled(staged(alike(pairs, sets), "links"), crowds, sets)
     rooted = nodes.select("copy", "node").join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
     first = rows.select("number", "id", "copy").join(rooted, "copy").groupBy("root").agg(F.min(F.struct("id", "number")).alias("first")).select("first.number")

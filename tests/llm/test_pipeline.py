@@ -4,12 +4,14 @@ import collections
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from spandrel.llm import simhash_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id int"
@@ -97,3 +99,16 @@ def test_stages_on_an_empty_table(spark, docs, folder, stage):
     none = docs.filter(F.lit(False))
     out = corpus_pipeline.STAGES[stage][1](spark, none, folder)
     assert out.collect() == [] and (stage == 4 or out.columns == docs.columns)
+
+
+def test_parities_never_differ_by_more_than_the_sets():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n, m, both = r.integers(0, 400, 3)
+        common = r.integers(0, 1 << 63, both, np.uint64)
+        a, b = (np.unique(np.concatenate([common, r.integers(0, 1 << 63, k, np.uint64)])) for k in (n, m))
+        differ = len(np.setxor1d(a, b))
+        bits = int(np.bitwise_count(simhash_dedup.parities(a).view(np.uint64) ^ simhash_dedup.parities(b).view(np.uint64)).sum())
+        assert bits <= differ and len(simhash_dedup.parities(a)) == len(simhash_dedup.WORDS)
+        if len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)):
+            assert bits * 9 <= len(a) + len(b)
