@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spandrel.functions import receipts as R
+from spandrel.operators.quantiles import FEW, quantiles
 
 ITEM_THRESHOLD = 0.6
 FUZZY_THRESHOLD = 0.8
@@ -82,13 +83,14 @@ def challenge_pivot(scores: DataFrame, key: str, config: str, challenge: str, va
     return one.groupBy(config).agg(*(F.round(F.avg(F.when(F.col(challenge) == v, F.col("m"))), 6).alias(f"challenge_{v}") for v in values))
 
 
-def latency(calls: DataFrame, config: str, order: list[str], value: str) -> DataFrame:
-    """(config, cold, n, p50, p95, mean): the first call of a configuration apart from the others. The first comes
-    from an aggregate, so no configuration has to be sorted as a whole."""
+def latency(calls: DataFrame, config: str, order: list[str], value: str, few: int = FEW) -> DataFrame:
+    """(config, cold, n, p50, p95, mean): the first call of a configuration apart from the others. The first comes from an
+    aggregate and quantiles from `quantiles`, so no configuration has to be held or sorted as a whole."""
     first = calls.groupBy(config).agg(F.min(F.struct(*order)).alias("first"))
-    rows = calls.join(first, config).withColumn("cold", F.struct(*order) == F.col("first"))
-    pct = lambda p: F.round(F.percentile(value, p), 6)
-    return rows.groupBy(config, "cold").agg(F.count(value).alias("n"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), F.round(F.avg(value), 6).alias("mean"))
+    rows = calls.join(first, config).select(config, (F.struct(*order) == F.col("first")).alias("cold"), F.col(value).alias("v"))
+    means = rows.groupBy(config, "cold").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    middle = quantiles(rows, [config, "cold"], "v", {"p50": 0.5, "p95": 0.95}, few)
+    return means.join(middle, [config, "cold"]).select(config, "cold", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean")
 
 
 def api_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spandrel.functions import receipts as R
 from spandrel.functions import text as TX
 from spandrel.operators import receipts as O
+from spandrel.operators.quantiles import quantiles
 from spandrel.sources.tables import table
 
 #: Dollars a million tokens in and out, and dollars a GPU hour.
@@ -227,7 +228,8 @@ def a10_stability(spark: SparkSession, d: str) -> DataFrame:
 def a21_parse_timing(spark: SparkSession, d: str) -> DataFrame:
     e = _calls(spark, d)
     busy = F.sum(F.when(F.col("value") > 0, F.col("value")))
-    return e.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.sum(F.when(F.col("value") > 0, 1)) / busy, 6).alias("rate"))
+    sums = e.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.when(F.col("value") > 0, 1)) / busy, 6).alias("rate"))
+    return sums.join(quantiles(e, ["user_id"], "value", {"median": 0.5}), "user_id").select("user_id", "total", F.round("median", 6).alias("median"), "rate")
 
 
 def a22_usage_totals(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import receipts as R
 from spandrel.functions import text as TX
-from spandrel.operators import chunking, evaluation, geometry, gram_index, layout, receipts, retrieval
+from spandrel.operators import chunking, evaluation, geometry, gram_index, layout, quantiles, receipts, retrieval
 
 
 def one(spark, value, *args):
@@ -220,3 +220,26 @@ def test_sets(spark):
     assert {r.violation: r.n for r in evaluation.set_difference(a, b, ["k"]).collect()} == {"only_left": 1, "only_right": 1, "repeated": 1}
     assert {r.side: r.n for r in evaluation.same_rows(a, b).collect()} == {"published only": 2, "recomputed only": 1}
     assert evaluation.same_rows(a, a).collect() == []
+
+
+@pytest.mark.parametrize("few", [40, 100_000])
+def test_quantiles_of_large_groups(spark, few):
+    """Few values a range and a row, so that ranks are refined over several rounds; ties, infinities, nulls, null groups."""
+    r = random.Random(7)
+    far = [1e300, -1e300, float("inf"), -float("inf")]
+    kinds = {"one": lambda: 5.0, "flat": r.random, "steep": lambda: 10 ** r.uniform(-250, 250) * r.choice([-1, 1]), "tied": lambda: float(r.randrange(3)), None: lambda: r.choice([*far[:2], r.gauss(0, 1)])}
+    rows = [(k, None if r.random() < 0.05 else f()) for k, f in kinds.items() for _ in range(400)] + [("few", 2.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    wanted = {"a": 0.0, "p50": 0.5, "p95": 0.95, "b": 1.0}
+    got = {x.g: x for x in quantiles.quantiles(frame, ["g"], "v", wanted, few, bins=64, row=16).collect()}
+    assert set(got) == {*kinds, "few", "none"}
+    for g, x in got.items():
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        for name, p in wanted.items():
+            if not own:
+                assert x[name] is None
+                continue
+            at = (len(own) - 1) * p
+            a, b = own[math.floor(at)], own[math.ceil(at)]
+            assert math.isclose(x[name], a if a == b else a + (b - a) * (at - math.floor(at)), rel_tol=1e-12), (g, name)
+    assert quantiles.quantiles(frame.filter("false"), ["g"], "v", wanted, few).collect() == []
