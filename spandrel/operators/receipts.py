@@ -51,17 +51,19 @@ def align_items(gt: Column, pred: Column, threshold: float = ITEM_THRESHOLD) ->
 
 
 def item_scores(aligned: DataFrame, key: str) -> DataFrame:
-    """Precision, recall, F1, share of equal amounts and names of (key, gt_name, pred_name, gt_idx, pred_idx, sim,
-    amount_exact); empty denominators give 1, for names null."""
+    """Precision, recall, F1, and over matches the share of equal amounts and of equal names and the mean similarity of names,
+    of (key, gt_idx, pred_idx, sim, amount_exact). Without items on one side precision or recall is 1, without a match the
+    shares are null."""
     tp = F.sum(F.when(F.col("gt_idx").isNotNull() & F.col("pred_idx").isNotNull(), 1).otherwise(0))
     fn, fp = F.sum(F.when(F.col("gt_idx").isNotNull() & F.col("pred_idx").isNull(), 1).otherwise(0)), F.sum(F.when(F.col("gt_idx").isNull() & F.col("pred_idx").isNotNull(), 1).otherwise(0))
     both = F.col("gt_idx").isNotNull() & F.col("pred_idx").isNotNull()
-    sums = aligned.groupBy(key).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.sum(F.when(both & F.col("amount_exact"), 1).otherwise(0)).alias("same"), F.sum(F.when(both & (F.col("sim") == 1.0), 1).otherwise(0)).alias("names"))
+    sums = aligned.groupBy(key).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.sum(F.when(both & F.col("amount_exact"), 1).otherwise(0)).alias("same"), F.sum(F.when(both & (F.col("sim") == 1.0), 1).otherwise(0)).alias("names"), F.sum(F.when(both, F.col("sim"))).alias("alike"))
+    share = lambda a: F.when(F.col("tp") > 0, F.col(a) / F.col("tp"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(1.0)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    rows = sums.select(key, p.alias("precision"), r.alias("recall"), ratio(F.col("same"), F.col("tp")).alias("amount_accuracy"), F.when(F.col("tp") > 0, F.col("names") / F.col("tp")).alias("name_exact_rate"))
+    rows = sums.select(key, p.alias("precision"), r.alias("recall"), share("same").alias("amount_accuracy"), share("names").alias("name_exact_rate"), share("alike").alias("name_avg_similarity"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    return rows.select(key, *(F.round(c, 6).alias(n) for n, c in (("precision", F.col("precision")), ("recall", F.col("recall")), ("f1", f1), ("amount_accuracy", F.col("amount_accuracy")), ("name_exact_rate", F.col("name_exact_rate")))))
+    return rows.select(key, *(F.round(c, 6).alias(n) for n, c in (("precision", F.col("precision")), ("recall", F.col("recall")), ("f1", f1), *((n, F.col(n)) for n in ("amount_accuracy", "name_exact_rate", "name_avg_similarity")))))
 
 
 def config_summary(scores: DataFrame, config: str, fields: list[str]) -> DataFrame:
@@ -71,9 +73,9 @@ def config_summary(scores: DataFrame, config: str, fields: list[str]) -> DataFra
 
 
 def item_summary(scores: DataFrame, config: str, measured: str) -> DataFrame:
-    """A row a configuration: means of its records' item scores (see item_scores); records without a match have no name rate
-    and do not count in its mean. A configuration that extracts no items (`measured` false) has null means."""
-    means = [F.round(F.avg(F.when(F.col(measured), F.col(m))), 6).alias(f"items_{m}") for m in ("precision", "recall", "f1", "amount_accuracy", "name_exact_rate")]
+    """A row a configuration: means of its records' item scores (see item_scores); records without a match have no
+    shares and do not count in their means. A configuration that extracts no items (`measured` false) has null means."""
+    means = [F.round(F.avg(F.when(F.col(measured), F.col(m))), 6).alias(f"items_{m}") for m in ("precision", "recall", "f1", "amount_accuracy", "name_exact_rate", "name_avg_similarity")]
     return scores.groupBy(config).agg(*means)
 
 
@@ -83,6 +85,14 @@ def challenge_pivot(scores: DataFrame, key: str, config: str, challenge: str, va
     return one.groupBy(config).agg(*(F.round(F.avg(F.when(F.col(challenge) == v, F.col("m"))), 6).alias(f"challenge_{v}") for v in values))
 
 
+def challenge_f1(scores: DataFrame, manifest: DataFrame, key: str, config: str, challenge: str, values: list[int]) -> DataFrame:
+    """Mean item F1 of a configuration, a column a challenge, from scores (key, config, f1) and the challenge that
+    `manifest` (key, challenge) has for each record; a record that it lacks is an error."""
+    rows = scores.join(manifest.select(key, F.col(challenge).alias("of"), F.lit(True).alias("listed")), key, "left")
+    known = F.when(F.col("listed"), F.col("of")).otherwise(F.raise_error(F.concat(F.lit("not in the manifest: "), F.col(key).cast("string"))).cast("int"))
+    return rows.withColumn("of", known).groupBy(config).agg(*(F.round(F.avg(F.when(F.col("of") == v, F.col("f1"))), 6).alias(f"challenge_{v}") for v in values))
+
+
 def latency(calls: DataFrame, config: str, order: list[str], value: str, few: int = FEW) -> DataFrame:
     """(config, cold, n, p50, p95, mean): the first call of a configuration apart from the others. The first comes from an
     aggregate and quantiles from `quantiles`, so no configuration has to be held or sorted as a whole."""

@@ -363,9 +363,9 @@ ORACLES = {
         SELECT count(*) AS documents, round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, any_value(e)::BIGINT AS elements, any_value(s)::BIGINT AS shadowed FROM a, n""",
     "a24_tag_counts": """WITH t AS (SELECT unnest(list_distinct(string_split(p_type, ' '))) AS tag FROM part), c AS (SELECT tag, count(*) AS n FROM t GROUP BY 1)
         SELECT coalesce(c.tag, w.tag) AS tag, coalesce(n, 0) AS n, coalesce(n, 0) >= coalesce(least_, 0) AS enough FROM c FULL JOIN (VALUES ('STEEL', 100), ('none such', 1)) w(tag, least_) ON c.tag = w.tag""",
-    "a25_headline": f"WITH a AS ({_A3}) SELECT config, round(({' + '.join(f'exact_{f}' for f in RQ.FIELDS)}) / 4, 6) AS avg_exact FROM a",
+    "a25_headline": f"WITH a AS ({_A3}) SELECT config, round(({' + '.join(f'exact_{f}' for f in RQ.FIELDS)}) / {len(RQ.FIELDS)}, 6) AS avg_exact FROM a",
     "s25_report_rows": f"WITH a AS ({_A3}) SELECT config, printf('| %d | %.3f | %.3f | — |', config, exact_date, fuzzy_date) AS row FROM a",
-    "s26_export": f"WITH a AS ({_A3}) SELECT config, 10 AS n_keys, exact_date, true AS hashed FROM a",
+    "s26_export": f"WITH a AS ({_A3}) SELECT config, {2 + 2 * len(RQ.FIELDS)} AS n_keys, exact_date, true AS hashed FROM a",
     "a27_progress": "SELECT count(*) AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS labeled FROM documents",
     "j18_unfinished": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "o5_split": "SELECT 'test' AS part, 100 AS n UNION ALL SELECT 'dev', count(*) - 100 FROM part",

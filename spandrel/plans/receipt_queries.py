@@ -84,19 +84,26 @@ def f9_fuzzy_score(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.round(score, 6).alias("score"), (score >= O.FUZZY_THRESHOLD).alias("is_match"))
 
 
-FIELDS = ["seller_name", "date", "invoice_number", "total_amount"]
+FIELDS = ["doc_type", "seller_name", "date", "invoice_number", "seller_tax_id", "buyer_tax_id", "total_amount"]
 
 
 def receipts(spark: SparkSession, d: str) -> DataFrame:
     """Orders as gold records with predictions that err by rule."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    eight = lambda x: F.lpad((x * 7919 % 100_000_000).cast("string"), 8, "0")
     gold = {
+        "doc_type": F.when(k % 9 != 0, "e_invoice").otherwise("receipt"),
+        "seller_tax_id": eight(F.col("o_custkey")),
+        "buyer_tax_id": F.when(k % 5 == 0, eight(k)),
         "seller_name": F.col("o_orderpriority"),
         "date": F.date_format("o_orderdate", "yyyy-MM-dd"),
         "invoice_number": F.when(k % 9 != 0, F.concat(F.lit("AB"), F.lpad(k.cast("string"), 8, "0"))),
         "total_amount": F.expr("cast(floor(o_totalprice) as bigint)").cast("string"),
     }
     pred = {
+        "doc_type": F.when(k % 8 == 0, "receipt").otherwise(gold["doc_type"]),
+        "seller_tax_id": F.when(k % 6 == 0, F.replace(gold["seller_tax_id"], F.lit("1"), F.lit("7"))).otherwise(gold["seller_tax_id"]),
+        "buyer_tax_id": F.when(k % 7 == 3, "00000000").when(k % 10 != 5, gold["buyer_tax_id"]),
         "seller_name": F.when(k % 5 == 0, F.concat(gold["seller_name"], F.lit("!"))).when(k % 5 == 1, F.lit(None)).otherwise(gold["seller_name"]),
         "date": F.when(k % 7 == 0, F.lit("2001-01-01")).otherwise(gold["date"]),
         "invoice_number": F.when(k % 4 == 0, F.regexp_replace(gold["invoice_number"], "0", "8")).otherwise(gold["invoice_number"]),
@@ -107,11 +114,14 @@ def receipts(spark: SparkSession, d: str) -> DataFrame:
 
 RECEIPTS_SQL = """
 g AS (SELECT o_orderkey, o_orderkey % 3 AS config, o_orderkey % 7 AS challenge, o_orderpriority AS g1, strftime(o_orderdate, '%Y-%m-%d') AS g2,
-             CASE WHEN o_orderkey % 9 <> 0 THEN 'AB' || lpad(o_orderkey::VARCHAR, 8, '0') END AS g3, floor(o_totalprice)::BIGINT::VARCHAR AS g4 FROM orders),
+             CASE WHEN o_orderkey % 9 <> 0 THEN 'AB' || lpad(o_orderkey::VARCHAR, 8, '0') END AS g3, floor(o_totalprice)::BIGINT::VARCHAR AS g4, CASE WHEN o_orderkey % 9 <> 0 THEN 'e_invoice' ELSE 'receipt' END AS g5,
+             lpad((o_custkey * 7919 % 100000000)::VARCHAR, 8, '0') AS g6, CASE WHEN o_orderkey % 5 = 0 THEN lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '0') END AS g7 FROM orders),
 p AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN g1 || '!' WHEN o_orderkey % 5 = 1 THEN NULL ELSE g1 END AS p1, CASE WHEN o_orderkey % 7 = 0 THEN '2001-01-01' ELSE g2 END AS p2,
-             CASE WHEN o_orderkey % 4 = 0 THEN replace(g3, '0', '8') ELSE g3 END AS p3, CASE WHEN o_orderkey % 3 = 0 THEN g4 || '0' ELSE g4 END AS p4 FROM g),
+             CASE WHEN o_orderkey % 4 = 0 THEN replace(g3, '0', '8') ELSE g3 END AS p3, CASE WHEN o_orderkey % 3 = 0 THEN g4 || '0' ELSE g4 END AS p4, CASE WHEN o_orderkey % 8 = 0 THEN 'receipt' ELSE g5 END AS p5,
+             CASE WHEN o_orderkey % 6 = 0 THEN replace(g6, '1', '7') ELSE g6 END AS p6, CASE WHEN o_orderkey % 7 = 3 THEN '00000000' WHEN o_orderkey % 10 <> 5 THEN g7 END AS p7 FROM g),
 u AS (SELECT o_orderkey, config, challenge, 'seller_name' AS field, g1 AS g, p1 AS p FROM p UNION ALL SELECT o_orderkey, config, challenge, 'date', g2, p2 FROM p
-      UNION ALL SELECT o_orderkey, config, challenge, 'invoice_number', g3, p3 FROM p UNION ALL SELECT o_orderkey, config, challenge, 'total_amount', g4, p4 FROM p),
+      UNION ALL SELECT o_orderkey, config, challenge, 'invoice_number', g3, p3 FROM p UNION ALL SELECT o_orderkey, config, challenge, 'total_amount', g4, p4 FROM p
+      UNION ALL SELECT o_orderkey, config, challenge, 'doc_type', g5, p5 FROM p UNION ALL SELECT o_orderkey, config, challenge, 'seller_tax_id', g6, p6 FROM p UNION ALL SELECT o_orderkey, config, challenge, 'buyer_tax_id', g7, p7 FROM p),
 s AS (SELECT *, CASE WHEN g IS NULL AND p IS NULL THEN 1.0::DOUBLE WHEN g IS NULL OR p IS NULL THEN 0.0::DOUBLE ELSE 1 - levenshtein(g, p)::DOUBLE / greatest(length(g), length(p)) END AS raw FROM u),
 a AS (SELECT o_orderkey, config, challenge, field, g IS NOT DISTINCT FROM p AS exact, raw >= 0.8 AS fuzzy, round(raw, 6) AS score FROM s)
 """
@@ -134,6 +144,14 @@ def a11_challenge_pivot(spark: SparkSession, d: str) -> DataFrame:
     return O.challenge_pivot(_with_config(spark, d), "o_orderkey", "config", "challenge", list(range(7)))
 
 
+def a11_items_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Means of item F1 by configuration and challenge; the challenge comes from a manifest of orders, an order that the
+    manifest lacks is an error."""
+    scores = a2_item_prf(spark, d).withColumn("config", (F.col("o_orderkey") % 3).cast("int"))
+    manifest = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).cast("int").alias("challenge"))
+    return O.challenge_f1(scores, manifest, "o_orderkey", "config", "challenge", list(range(7)))
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, gt, pred): items of an order; predictions lose, rename or reprice items by place."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
@@ -245,7 +263,7 @@ def t10_first_valid_attempt(spark: SparkSession, d: str) -> DataFrame:
     return O.first_valid_attempt(c.select("conv_id", "turn", valid.alias("valid")), "conv_id", "turn", F.col("valid"))
 
 
-QUERIES = {f.__name__: f for f in (f1_normalize_text, f3_normalize_date, s21_date_formats, f4_normalize_amount, f6_tax_id_checksum, f7_invoice_number, f9_fuzzy_score, a1_field_scores, a3_config_summary, a11_challenge_pivot, t9_item_alignment, a2_item_prf, a3_item_means, a5_latency_cold_warm, a6_api_cost, a7_gpu_cost, a8_cost_branch, a9_field_consistency, a10_stability, a21_parse_timing, a22_usage_totals, t10_first_valid_attempt)}
+QUERIES = {f.__name__: f for f in (f1_normalize_text, f3_normalize_date, s21_date_formats, f4_normalize_amount, f6_tax_id_checksum, f7_invoice_number, f9_fuzzy_score, a1_field_scores, a3_config_summary, a11_challenge_pivot, a11_items_f1, t9_item_alignment, a2_item_prf, a3_item_means, a5_latency_cold_warm, a6_api_cost, a7_gpu_cost, a8_cost_branch, a9_field_consistency, a10_stability, a21_parse_timing, a22_usage_totals, t10_first_valid_attempt)}
 
 _E = "e AS (SELECT *, regexp_extract(props, '([0-9]+)', 1)::DOUBLE AS tokens FROM events)"
 _PRICES = "(VALUES " + ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in PRICES.items()) + ") AS r(event_type, rate_in, rate_out)"
@@ -283,10 +301,10 @@ ORACLES = {
     + " FROM m GROUP BY 1",
     "t9_item_alignment": f"WITH RECURSIVE {ITEMS_SQL} SELECT o_orderkey, gt_idx, pred_idx, round(sim, 6) AS sim, amount_exact FROM m",
     "a2_item_prf": f"""WITH RECURSIVE {ITEMS_SQL}, k AS (SELECT o_orderkey, (count(*) FILTER (gt_idx IS NOT NULL AND pred_idx IS NOT NULL))::DOUBLE AS tp, count(*) FILTER (gt_idx IS NULL) AS fp, count(*) FILTER (pred_idx IS NULL) AS fn,
-        count(*) FILTER (amount_exact AND gt_idx IS NOT NULL AND pred_idx IS NOT NULL) AS same, count(*) FILTER (sim = 1.0) AS names FROM m GROUP BY 1),
+        count(*) FILTER (amount_exact AND gt_idx IS NOT NULL AND pred_idx IS NOT NULL) AS same, count(*) FILTER (sim = 1.0) AS names, sum(sim) FILTER (gt_idx IS NOT NULL AND pred_idx IS NOT NULL) AS alike FROM m GROUP BY 1),
         d AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0::DOUBLE END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0::DOUBLE END AS r FROM k)
         SELECT o_orderkey, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0::DOUBLE END, 6) AS f1,
-        round(CASE WHEN tp > 0 THEN same / tp ELSE 1.0::DOUBLE END, 6) AS amount_accuracy, round(CASE WHEN tp > 0 THEN names / tp END, 6) AS name_exact_rate FROM d""",
+        round(CASE WHEN tp > 0 THEN same / tp END, 6) AS amount_accuracy, round(CASE WHEN tp > 0 THEN names / tp END, 6) AS name_exact_rate, round(CASE WHEN tp > 0 THEN alike / tp END, 6) AS name_avg_similarity FROM d""",
     "a5_latency_cold_warm": """WITH f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) = 1 AS cold FROM events)
         SELECT event_type, cold, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM f GROUP BY ALL""",
     "a6_api_cost": f"WITH {_USAGE} SELECT event_type, round({_API}, 6) AS usd_per_100 FROM u",
@@ -299,8 +317,13 @@ ORACLES = {
     "t10_first_valid_attempt": """WITH c AS (SELECT conv_id, turn, turn % 3 = 2 AND role <> 'user' AS valid FROM conversations), f AS (SELECT conv_id, min(turn) FILTER (valid) AS first FROM c GROUP BY 1)
         SELECT conv_id, count(*) FILTER (first IS NULL OR turn <= first) AS attempts, first IS NOT NULL AS is_valid FROM c JOIN f USING (conv_id) GROUP BY conv_id, first""",
 }
+ORACLES["a11_items_f1"] = (
+    "SELECT (o_orderkey % 3)::INTEGER AS config, "
+    + ", ".join(f"round(avg(f1) FILTER (o_orderkey % 7 = {v}), 6) AS challenge_{v}" for v in range(7))
+    + f" FROM ({ORACLES['a2_item_prf']}) AS s GROUP BY 1"
+)
 ORACLES["a3_item_means"] = (
     "SELECT (o_orderkey % 4)::INTEGER AS config, "
-    + ", ".join(f"round(avg({m}) FILTER (o_orderkey % 4 <> 3), 6) AS items_{m}" for m in ("precision", "recall", "f1", "amount_accuracy", "name_exact_rate"))
+    + ", ".join(f"round(avg({m}) FILTER (o_orderkey % 4 <> 3), 6) AS items_{m}" for m in ("precision", "recall", "f1", "amount_accuracy", "name_exact_rate", "name_avg_similarity"))
     + f" FROM ({ORACLES['a2_item_prf']}) AS s GROUP BY 1"
 )
