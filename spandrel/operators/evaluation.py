@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spandrel.functions import text as TX
-from spandrel.operators.geometry import BOX, iou
+from spandrel.operators.geometry import BOX, box, iou
 
 PASS = 0.999
 #: Thresholds of the sensitivity sweep, and the least precision, recall and accuracy of a validated router.
@@ -231,3 +231,35 @@ def same_rows(published: DataFrame, recomputed: DataFrame) -> DataFrame:
     lost = published.exceptAll(recomputed).select(F.lit("published only").alias("side"))
     new = recomputed.exceptAll(published).select(F.lit("recomputed only").alias("side"))
     return lost.unionByName(new).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_cases(cases: DataFrame, tables: DataFrame, documents: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
+    """(case_id, doc, score, candidates): how well a case's box is met by the tables of its document that match the case.
+
+    cases: (case_id, doc, pages: array, anchor, cells: array, bx0..by1); tables: (doc, page, text, markdown, caption,
+    shadowed, x0..y1), boxes over the page's size; documents: (doc). A table matches if the anchor is in its text, its
+    markdown or its caption, or if it holds two of the cells (the only one, if there is one); all without white space and
+    case. No pages mean any page. Shadowed tables and tables without a box do not count; without a match the score is 0.
+    Cases of unknown documents are left out; a null anchor or cell matches nothing.
+
+    Cases meet tables by document and page, and what makes them match is a condition of the join: pairs that fail it are
+    never rows. A case that names no page meets the pages that its document has tables on.
+    """
+    known = cases.join(documents.select(doc).distinct(), doc, "left_semi")
+    named = known.filter(F.size(F.coalesce("pages", F.array().cast("array<int>"))) > 0).withColumn("on", F.explode(F.array_distinct("pages")))
+    pages = tables.select(doc, F.col(page).alias("on")).distinct()
+    anywhere = known.filter(F.size(F.coalesce("pages", F.array().cast("array<int>"))) == 0).join(pages, doc)
+    asked = named.select("case_id", doc, "on", "anchor", "cells", "bx0", "by0", "bx1", "by1").unionByName(anywhere.select("case_id", doc, "on", "anchor", "cells", "bx0", "by0", "bx1", "by1"))
+    asked = asked.withColumns({"anchor": F.when(F.col("anchor").isNotNull(), TX.compact(F.col("anchor"))), "cells": F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.when(c.isNotNull(), TX.compact(c)))})
+    own = tables.filter(~F.coalesce("shadowed", F.lit(False)) & F.col("x0").isNotNull()).select(F.col(doc).alias("of"), F.col(page).alias("at"), TX.compact(F.concat_ws("\n", F.coalesce("text", F.lit("")), F.coalesce("markdown", F.lit("")))).alias("body"), TX.compact(F.col("caption")).alias("above"), *BOX)
+    held = F.size(F.filter("cells", lambda c: F.contains(F.col("body"), c)))
+    match = F.coalesce(F.contains("body", F.col("anchor")) | F.contains("above", F.col("anchor")), F.lit(False)) | ((F.size("cells") > 0) & (held >= F.least(F.lit(2), F.size("cells"))))
+    met = asked.join(own, (F.col(doc) == F.col("of")) & (F.col("on") == F.col("at")) & match)
+    best = met.groupBy("case_id", doc).agg(F.max(iou(box(), box("b"))).alias("best"), F.count(F.lit(1)).alias("n"))
+    rows = known.select("case_id", doc).join(best, ["case_id", doc], "left")
+    return rows.select("case_id", doc, F.round(F.coalesce("best", F.lit(0.0)), 6).alias("score"), F.coalesce("n", F.lit(0)).alias("candidates"))
+
+
+def case_summary(scores: DataFrame) -> DataFrame:
+    """(case_count, mean_iou): of `table_cases`; the mean is null without cases."""
+    return scores.agg(F.count(F.lit(1)).alias("case_count"), F.round(F.avg("score"), 6).alias("mean_iou"))

@@ -15,6 +15,7 @@ from spandrel.operators import evaluation as E
 from spandrel.operators import geometry as G
 from spandrel.operators import layout as L
 from spandrel.operators import receipts as O
+from spandrel.operators import long_chunks as LC
 from spandrel.operators import retrieval as R
 from spandrel.sources.tables import spread, table, written_once
 
@@ -53,6 +54,12 @@ def t3_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("doc_id", "chunk_idx", F.col("first").alias("first_ord"), F.col("last").alias("last_ord"), F.length("text").alias("n_chars"))
 
 
+def t3_long_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunks from lines as rows, over segments of 1000 lines."""
+    rows = lines(spark, d).select("doc_id", F.posexplode("texts").alias("ord", "text"))
+    return LC.fixed_chunks(rows, segment=1000).select("doc_id", F.col("chunk_idx").cast("int"), F.col("first").cast("int").alias("first_ord"), F.col("last").cast("int").alias("last_ord"))
+
+
 def t4_structure_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = elements(spark, d).select("doc_id", F.posexplode(C.structure_chunks(F.col("els"))).alias("ord", "c"))
     return rows.select("doc_id", "ord", F.col("c.chunk").alias("chunk_idx"), F.col("c.kind").alias("kind"))
@@ -272,6 +279,31 @@ def a17_iou_audit(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("doc").agg(F.round(F.coalesce(F.max("iou"), F.lit(0.0)), 6).alias("best_iou"))
 
 
+def _table_cases(spark: SparkSession, d: str) -> DataFrame:
+    """A case an order, and some of documents that do not exist: pages, anchors and cells by number."""
+    o, k = table(spark, d, "orders"), F.col("k")
+    ids = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("doc")).unionByName(o.filter("o_orderkey % 50 = 0").select(-F.col("o_orderkey") - 1, F.col("o_orderkey") + 10**9).toDF("k", "doc"))
+    text = lambda letter, n: F.concat(F.lit(letter), F.pmod(k, F.lit(n)).cast("string"))
+    cells = F.when(k % 10 == 7, F.array().cast("array<string>")).when(k % 2 == 0, F.array(text("c", 7), text(" D ", 5), text("m", 3))).otherwise(F.array(text("m", 3)))
+    pages = F.when(k % 3 == 0, F.array(F.lit(1))).when(k % 3 == 1, F.array(F.lit(2), F.lit(2), F.lit(9)))
+    fixed = {f"b{c}": x / side for c, x, side in zip(G.BOX, _fixed(), (*PAGE, *PAGE), strict=True)}
+    return ids.select(F.col("k").alias("case_id"), "doc", pages.alias("pages"), F.when(k % 4 == 0, text("C", 7)).when(k % 8 == 2, "AB ab ab ab").when(k % 8 != 5, "zz").alias("anchor"), cells.alias("cells"), *(v.alias(c) for c, v in fixed.items()))
+
+
+def a17_table_cases(spark: SparkSession, d: str) -> DataFrame:
+    b = boxes(spark, d)
+    captioned = G.captions(b, b.filter("type = 'table'"), ["doc", "page"], "el", "el").select("doc", "page", "el", "caption")
+    shown = F.struct(F.concat(F.lit("c"), (F.col("p") % 7).cast("string"), F.lit("\t"), F.lit("d"), (F.col("s") % 5).cast("string")).alias("text"), F.concat(F.lit("| m"), (F.col("p") % 3).cast("string"), F.lit(" |")).alias("markdown"))
+    t = b.filter("type = 'table'").withColumn("shown", shown).drop("text")
+    size = dict(zip(G.BOX, (*PAGE, *PAGE), strict=True))
+    t = t.join(captioned, ["doc", "page", "el"], "left").select("doc", "page", "shown.*", "caption", (F.col("p") % 6 == 0).alias("shadowed"), *((F.col(c) / F.lit(size[c])).alias(c) for c in G.BOX))
+    return E.table_cases(_table_cases(spark, d), t, b.select("doc"))
+
+
+def a17_case_summary(spark: SparkSession, d: str) -> DataFrame:
+    return E.case_summary(a17_table_cases(spark, d))
+
+
 def j8_center_in_box(spark: SparkSession, d: str) -> DataFrame:
     b = boxes(spark, d)
     return G.centre_in_box(b.filter("type <> 'table'"), b.filter("type = 'table'").withColumn("tab", F.col("el")), ["doc", "page"], "el", "tab").select("doc", "page", F.col("in_tab").alias("tab"), "el")
@@ -355,9 +387,9 @@ def v6_dataset_gate(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        t3_fixed_chunks, t4_structure_chunks, t5_hybrid_chunks, w3_section_path, f23_classify, f14_sentences, w10_figure_caption, j17_unrepresented_pages, a20_type_histogram, r1_topk_bigram, r2_topk_windowed, f16_query_coverage,
+        t3_fixed_chunks, t3_long_chunks, t4_structure_chunks, t5_hybrid_chunks, w3_section_path, f23_classify, f14_sentences, w10_figure_caption, j17_unrepresented_pages, a20_type_histogram, r1_topk_bigram, r2_topk_windowed, f16_query_coverage,
         e11_question_eval, a13_downstream_metrics, a14_by_type, g3_promotion_gate, a15_confusion, a16_sensitivity, g2_holdout_gate, e2_reading_order, e7_header_footer, a12_dimension_rollup, a18_multiset_overlap, f17_bbox_normalise,
-        f18_iou, f20_area_ratio, a17_iou_audit, j8_center_in_box, j10_contained_tables, t6_captions, t7_tail_trim, t8_cross_page, r3_table_score, r4_page_route, r5_vision_route, t1_line_grouping, u2_set_equality, v1_invariants, v6_dataset_gate,
+        f18_iou, f20_area_ratio, a17_iou_audit, a17_table_cases, a17_case_summary, j8_center_in_box, j10_contained_tables, t6_captions, t7_tail_trim, t8_cross_page, r3_table_score, r4_page_route, r5_vision_route, t1_line_grouping, u2_set_equality, v1_invariants, v6_dataset_gate,
     )
 }
 
@@ -444,8 +476,24 @@ _INSIDE = """ins AS (SELECT a.doc, a.page, a.el, b.el AS inner_, b.y0 FROM bx a
 _SCORE = """cd AS (SELECT doc, page, el, 1 + s % 8 AS rows, 1 + p % 5 AS cols, p, s, x0, x1, y0, y1 FROM bx WHERE type = 'table'),
 cf AS (SELECT doc, page, el, rows, cols, round(0.25::DOUBLE * least(rows / 6::DOUBLE, 1.0) + 0.15::DOUBLE * least(cols / 4::DOUBLE, 1.0) + 0.25::DOUBLE * least(least(rows, p % 9) / greatest(rows, 1)::DOUBLE, 1.0)
   + 0.15::DOUBLE * least(least(rows * cols, p % 31) / greatest(rows * cols, 1)::DOUBLE / 0.5::DOUBLE, 1.0) + 0.10::DOUBLE * ((x1 - x0) / 612 >= 0.25 AND (y1 - y0) / 792 >= 0.025)::INT + 0.10::DOUBLE * (p % 4 = 0)::INT, 6) AS confidence FROM cd)"""
+_CAPTIONS = f"""pr AS (SELECT t.doc, t.page, t.el, t.x0 AS tx0, t.x1 AS tx1, e.el AS seed, t.y0 - e.y1 AS gap, (e.y0 + e.y1) / 2 AS cy FROM bx t JOIN bx e ON t.doc = e.doc AND t.page = e.page AND t.type = 'table'
+          WHERE (e.type = 'caption' OR (abs((e.x0 + e.x1) / 2 - (t.x0 + t.x1) / 2) <= 0.25::DOUBLE * (t.x1 - t.x0) AND length(e.text) <= 100)) AND least(e.x1, t.x1) - greatest(e.x0, t.x0) > 0 AND t.y0 - e.y1 BETWEEN -5 AND 48),
+        sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, el ORDER BY gap, seed) AS k FROM pr) WHERE k = 1),
+cap AS (SELECT d.doc, d.page, d.el, d.seed, string_agg(e.text, ' ' ORDER BY e.x0, e.el) AS caption FROM sd d JOIN bx e ON d.doc = e.doc AND d.page = e.page AND abs((e.y0 + e.y1) / 2 - d.cy) <= 8 AND least(e.x1, d.tx1) >= greatest(e.x0, d.tx0) AND length(e.text) <= 140 GROUP BY ALL)"""
+_CASES_17 = f"""{BOXES}, {_CAPTIONS},
+ks AS (SELECT o_orderkey AS k, o_orderkey AS doc FROM orders UNION ALL SELECT -o_orderkey - 1, o_orderkey + 1000000000 FROM orders WHERE o_orderkey % 50 = 0),
+cs AS (SELECT k AS case_id, doc, CASE k % 3 WHEN 0 THEN [1] WHEN 1 THEN [2, 9] END AS pages, CASE WHEN k % 4 = 0 THEN 'c' || (k % 7 + 7) % 7 WHEN k % 8 = 2 THEN 'abababab' WHEN k % 8 <> 5 THEN 'zz' END AS anchor,
+       CASE WHEN k % 10 = 7 THEN [] WHEN k % 2 = 0 THEN ['c' || (k % 7 + 7) % 7, 'd' || (k % 5 + 5) % 5, 'm' || (k % 3 + 3) % 3] ELSE ['m' || (k % 3 + 3) % 3] END AS cells FROM ks WHERE doc IN (SELECT doc FROM bx)),
+tb AS (SELECT bx.doc, bx.page, 'c' || p % 7 || 'd' || s % 5 || '|m' || p % 3 || '|' AS body, replace(coalesce(caption, ''), ' ', '') AS above, greatest(0.0::DOUBLE, least(x1, 300) - greatest(x0, 100)) * greatest(0.0::DOUBLE, least(y1, 300) - greatest(y0, 100)) AS both_,
+       (x1 - x0) * (y1 - y0) + 40000 AS sum_ FROM bx LEFT JOIN cap ON cap.doc = bx.doc AND cap.page = bx.page AND cap.el = bx.el WHERE type = 'table' AND p % 6 <> 0),
+mt AS (SELECT case_id, doc, both_ / (sum_ - both_) AS iou FROM cs JOIN tb USING (doc) WHERE (pages IS NULL OR list_contains(pages, page)) AND (coalesce(contains(body, anchor) OR contains(above, anchor), false)
+       OR (len(cells) > 0 AND len([c FOR c IN cells IF contains(body, c)]) >= least(2, len(cells))))),
+sc AS (SELECT cs.case_id, cs.doc, round(coalesce(max(iou), 0.0::DOUBLE), 6) AS score, count(iou) AS candidates FROM cs LEFT JOIN mt USING (case_id, doc) GROUP BY ALL)"""
 ORACLES = {
+    "a17_table_cases": f"WITH {_CASES_17} SELECT * FROM sc",
+    "a17_case_summary": f"WITH {_CASES_17} SELECT count(*) AS case_count, round(avg(score), 6) AS mean_iou FROM sc",
     "t3_fixed_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_idx, f::INTEGER AS first_ord, z::INTEGER AS last_ord, length(text)::INTEGER AS n_chars FROM c",
+    "t3_long_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_idx, f::INTEGER AS first_ord, z::INTEGER AS last_ord FROM c",
     "t4_structure_chunks": f"WITH RECURSIVE {_STRUCTURE} SELECT doc_id, i AS ord, chunk AS chunk_idx, what AS kind FROM s WHERE i >= 0",
     "w3_section_path": f"""WITH x AS (SELECT page_id, regexp_extract_all(html, '{HTML}', 1) AS k, regexp_extract_all(html, '{HTML}', 2) AS t FROM pages), y AS (SELECT page_id, unnest(k) AS k, unnest(t) AS t, unnest(range(len(k)))::INTEGER AS ord FROM x)
         SELECT page_id, ord, last_value(CASE WHEN k = 'h1' THEN t END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord) AS section FROM y""",

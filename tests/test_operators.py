@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import receipts as R
 from spandrel.functions import text as TX
-from spandrel.operators import chunking, evaluation, geometry, gram_index, layout, quantiles, receipts, retrieval
+from spandrel.operators import chunking, evaluation, geometry, gram_index, layout, long_chunks, quantiles, receipts, retrieval
 
 
 def one(spark, value, *args):
@@ -243,3 +243,32 @@ def test_quantiles_of_large_groups(spark, few):
             a, b = own[math.floor(at)], own[math.ceil(at)]
             assert math.isclose(x[name], a if a == b else a + (b - a) * (at - math.floor(at)), rel_tol=1e-12), (g, name)
     assert quantiles.quantiles(frame.filter("false"), ["g"], "v", wanted, few).collect() == []
+
+
+@pytest.mark.parametrize(("size", "overlap", "segment"), [(30, 8, 30), (30, 0, 64), (30, 29, 33)])
+def test_chunks_over_segments_equal_the_fold(spark, size, overlap, segment):
+    r = random.Random(size + overlap)
+    lengths = [lambda: 0, lambda: r.randrange(4), lambda: r.choice([0, 5, 29, 30, 31, 500]), lambda: r.randrange(12)]
+    docs = [(i, [None if r.random() < 0.05 else "x" * f() for _ in range(n)]) for i, (n, f) in enumerate((n, f) for n in (0, 1, 29, 64, 330) for f in lengths)] + [(None, ["a", "b"])]
+    frame = spark.createDataFrame(docs, "doc_id long, texts array<string>").repartition(3)
+    want = sorted(((x.doc_id, k, s.first, s.last) for x in frame.select("doc_id", chunking.fixed_chunks(F.col("texts"), size, overlap).alias("spans")).collect() for k, s in enumerate(x.spans)), key=repr)
+    rows = frame.select("doc_id", F.posexplode("texts").alias("ord", "text"), F.lit("clash").alias("key"))
+    got = sorted(map(tuple, long_chunks.fixed_chunks(rows, size=size, overlap=overlap, segment=segment).collect()), key=repr)
+    assert got == want
+    assert long_chunks.fixed_chunks(rows.filter("false"), size=size, overlap=overlap, segment=segment).collect() == []
+
+
+def test_table_cases(spark):
+    cases = spark.createDataFrame(
+        [(1, 1, None, "Total  A", None, 0.0, 0.0, 1.0, 1.0), (2, 1, [2], "zz", ["x", "y", "q"], 0.0, 0.0, 1.0, 1.0), (3, 1, [], None, ["x", None], 0.0, 0.0, 1.0, 1.0), (4, 7, None, "", None, 0.0, 0.0, 1.0, 1.0), (5, 2, [], "", [], 0.0, 0.0, 1.0, 1.0), (6, 1, [1, 1], "cap", [], 0.0, 0.0, 1.0, 1.0)],
+        "case_id int, doc int, pages array<int>, anchor string, cells array<string>, bx0 double, by0 double, bx1 double, by1 double",
+    )
+    tables = spark.createDataFrame(
+        [(1, 1, "totala", None, None, False, 0.0, 0.0, 0.5, 1.0), (1, 1, "x y q total a", None, None, True, 0.0, 0.0, 1.0, 1.0), (1, 2, "x", "Y", "the Cap", None, 0.0, 0.0, 0.25, 1.0), (1, 1, "w", None, "a CAP", None, None, None, None, None)],
+        "doc int, page int, text string, markdown string, caption string, shadowed boolean, x0 double, y0 double, x1 double, y1 double",
+    )
+    documents = spark.createDataFrame([(1,), (2,), (2,)], "doc int")
+    got = {r.case_id: (r.score, r.candidates) for r in evaluation.table_cases(cases, tables, documents).collect()}
+    assert got == {1: (0.5, 1), 2: (0.25, 1), 3: (0.0, 0), 5: (0.0, 0), 6: (0.0, 0)}
+    assert evaluation.case_summary(evaluation.table_cases(cases, tables, documents)).first()[:] == (5, 0.15)
+    assert evaluation.case_summary(evaluation.table_cases(cases.filter("false"), tables, documents)).first()[:] == (0, None)
