@@ -11,11 +11,17 @@ from pyspark.sql import types as T
 
 
 @F.pandas_udf(T.StringType())
-def to_halfwidth(values: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no function for it. Callers on ASCII columns skip it."""
+def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def to_halfwidth(x: Column | str) -> Column:
+    """Unicode NFKC; Spark has no function for it. ASCII is its own form, so such texts stay in the JVM (a worker sees a null
+    in their place)."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.coalesce(_nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+
+
 def bound(value: Column, body) -> Column:
     """body(value), with the value computed once: a column named inside an inner function would be made anew there."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -124,9 +124,9 @@ def stability(runs: DataFrame, key: str, fields: list[str], valid: str) -> DataF
 
 def first_valid_attempt(attempts: DataFrame, call: str, attempt: str, valid: Column) -> DataFrame:
     """(call, attempts, is_valid): the number of attempts made up to the first valid one, or all of them."""
-    w = attempts.groupBy(call).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(valid, F.col(attempt))).alias("first"))
-    upto = attempts.join(w, call).filter(F.col("first").isNull() | (F.col(attempt) <= F.col("first")))
-    return upto.groupBy(call).agg(F.count(F.lit(1)).alias("attempts"), F.max(F.col("first").isNotNull()).alias("is_valid"))
+    rows = attempts.groupBy(call).agg(F.min(F.when(valid, F.col(attempt))).alias("first"), F.collect_list(attempt).alias("all"), F.count(F.lit(1)).alias("n"))
+    upto = F.filter("all", lambda n: F.col("first").isNull() | (n <= F.col("first")))  # a call has a few attempts
+    return rows.select(call, F.when(F.col("first").isNull(), F.col("n")).otherwise(F.size(upto)).alias("attempts"), F.col("first").isNotNull().alias("is_valid"))
 
 
 def numbered(items: DataFrame, key: str, order: list[str], name: str = "idx") -> DataFrame:

@@ -9,6 +9,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from spandrel.sources.tables import importable
+
 
 def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     """A local[N] session with UTC time, adaptive execution, one shuffle partition a core, and a checkpoint folder that
@@ -31,5 +33,6 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    importable(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
