@@ -14,7 +14,7 @@ registered query and the pipeline take `source` as the host and `lang` as its pa
 Defined results: null, empty and blank texts have no words and are judged by the intercept and their site; null hosts
 and paths are sites of their own; repeated rows count and are judged each; labels repeated for one id count by their
 smallest values; without any labels of both kinds for a target its evidence is zero; equal odds keep a document; an
-empty table has no verdicts; columns of the caller's are packed away, so that no name can clash.
+empty table has no verdicts; a text of any length is one row's work; columns of the caller's are packed away, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ SAMPLE = 12_000
 BUCKETS = 65_521
 #: Rows of the sample that one task of a fitting round reads.
 FIT_ROWS = 6_000
-#: The weight of the sum of absolute coefficients. On held-out labels a larger one (0.0015) found 72 % of toxic documents,
-#: this one 92 %, with no more clean documents lost.
+#: The weight of the sum of absolute coefficients. On held-out labels of sf0.1 this one finds 78 % of toxic documents (137 of
+#: 176) by their toxicity alone and keeps 98.2 % of clean ones; a larger one (0.0015) found fewer and kept no more.
 REGULARISATION, ROUNDS, SEED = 0.0001, 60, 11
 
 

@@ -5,7 +5,8 @@ versioned masks over those bits, so a new policy, a replay of an old one and an
 rule alone reject?") never read a text again: ablations count bit patterns, of which there are few.
 
 Defined results: a null text has no words; empty and blank texts fail `few_words`; repeated rows are judged each
-alone; columns of the caller's are packed away, so that no name can clash.
+alone; a text of any length is one row's work, in memory in proportion to it; an empty table has an empty ledger;
+columns of the caller's are packed away, so that no name can clash.
 """
 
 from __future__ import annotations

@@ -4,6 +4,10 @@ A segmentation of a text into pieces is the one that merging would make if and o
 re-merged alone, stay the same two pieces. The encoder therefore takes the longest piece at each place (all places'
 matches come from one Aho-Corasick pass), checks it against the piece before it, falls back to shorter pieces, and
 steps back where none fits; a bitfield keeps the places from which no continuation exists, so none is tried twice.
+
+Defined results: a null text is an empty one, which has no ids; repeated rows are encoded each; a text of any length is
+read whole, in time and memory in proportion to it; an empty table has no rows; further columns are not read, so that no
+name can clash.
 """
 
 from __future__ import annotations

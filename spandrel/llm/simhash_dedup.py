@@ -10,6 +10,10 @@ differ in at most those two bits, so all of them link to the group's smallest an
 Components come from alternating large-star and small-star steps over the links, in the shared folder between steps.
 Equal fingerprints are one node, so copies are never paired.
 
+Defined results: null, empty and blank texts have fingerprint zero and link like any other; repeated rows get a row each; a
+text of any length is read in blocks of shingles; an empty table has no rows; further columns are not read by
+near_duplicates and are kept whole, in a struct of their own, by keep_first, so that no name can clash.
+
 keep_first, the pipeline's stage, has a contract of its own: documents whose sets of 5-word shingles have a Jaccard
 similarity of at least 0.8 link. Their fingerprints differ in some 10 of 64 bits, too many for deletion variants. Here
 candidates share a band, that is BAND least hashes of a set (at 0.8, 99.96 % of pairs share one of BANDS), and each is

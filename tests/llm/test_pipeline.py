@@ -101,6 +101,21 @@ def test_stages_on_an_empty_table(spark, docs, folder, stage):
     assert out.collect() == [] and (stage == 4 or out.columns == docs.columns)
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_with_nulls_in_any_column(spark, folder, stage):
+    """Rows without id, language or source go through every stage; of equal texts the row with the smallest id stays."""
+    prose = lambda n: " ".join(f"v{(n * i * 7919) % 997}word" for i in range(1, 80))
+    rows = [(None, prose(2), None, None, None, None, None), (51, prose(3), None, "a", None, None, 1), (52, prose(5), "en", None, 9, "x", None), (None, prose(7), "en", "a", 9, "x", 1), (53, None, None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    out = corpus_pipeline.STAGES[stage][1](spark, odd, folder)
+    if stage == 4:
+        assert {r.doc_id for r in out.collect()} == {None, 51, 52, 53}
+    else:
+        got = sorted((r.text or "" for r in out.collect()))
+        want = sorted(r[1] or "" for r in rows if not (stage == 0 and r[1] is None))
+        assert out.columns == odd.columns and (got == want or stage == 1 and set(got) <= set(want))
+
+
 def test_parities_never_differ_by_more_than_the_sets():
     r = np.random.default_rng(5)
     for _ in range(300):
