@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions import text as TX
+from spandrel.operators import gram_index
 
 MODES = ("no_image_indexing", "generic_caption", "structured_caption", "structured_caption_original_crop")
 
@@ -44,3 +45,27 @@ def rescored_rates(rows: DataFrame) -> DataFrame:
     """(n, crop_recall, answer, citation, retrieval_errors, generation_errors); rates are null without rows."""
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
     return rows.agg(F.count(F.lit(1)).alias("n"), rate("hit").alias("crop_recall"), rate("correct").alias("answer"), rate("correct").alias("citation"), F.count_if(F.col("error_source") == "retrieval").alias("retrieval_errors"), F.count_if(F.col("error_source") == "generation").alias("generation_errors"))
+
+
+#: Added to the document's number in the keys of caption rows: captions come after all chunks, as if appended to the index.
+APPENDED = 1 << 48
+#: Bits of the modes, in their order: which of them index a chunk, a generic and a structured caption.
+OF_CHUNK, OF_GENERIC, OF_STRUCTURED = 0b1111, 0b0010, 0b1100
+
+
+def ablation(chunks: DataFrame, captions: DataFrame, questions: DataFrame, k: int = gram_index.TOP) -> DataFrame:
+    """(mode, item_id, rank, doc_id, chunk_idx, is_caption, score): the k best of each mode's index for every question that a
+    caption aims at, by one pass over one index of `chunks` (doc_id, chunk_idx, text, pages) and `captions` (as
+    `caption_chunks` takes them, numbered by `chunk` within their document, with question_ids).
+
+    A caption hangs on the first chunk of its document that covers its page, and is left out if there is none. Captions come
+    after all chunks among equal scores."""
+    covered = chunks.select("doc_id", F.explode("pages").alias("page")).distinct()
+    on = captions.join(covered, ["doc_id", "page"], "left_semi")
+    key = (F.col("doc_id").cast("long") + APPENDED).alias("doc_id")
+    row = lambda text, bits: on.select(key, (F.col("chunk") * 2 + bits // OF_STRUCTURED).cast("int").alias("chunk_idx"), F.col(text).alias("text"), F.lit(bits).alias("bits"))
+    rows = chunks.select(F.col("doc_id").cast("long"), F.col("chunk_idx").cast("int"), "text", F.lit(OF_CHUNK).alias("bits")).unionByName(row("generic", OF_GENERIC)).unionByName(row("structured", OF_STRUCTURED))
+    aimed = questions.join(captions.select(F.explode("question_ids").alias("item_id")).distinct(), "item_id", "left_semi")
+    top = gram_index.search(gram_index.index(rows, variants="bits"), aimed, k, variants=len(MODES))
+    mode = F.get(F.array(*map(F.lit, MODES)), F.col("variant"))
+    return top.select(mode.alias("mode"), "item_id", "rank", (F.col("key") % APPENDED).alias("doc_id"), F.when(F.col("key") >= APPENDED, F.floor(F.col("idx") / 2)).otherwise(F.col("idx")).cast("int").alias("chunk_idx"), (F.col("key") >= APPENDED).alias("is_caption"), "score")

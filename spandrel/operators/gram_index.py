@@ -10,7 +10,8 @@ reaches the k-th best score found so far are multiplied out, over the grams that
 for each question, which are all that is shuffled after that. Scores do not hang on blocks, tasks or order: counts and
 norms are whole numbers until the last division.
 
-The index is a table: `write` it once and search it as often as needed.
+The index is a table: write it once and search it as often as needed. One index can hold several variants of a corpus: a
+chunk's bits tell which of them hold it, and one pass keeps the k best of each.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ COLUMNS = 2
 #: Bounds are sums of rounded numbers: a question is left out only if its bound is lower by more than this.
 SLACK = 1e-9
 POSTINGS = "grams array<long>, ends array<int>, rows array<int>, counts array<int>, norms array<double>, sizes array<long>, impacts array<double>, most array<int>"
-INDEX = f"block long, keys array<long>, idx array<int>, first array<int>, {POSTINGS}"
+INDEX = f"block long, keys array<long>, idx array<int>, first array<int>, variants array<int>, {POSTINGS}"
 ASKED = f"asked long, items array<long>, {', '.join('q_' + x.strip() for x in POSTINGS.split(','))}"
 
 
@@ -160,20 +161,21 @@ def _scores(cosine: np.ndarray, coverage: np.ndarray, first: np.ndarray, score:
     return w.whole * cosine[:, first] + (1 - w.whole) * best
 
 
-def index(chunks: DataFrame, windows: Windows | None = None, key: str = "doc_id", idx: str = "chunk_idx", text: str = "text", section: str | None = None) -> DataFrame:
+def index(chunks: DataFrame, windows: Windows | None = None, key: str = "doc_id", idx: str = "chunk_idx", text: str = "text", section: str | None = None, variants: str | None = None) -> DataFrame:
     """The blocks of `chunks` (key, idx, text), a table of INDEX. With windows, their texts are indexed too, with the path of
-    the column `section` before them if one is named. One narrow pass."""
+    the column `section` before them if one is named. variants: a column of bits, bit v if variant v holds the chunk; without
+    it there is one variant. One narrow pass."""
     importable(chunks.sparkSession)
     texts = F.array(TX.compact(F.col(text)))
     if windows is not None:
         texts = F.concat(texts, F.transform(windows.texts(F.col(text), F.col(section) if section else None), lambda w: TX.compact(w)))
-    rows = chunks.select(F.col(key).cast("long").alias("key"), F.col(idx).cast("int").alias("idx"), texts.alias("texts"))
+    rows = chunks.select(F.col(key).cast("long").alias("key"), F.col(idx).cast("int").alias("idx"), texts.alias("texts"), (F.col(variants) if variants else F.lit(1)).cast("int").alias("variants"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[int, int, list[str]]] = []
+        held: list[tuple[int, int, list[str], int]] = []
 
         def block() -> pa.RecordBatch:
             nonlocal number
@@ -181,13 +183,13 @@ def index(chunks: DataFrame, windows: Windows | None = None, key: str = "doc_id"
             held.sort(key=lambda r: (r[0], r[1]))  # so that of equal scores the first place wins
             first = np.cumsum([0, *(len(r[2]) for r in held[:-1])]).astype(np.int32)
             packed = Postings.of([t for r in held for t in r[2]])
-            columns = [np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32), first, *packed.fields()]
+            columns = [np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32), first, np.array([r[3] for r in held], np.int32), *packed.fields()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c]) for c in columns)], NAMES)
 
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 held.append(row)
                 size += sum(map(len, row[2]))
                 if len(held) == CHUNKS or size >= CHARACTERS:
@@ -247,44 +249,53 @@ class Best:
         self.score[active], self.key[active], self.idx[active] = (np.take_along_axis(x, order, 1) for x in (s, k, i))
 
 
-def search(indexed: DataFrame, questions: DataFrame, k: int = TOP, score: str = "cosine", windows: Windows | None = None, item: str = "item_id", text: str = "text") -> DataFrame:
+def search(indexed: DataFrame, questions: DataFrame, k: int = TOP, score: str = "cosine", windows: Windows | None = None, item: str = "item_id", text: str = "text", variants: int = 1) -> DataFrame:
     """(item, key, idx, score, rank): the k best chunks of every question, ties to smaller key and idx; chunks that share
-    nothing fill up to k. score: "cosine" or "coverage"; with `windows`, those that the index was made with, the windowed score."""
+    nothing fill up to k. score: "cosine" or "coverage"; with `windows`, those that the index was made with, the windowed score. With several
+    variants (variant, item, ...): the k best of each, as if each had been searched on its own."""
     stated = asked(questions, item, text)
     met = dealt(indexed, stated, "block")
     order = [*NAMES, *stated.columns]
-    schema = "item long, key long, idx int, score double"
+    schema = "variant int, item long, key long, idx int, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[Postings, Best]] = {}
-        now, block, keys, idx, first = None, *[None] * 4
+        best: dict[int, tuple[Postings, list[Best]]] = {}
+        now, block, keys, idx, first, of_variant = None, *[None] * 5
         for batch in batches:
             array = lambda c, i, batch=batch: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
             for i, (number, of) in enumerate(zip(batch.column(0).to_pylist(), batch.column(len(NAMES)).to_pylist(), strict=True)):
                 if number != now:
                     now, keys, idx, first = number, array(1, i), array(2, i), array(3, i)
-                    block = Postings(*(array(c, i) for c in range(4, len(NAMES))))
+                    of_variant = [np.flatnonzero(array(4, i) >> v & 1) for v in range(variants)]
+                    block = Postings(*(array(c, i) for c in range(5, len(NAMES))))
                 if of not in best:
                     at = len(NAMES)
-                    best[of] = Postings(*(array(c, i) for c in range(at + 2, len(order)))), Best(array(at + 1, i), k)
+                    best[of] = Postings(*(array(c, i) for c in range(at + 2, len(order)))), [Best(array(at + 1, i), k) for _ in range(variants)]
                 own, held = best[of]
                 cosine, coverage = bounds(own, block)
                 if windows is not None:
                     most = windows.whole * cosine + (1 - windows.whole) * ((1 - windows.coverage) * cosine + windows.coverage * coverage)
                 else:
                     most = cosine if score == "cosine" else coverage
-                active = np.flatnonzero(most + SLACK >= held.least())
-                if len(active):
-                    held.add(active, _scores(*similarities(own, active, block), first, score, windows), keys, idx)
-        for _, held in best.values():
+                reaches = [(most + SLACK >= x.least()) & bool(len(c)) for x, c in zip(held, of_variant, strict=True)]
+                active = np.flatnonzero(np.any(reaches, axis=0))
+                if not len(active):
+                    continue
+                got = _scores(*similarities(own, active, block), first, score, windows)
+                for x, reach, chunks in zip(held, reaches, of_variant, strict=True):
+                    if (mine := reach[active]).any():
+                        x.add(active[mine], got[mine][:, chunks], keys[chunks], idx[chunks])
+        for variant, held in ((v, x) for _, all_ in best.values() for v, x in enumerate(all_)):
             found = np.isfinite(held.score)
             items = np.broadcast_to(held.items[:, None], held.score.shape)
             if found.any():
-                yield pa.RecordBatch.from_arrays([pa.array(items[found]), pa.array(held.key[found]), pa.array(held.idx[found].astype(np.int32)), pa.array(held.score[found])], ["item", "key", "idx", "score"])
+                columns = [np.full(found.sum(), variant, np.int32), items[found], held.key[found], held.idx[found].astype(np.int32), held.score[found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["variant", "item", "key", "idx", "score"])
 
     found = met.select(*order).mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "key", "idx"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("item", item)
+    rank = F.row_number().over(Window.partitionBy("variant", "item").orderBy(F.desc("score"), "key", "idx"))
+    found = found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("item", item)
+    return found if variants > 1 else found.drop("variant")
 
 
 def rows_in_blocks(rows: DataFrame, name: str, size: int) -> DataFrame:

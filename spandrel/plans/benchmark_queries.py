@@ -117,6 +117,15 @@ def e12_caption_chunks(spark: SparkSession, d: str) -> DataFrame:
     return CP.with_crop(CP.caption_chunks(C.chunk_rows(placed(spark, d)), told, modes)).select("doc_id", "chunk_idx", "figure_id", "mode", "text")
 
 
+def e13_caption_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Four modes of one index; every fourth document has a chart, which aims at questions by number."""
+    pages = F.sequence((F.floor(F.col("first") / D.LINES) + 1).cast("int"), (F.floor(F.col("last") / D.LINES) + 1).cast("int"))
+    told = table(spark, d, "documents").filter("doc_id % 4 = 0").select(
+        "doc_id", (F.col("doc_id") % 3 + 1).cast("int").alias("page"), F.lit(0).alias("chunk"), F.concat(F.lit("a chart of "), F.left("text", F.lit(60))).alias("generic"), F.concat(F.lit("values "), F.substring("text", 31, 60)).alias("structured"), F.array(F.col("doc_id") % 60, F.col("doc_id") % 44).alias("question_ids"),
+    )
+    return CP.ablation(D.chunks(spark, d).withColumn("pages", pages), told, table(spark, d, "benchmark")).withColumn("score", F.round("score", 6))
+
+
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
     k, t = F.col("item_id"), F.col("text")
     rows = table(spark, d, "benchmark").select("item_id", F.array(F.concat(F.lit("c"), (k % 4).cast("string"))).alias("expected"), F.array(F.lit("c0"), F.lit("c1")).alias("retrieved"), F.when(k % 3 == 0, F.concat(F.lit("it says "), t)).when(k % 3 == 1, "no").alias("answer"), F.array(F.substring(t, 1, 9), F.lit("12,5")).alias("answers"))
@@ -306,7 +315,7 @@ def v3_checksums(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        t4_chunk_rows, t4_sentence_nodes, t4_page_fallbacks, t17_table_merge, t18_vision_merge, t19_rebuilt_tables, s13_line_elements, s14_recorded_page, e_parser_cases, e12_caption_chunks, a23_pixel_rescoring, a19_audit_rollup,
+        t4_chunk_rows, t4_sentence_nodes, t4_page_fallbacks, t17_table_merge, t18_vision_merge, t19_rebuilt_tables, s13_line_elements, s14_recorded_page, e_parser_cases, e12_caption_chunks, e13_caption_ablation, a23_pixel_rescoring, a19_audit_rollup,
         a24_tag_counts, a25_headline, s25_report_rows, s26_export, a27_progress, j18_unfinished, o5_split, s9_paired, s6_ir_round_trip, s8_required_set, s16_selected_pages, f29_artifact_name, f31_channel, p10_without_secrets,
         f21_table_markdown, g1_global_promotion, g4_external, g5_ranker_selection, g6_caption_decision, g7_comparator, e16_factors, u3_missing_types, v2_router_set, v3_checksums, v4_question_set, v5_protocols, v7_public_manifest, v8_artifact_shape,
     )
@@ -357,6 +366,14 @@ ORACLES = {
             round(((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + coalesce(list_has_any([y + 1 FOR y IN a], b), false)::INT) / 3, 6), CASE WHEN ti IS NULL THEN 0 ELSE ((ti % 5 + 1 >= 3)::INT + (ti % 4 + 1 >= 2)::INT + contains(tt, 'a')::INT + contains(tt, 'zzzz')::INT) / 4 END, round(coalesce(g, 0), 6), (contains(t, '1')::INT + contains(t, 'zzzz')::INT) / 2]::DOUBLE[]) AS score FROM v""",
     "e12_caption_chunks": f"""WITH RECURSIVE {_PLACED}, c AS (SELECT doc_id, page, min(chunk) AS chunk_idx FROM pl WHERE chunk >= 0 GROUP BY ALL)
         SELECT doc_id, chunk_idx, 'f' || doc_id AS figure_id, mode, CASE WHEN mode = 'generic_caption' THEN 'a chart' ELSE 'values of ' || lang END AS text FROM documents JOIN c USING (doc_id), (SELECT unnest({list(CP.MODES[1:])}) AS mode) WHERE page = doc_id % 3 + 1""",
+    "e13_caption_ablation": "WITH RECURSIVE " + D._PLAIN.replace(
+        "c AS (SELECT doc_id, k::INTEGER AS chunk_idx, f, z, array_to_string(ts[f + 1:z + 1], chr(10)) AS text FROM s JOIN l0 USING (doc_id))",
+        """c0 AS (SELECT doc_id, k::INTEGER AS chunk_idx, f, z, array_to_string(ts[f + 1:z + 1], chr(10)) AS text FROM s JOIN l0 USING (doc_id)),
+        told AS (SELECT doc_id, text FROM documents WHERE doc_id % 4 = 0 AND doc_id IN (SELECT doc_id FROM c0 WHERE doc_id % 3 + 1 BETWEEN f // 8 + 1 AND z // 8 + 1)),
+        c AS (SELECT doc_id, chunk_idx, text FROM c0 UNION ALL SELECT doc_id, -1, 'a chart of ' || left(text, 60) FROM told UNION ALL SELECT doc_id, -2, 'values ' || substring(text, 31, 60) FROM told)""",
+    ).replace(" FROM benchmark),", " FROM benchmark WHERE item_id IN (SELECT unnest([doc_id % 60, doc_id % 44]) FROM documents WHERE doc_id % 4 = 0)),", 1)
+    + f""", ab AS (SELECT mode, item_id, row_number() OVER (PARTITION BY mode, item_id ORDER BY s DESC, chunk_idx < 0, doc_id, chunk_idx)::INTEGER AS rank, doc_id, greatest(chunk_idx, 0)::INTEGER AS chunk_idx, chunk_idx < 0 AS is_caption, round(s, 6) AS score
+        FROM tt, (SELECT unnest({list(CP.MODES)}) AS mode) WHERE chunk_idx >= 0 OR (chunk_idx = -1 AND mode = 'generic_caption') OR (chunk_idx = -2 AND mode LIKE 'structured%')) SELECT * FROM ab WHERE rank <= 5""",
     "a23_pixel_rescoring": f"""WITH x AS (SELECT item_id % 4 < 2 AS hit, item_id % 3 = 0 AND (contains({D._AFT('text')}, {D._AFT('substring(text, 1, 9)')}) OR contains({D._AFT('text')}, '125')) AS said FROM benchmark), y AS (SELECT hit, hit AND said AS ok FROM x)
         SELECT count(*) AS n, round(avg(hit::INT), 6) AS crop_recall, round(avg(ok::INT), 6) AS answer, round(avg(ok::INT), 6) AS citation, count(*) FILTER (NOT hit) AS retrieval_errors, count(*) FILTER (hit AND NOT ok) AS generation_errors FROM y""",
     "a19_audit_rollup": f"""WITH a AS ({D.ORACLES['a18_multiset_overlap']}), n AS (SELECT sum(len(string_split(text, chr(10)))) AS e, sum(len([i FOR i IN range(len(string_split(text, chr(10)))) IF i % 13 = 8])) AS s FROM documents WHERE text IS NOT NULL)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import receipts as R
 from spandrel.functions import text as TX
-from spandrel.operators import chunking, evaluation, geometry, gram_index, layout, long_chunks, quantiles, receipts, retrieval
+from spandrel.operators import captions, chunking, evaluation, geometry, gram_index, layout, long_chunks, quantiles, receipts, retrieval
 
 
 def one(spark, value, *args):
@@ -272,3 +272,23 @@ def test_table_cases(spark):
     assert got == {1: (0.5, 1), 2: (0.25, 1), 3: (0.0, 0), 5: (0.0, 0), 6: (0.0, 0)}
     assert evaluation.case_summary(evaluation.table_cases(cases, tables, documents)).first()[:] == (5, 0.15)
     assert evaluation.case_summary(evaluation.table_cases(cases.filter("false"), tables, documents)).first()[:] == (0, None)
+
+
+def test_one_index_of_variants_equals_separate_ones(spark, monkeypatch):
+    """Every variant of a captioned corpus against a search of its own; ties, captions without a page, and no captions."""
+    monkeypatch.setattr(gram_index, "CHUNKS", 3)
+    chunks = [(d, i, t, [i + 1]) for d in range(4) for i, t in enumerate(["profit by year", "same text", "nothing"])]
+    told = [(d, d % 3 + 1, 0, "a chart", "profit 2024 up" if d % 2 else "same text", [1, d]) for d in range(4)] + [(1, 9, 1, "lost", "lost", [2])]
+    c = spark.createDataFrame(chunks, "doc_id long, chunk_idx int, text string, pages array<int>").repartition(2)
+    cap = spark.createDataFrame(told, "doc_id long, page int, chunk int, generic string, structured string, question_ids array<int>")
+    q = spark.createDataFrame([(1, "profit 2024"), (2, "same text"), (3, None), (7, "no caption aims here")], "item_id int, text string")
+    got = collections.defaultdict(list)
+    for x in captions.ablation(c, cap, q, k=6).collect():
+        got[x["mode"], x.item_id].append((x["rank"], x.doc_id, x.chunk_idx, x.is_caption, round(x.score, 9)))
+    assert {i for _, i in got} == {1, 2, 3} and {m for m, _ in got} == set(captions.MODES)
+    for mode, bits in zip(captions.MODES, (None, "generic", "structured", "structured"), strict=True):
+        rows = [(d, i, False, t) for d, i, t, _ in chunks] + [(x[0], x[2], True, x[3 if bits == "generic" else 4]) for x in told if bits and x[1] < 4]
+        for item, text in ((1, "profit 2024"), (2, "same text"), (3, None)):
+            want = sorted((-round(plain_cosine(text, t), 9), caption, d, i) for d, i, caption, t in rows)[:6]
+            assert sorted(got[mode, item]) == [(n, d, i, caption, -s) for n, (s, caption, d, i) in enumerate(want, 1)], (mode, item)
+    assert captions.ablation(c, cap.filter("false"), q).collect() == []
