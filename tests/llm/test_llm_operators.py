@@ -168,7 +168,7 @@ def test_crowds_of_several_components_lose_no_link(spark, monkeypatch):
             if alike(sets[i], sets[j]) and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = [low if x == high else x for x in root]
-    rows = spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>")
+    rows = spark.createDataFrame([(i, x, simhash_dedup.parities(np.array(x, np.uint64)).tolist()) for i, x in enumerate(sets)], "node long, hashes array<long>, parities array<long>")
     crowds = rows.select("node", F.lit(0).alias("band"), F.lit(1).alias("sig"))
     first = spark.createDataFrame([(i, 0) for i in range(1, len(sets)) if alike(sets[i], sets[0])], "a long, b long")
     got = {x.node: x.root for x in simhash_dedup.settled(first, crowds, rows).collect()}
