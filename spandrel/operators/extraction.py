@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spandrel.functions import receipts as R
 from spandrel.functions import text as TX
 from spandrel.functions.text import bound
-from spandrel.operators.layout import line_numbers
+from spandrel.operators.layout import lines_of
 
 #: Words of total rows and of item headers, compared with the upper-case line.
 TOTAL_WORDS = ("總計", "合計", "合计", "應付金額", "应付金额", "應付總額", "消費金額", "TOTAL", "GRAND TOTAL", "AMOUNT DUE", "NET TOTAL", "TOTAL SALES", "DUE")
@@ -28,19 +28,13 @@ ITEMS = "array<struct<name:string,amount:double>>"
 
 
 def image_lines(boxes: DataFrame, image: str = "image_id") -> DataFrame:
-    """(image, lines) from boxes (image, box_id, text, x0, y0, x1, y1), grouped into lines by their centres. Half width
-    is made per box, the only step outside the JVM."""
-    half = boxes.withColumn("half", TX.to_halfwidth("text"))
-    centre = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("yc"), (F.col("y1") - F.col("y0")).alias("h"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("box_id").cast("long").alias("id"))
-    rows = half.groupBy(image).agg(F.collect_list(centre).alias("at"), F.map_from_entries(F.collect_list(F.struct(F.col("box_id").cast("long"), F.struct("text", "half")))).alias("texts"))
-    placed = rows.select(image, "texts", line_numbers(F.col("at")).alias("placed"))
-
-    def line(texts: Column, placed: Column, n: Column) -> Column:
-        own = F.transform(F.filter(placed, lambda p: p["line"] == n), lambda p: F.element_at(texts, p["id"]))
-        return as_line(own)
-
-    numbers = F.array_sort(F.array_distinct(F.transform("placed", lambda p: p["line"])))
-    return placed.select(image, F.transform(numbers, lambda n: line(F.col("texts"), F.col("placed"), n)).alias("lines"))
+    """(image, lines) from boxes (image, box_id, text, x0, y0, x1, y1), grouped into lines by their centres. The
+    grouping and half width, which are made of an image's boxes at once after their shuffle, are the only steps outside the JVM."""
+    box = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("yc"), (F.col("y1") - F.col("y0")).alias("h"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("box_id").cast("long").alias("id"), "text")
+    rows = boxes.groupBy(image).agg(F.collect_list(box).alias("of"))
+    placed = rows.select(image, "of", TX.to_halfwidth_each(F.transform("of", lambda b: b["text"])).alias("half"), lines_of(F.col("of")).alias("lines"))
+    own = lambda line: F.transform(line, lambda i: F.struct(F.get("of", i)["text"].alias("text"), F.get("half", i).alias("half")))
+    return placed.select(image, F.transform("lines", lambda line: bound(own(line), as_line)).alias("lines"))
 
 
 def as_line(boxes: Column) -> Column:

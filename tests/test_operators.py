@@ -215,6 +215,30 @@ def test_line_grouping(spark):
     assert [(r.line, r.id) for r in one(spark, layout.line_numbers(boxes))] == [(0, 1), (0, 0), (1, 2), (1, 3)]
 
 
+def test_lines_of_many_rows_at_once(spark):
+    """The fold of all rows together: rows of no box, one and several, nulls, boxes of equal centres, and places for lines."""
+    box = lambda yc, h, x, i: (yc, h, x, i)
+    rows = [(0, []), (1, [box(10.0, 10.0, 5.0, 1)]), (2, [box(30.0, 10.0, 0.0, 4), box(10.0, 10.0, 9.0, 1), box(12.0, 10.0, 1.0, 2), box(17.5, 10.0, 0.0, 3)]), (3, None), (4, [box(None, 5.0, 1.0, 1), box(3.0, None, 1.0, 2), box(7.9, 2.0, None, 3)])]
+    df = spark.createDataFrame(rows, "k int, b array<struct<yc:double,h:double,x:double,id:long>>").repartition(1)
+    got = {r.k: r for r in df.select("k", layout.line_numbers(F.col("b")).alias("n"), layout.lines_of(F.col("b")).alias("l")).collect()}
+    numbers = {k: None if r.n is None else [(x.line, x.id) for x in r.n] for k, r in got.items()}
+    assert numbers == {0: [], 1: [(0, 1)], 2: [(0, 2), (0, 1), (1, 3), (2, 4)], 3: None, 4: [(0, 1), (1, 3), (1, 2)]}
+    assert {k: r.l for k, r in got.items()} == {0: [], 1: [[0]], 2: [[2, 1], [3], [0]], 3: None, 4: [[0], [2, 1]]}
+
+
+def test_half_width_of_arrays_equals_that_of_texts(spark):
+    from spandrel.functions import text as TX
+
+    rows = [(0, ["ＡＢ", "plain", None, "ｶﾞ①"]), (1, []), (2, None), (3, ["x", "ＡＢ"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>").repartition(1)
+    each = {r.k: r.h for r in df.select("k", TX.to_halfwidth_each(F.col("t")).alias("h")).collect()}
+    one_ = {}
+    for r in df.select("k", F.posexplode("t").alias("i", "t")).select("k", "i", TX.to_halfwidth("t").alias("h")).orderBy("k", "i").collect():
+        one_.setdefault(r.k, []).append(r.h)
+    assert each == {0: one_[0], 1: [], 2: None, 3: one_[3]}
+
+
+
 def test_sets(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert {r.violation: r.n for r in evaluation.set_difference(a, b, ["k"]).collect()} == {"only_left": 1, "only_right": 1, "repeated": 1}
