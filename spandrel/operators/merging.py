@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import text as TX
 from spandrel.operators import geometry as G
-from spandrel.operators.layout import line_numbers
+from spandrel.operators.layout import lines_of
 
 #: The element types, and those of visual content and of titles.
 TYPES = ("heading", "paragraph", "list", "table", "figure", "caption", "footnote")
@@ -23,11 +23,14 @@ RECORDED = "struct<elements:array<struct<type:string,text:string,markdown:string
 def line_elements(boxes: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, reading_order, type, text, confidence, box): an element a line of boxes (image, box_id, text, score, box):
     the boxes' envelope, their mean score, and a type by the line's text."""
-    centre = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("yc"), (F.col("y1") - F.col("y0")).alias("h"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("box_id").cast("long").alias("id"))
-    placed = boxes.groupBy(image).agg(F.collect_list(centre).alias("at")).select(image, F.explode(line_numbers(F.col("at"))).alias("p"))
-    rows = boxes.join(placed.select(image, F.col("p.id").alias("box_id"), F.col("p.line").alias("reading_order"), F.col("p.x").alias("x")), [image, "box_id"])
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "box_id", "text"))), lambda b: b["text"]), "")
-    own = rows.groupBy(image, "reading_order").agg(texts.alias("text"), F.avg("score").alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    box = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("yc"), (F.col("y1") - F.col("y0")).alias("h"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("box_id").cast("long").alias("id"), "text", F.col("score").cast("double").alias("score"), *G.BOX)
+    placed = boxes.groupBy(image).agg(F.collect_list(box).alias("of")).select(image, "of", lines_of(F.col("of")).alias("lines"))
+    rows = placed.select(image, F.posexplode(F.transform("lines", lambda line: F.transform(line, lambda i: F.get("of", i)))).alias("reading_order", "line"))
+    all_ = lambda f: F.transform("line", lambda b: b[f])
+    scores = F.filter(all_("score"), lambda x: x.isNotNull())
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(scores), F.lit(0))
+    least, most = ([f(all_(c)).alias(c) for c in names] for f, names in ((F.array_min, G.BOX[:2]), (F.array_max, G.BOX[2:])))
+    own = rows.select(image, "reading_order", F.array_join(all_("text"), "").alias("text"), mean.alias("confidence"), *least, *most)
     return own.select(image, "reading_order", TX.classify(F.col("text")).alias("type"), "text", "confidence", *G.BOX)
 
 
