@@ -15,8 +15,9 @@ text of any length is read in blocks of shingles; an empty table has no rows; fu
 near_duplicates and are kept whole, in a struct of their own, by keep_first, so that no name can clash.
 
 keep_first, the pipeline's stage, has a contract of its own: documents whose sets of 5-word shingles have a Jaccard
-similarity of at least 0.8 link. Their fingerprints differ in some 10 of 64 bits, too many for deletion variants. Here
-candidates share a band, that is BAND least hashes of a set (at 0.8, 99.96 % of pairs share one of BANDS), and each is
+similarity of at least 0.8 link. Candidates come from SimHash first: documents whose fingerprints are equal or link at two
+or fewer bits, by deletion variants as above (`print_pairs`). At 0.8 fingerprints differ in some 10 of 64 bits, too many for
+deletion variants, so candidates are also those that share a band, that is BAND least hashes of a set (at 0.8, 99.96 % of pairs share one of BANDS); each candidate is
 compared exactly. In a band with more than FRAME documents each is first compared with the band's first document, by
 which a crowd of copies of one text is connected, and with its neighbours in the order of the rotated fingerprints. If
 that leaves such a band in several components, `settled` finds every link between them: by the prefix filter, documents
@@ -197,6 +198,15 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct(), read.filter(F.col("n") > FRAME).select("node", "band", "sig")
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) with a > b: nodes (node, fp) whose fingerprints are equal or link. A fingerprint's least node stands for it:
+    the others of it meet that one only."""
+    least = staged(nodes.groupBy("fp").agg(F.min("node").alias("of")), "prints")
+    own = nodes.select("node", "fp").join(least, "fp").filter("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
+    near = links(least).join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return own.unionByName(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+
+
 def parities(hashes: np.ndarray) -> np.ndarray:
     """PARITIES bits of a set: each is the parity of the number of its hashes that belong to it."""
     odd = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % PARITIES, minlength=PARITIES) % 2
@@ -292,7 +302,7 @@ def keep_first(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id"
     rows = staged(numbered.select("number", "id", "sketch.*", "row"), "numbered")
     nodes = staged(rows.groupBy("copy", "fp", "bands").agg(F.min("number").alias("node")), "copies")
     pairs, crowds = candidates(nodes)
-    pairs = staged(pairs, "candidates")
+    pairs = staged(pairs.unionByName(print_pairs(nodes)).distinct(), "candidates")
     used = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
     texts = rows.select("number", F.col(f"row.{text_col}").alias("text")).join(used, "number", "left_semi")
     sets = staged(texts.select(F.col("number").alias("node"), hashes("text").alias("of")).select("node", "of.*"), "sets")

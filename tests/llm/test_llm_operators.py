@@ -203,6 +203,25 @@ def test_keep_first_finds_planted_near_copies(spark):
     assert set(range(len(texts))) - kept == gone
 
 
+def test_keep_first_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """Without any pair of the bands, near copies of up to two bits are found; what the fingerprints link but is not alike stays."""
+    monkeypatch.setattr(simhash_dedup, "candidates", lambda nodes: tuple(spark.createDataFrame([], s) for s in ("a long, b long", "node long, band int, sig long")))
+    r = random.Random(3)
+    texts = []
+    for _ in range(60):
+        base = [f"w{r.randrange(5000)}" for _ in range(400)]
+        texts += [base, [*base[:-1], "changed"]]
+    texts = [" ".join(t) for t in texts]
+    prints = [simhash_dedup.fingerprint(t.encode(), 5) for t in texts]
+    gone = {i + 1 for i in range(0, len(texts), 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in simhash_dedup.keep_first(docs).collect()}
+    assert len(gone) > 20 and set(range(len(texts))) - kept == gone
+
+    equal = spark.createDataFrame([(5, 7), (3, 7), (9, 7 ^ 6), (1, -1), (2, -1 ^ 8)], "node long, fp long")
+    assert sorted(map(tuple, simhash_dedup.print_pairs(equal).collect())) == [(2, 1), (5, 3), (9, 3)]
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 
