@@ -36,10 +36,13 @@ QUESTIONS = 256
 SLICE = 4096
 TOP = 5
 #: Columns of the grid for each core of the cluster.
-COLUMNS = 2
+COLUMNS = 4
 #: Bounds are sums of rounded numbers: a question is left out only if its bound is lower by more than this.
 SLACK = 1e-9
-POSTINGS = "grams array<long>, ends array<int>, rows array<int>, counts array<int>, norms array<double>, sizes array<long>, impacts array<double>, most array<int>"
+#: Numbers below this are whole in single precision, so that sums of counts up to it may be made in it.
+WHOLE = 1 << 24
+#: Arrays of postings travel packed: see `packed`.
+POSTINGS = "grams binary, ends binary, rows binary, counts binary, norms binary, sizes binary, impacts binary, most binary"
 INDEX = f"block long, keys array<long>, idx array<int>, first array<int>, variants array<int>, {POSTINGS}"
 ASKED = f"asked long, items array<long>, {', '.join('q_' + x.strip() for x in POSTINGS.split(','))}"
 
@@ -62,17 +65,36 @@ class Windows:
         step before its end."""
         if section is not None:
             x = F.concat_ws("\n", F.nullif(section, F.lit("")), F.coalesce(x, F.lit("")))
-        x = TX.strip(F.coalesce(x, F.lit("")))
-        many = F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(self.size - self.overlap)), lambda i: F.substring(x, i + 1, F.lit(self.size)))
-        return F.when(F.length(x) <= self.size, F.array(x)).otherwise(many)
 
+        def cut(whole: Column) -> Column:
+            many = F.transform(F.sequence(F.lit(0), F.length(whole) - 1, F.lit(self.size - self.overlap)), lambda i: F.substring(whole, i + 1, F.lit(self.size)))
+            return F.when(F.length(whole) <= self.size, F.array(whole)).otherwise(many)
 
-def gram_keys(text: str) -> np.ndarray:
-    """A number for each character bigram of a compacted text; one character is its own only gram."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    if len(c) == 1:
-        return c << 21
-    return (c[:-1] << 21) | (c[1:] + 1)
+        return TX.bound(TX.strip(F.coalesce(x, F.lit(""))), cut)
+
+
+def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, a number for the gram) of each character bigram of compacted texts; one character is its own only gram."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    at, last = np.repeat(np.arange(len(texts)), lengths), (np.cumsum(lengths) - 1)[lengths > 0]
+    keys = c << 21
+    keys[:-1] |= c[1:] + 1
+    keys[last] = c[last] << 21
+    kept = np.ones(len(c), bool)
+    kept[last[lengths[lengths > 0] > 1]] = False
+    return at[kept], keys[kept]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array as bytes behind its type; whole numbers (none is negative) in the narrowest type that holds them."""
+    if x.dtype.kind != "f":
+        x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return x.dtype.str.encode().ljust(8) + x.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.dtype(x[:8].decode().strip()), offset=8)
 
 
 @dataclass
@@ -90,11 +112,13 @@ class Postings:
 
     @classmethod
     def of(cls, texts: list[str]) -> Postings:
-        keys = [gram_keys(t) for t in texts]
-        at = np.repeat(np.arange(len(texts)), [len(k) for k in keys])
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        order = np.lexsort((at, flat))
-        at, flat = at[order], flat[order]
+        at, flat = gram_keys(texts)
+        if len(texts) <= 1 << 21:  # a gram has 42 bits, so both fit in one number
+            both = np.sort((flat << 21) | at)
+            at, flat = both & ((1 << 21) - 1), both >> 21
+        else:
+            order = np.lexsort((at, flat))
+            at, flat = at[order], flat[order]
         new = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (at[1:] != at[:-1])])) if len(flat) else np.zeros(0, np.int64)
         rows, keyed, counts = at[new], flat[new], np.diff(np.append(new, len(flat)))
         norms = np.sqrt(np.bincount(rows, counts.astype(float) ** 2, len(texts)))
@@ -102,8 +126,13 @@ class Postings:
         top = lambda x: np.maximum.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
         return cls(keyed[starts], np.append(starts[1:], len(keyed)).astype(np.int32) if len(starts) else np.zeros(0, np.int32), rows.astype(np.int32), counts.astype(np.int32), norms, np.bincount(rows, counts, len(texts)).astype(np.int64), top(counts / norms[rows]), top(counts.astype(np.int32)))
 
-    def fields(self) -> list[np.ndarray]:
-        return [self.grams, self.ends, self.rows, self.counts, self.norms, self.sizes, self.impacts, self.most]
+    def fields(self) -> list[bytes]:
+        return [packed(x) for x in (self.grams, self.ends, self.rows, self.counts, self.norms, self.sizes, self.impacts, self.most)]
+
+    @classmethod
+    def read(cls, fields: list[bytes]) -> Postings:
+        """Counts and places as long numbers, so that sums of them cannot overflow."""
+        return cls(*(x if x.dtype.kind == "f" else x.astype(np.int64) for x in map(unpacked, fields)))
 
     def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of `at`, posting) of all postings of the grams at the places `at`."""
@@ -121,9 +150,9 @@ def shared_grams(a: Postings, b: Postings) -> tuple[np.ndarray, np.ndarray]:
     return known, at[known]
 
 
-def bounds(questions: Postings, block: Postings) -> tuple[np.ndarray, np.ndarray]:
+def bounds(questions: Postings, block: Postings, shared: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """What the cosine and the coverage of each question can be at most with any text of the block."""
-    mine, theirs = shared_grams(questions, block)
+    mine, theirs = shared
     which, at = questions.entries(mine)
     rows, n = questions.rows[at], questions.counts[at]
     cosine = np.bincount(rows, n * block.impacts[theirs][which], len(questions.norms)).astype(float)
@@ -131,34 +160,43 @@ def bounds(questions: Postings, block: Postings) -> tuple[np.ndarray, np.ndarray
     return np.divide(cosine, questions.norms, out=np.zeros_like(cosine), where=questions.norms > 0), np.divide(coverage, questions.sizes, out=np.zeros(len(coverage)), where=questions.sizes > 0)
 
 
-def similarities(questions: Postings, active: np.ndarray, block: Postings) -> tuple[np.ndarray, np.ndarray]:
-    """(cosine, coverage), active questions x texts; nothing in common, or no grams, gives zero."""
+def similarities(questions: Postings, active: np.ndarray, block: Postings, shared: tuple[np.ndarray, np.ndarray], cosine: bool = True, coverage: bool = True) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """(cosine, coverage), active questions x texts, each if it is wanted; nothing in common, or no grams, gives zero.
+
+    All sums are of whole numbers, in single precision where none can pass its exact range. The least of two counts is a
+    sum over the question's levels (its distinct counts): a level's step, if the question reaches it, or what the text has of
+    that step. Few grams reach the higher levels, and only those are multiplied there."""
     place = np.full(len(questions.norms), -1)
     place[active] = np.arange(len(active))
-    mine, theirs = shared_grams(questions, block)
-    dot, shared = (np.zeros((len(active), len(block.norms))) for _ in range(2))
+    mine, theirs = shared
+    dot, common = (np.zeros((len(active), len(block.norms))) for _ in range(2))
+    kind = np.float32 if int(questions.sizes.max(initial=0)) * int(block.most.max(initial=0)) < WHOLE else np.float64
     for a in range(0, len(mine), SLICE):
-        left, right = (np.zeros((n, min(SLICE, len(mine) - a))) for n in (len(active), len(block.norms)))
+        left, right = (np.zeros((min(SLICE, len(mine) - a), n), kind) for n in (len(active), len(block.norms)))
         which, at = questions.entries(mine[a : a + SLICE])
         own = place[questions.rows[at]] >= 0
-        left[place[questions.rows[at[own]]], which[own]] = questions.counts[at[own]]
+        left[which[own], place[questions.rows[at[own]]]] = questions.counts[at[own]]
         which, at = block.entries(theirs[a : a + SLICE])
-        right[block.rows[at], which] = block.counts[at]
-        dot += left @ right.T
-        for t in range(1, int(left.max(initial=0)) + 1):
-            shared += (left >= t).astype(float) @ (right >= t).astype(float).T
+        right[which, block.rows[at]] = block.counts[at]
+        if cosine:
+            dot += left.T @ right
+        below = 0
+        for level in np.unique(left[left > 0]).astype(int) if coverage else ():
+            reach = np.flatnonzero((left.max(axis=1) >= level) & (right.max(axis=1) > below))
+            left, right = left[reach], right[reach]
+            common += (left >= level).astype(kind).T @ np.clip(right - below, 0, level - below)
+            below = level
     scale, sizes = block.norms[None, :] * questions.norms[active][:, None], questions.sizes[active][:, None]
-    return np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0), np.divide(shared, sizes, out=np.zeros_like(dot), where=sizes > 0)
+    return np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0) if cosine else None, np.divide(common, sizes, out=np.zeros_like(dot), where=sizes > 0) if coverage else None
 
 
-def _scores(cosine: np.ndarray, coverage: np.ndarray, first: np.ndarray, score: str, w: Windows | None) -> np.ndarray:
+def _scores(cosine: np.ndarray | None, coverage: np.ndarray | None, first: np.ndarray, score: str, w: Windows | None) -> np.ndarray:
     """Questions x chunks. With windows, a chunk's first text is the whole, the others are its windows."""
     if w is None:
         return cosine if score == "cosine" else coverage
     local = (1 - w.coverage) * cosine + w.coverage * coverage
-    ends = np.append(first[1:], local.shape[1])
-    best = np.stack([local[:, a + 1 : b].max(axis=1) for a, b in zip(first, ends, strict=True)], axis=1)
-    return w.whole * cosine[:, first] + (1 - w.whole) * best
+    local[:, first] = -np.inf
+    return w.whole * cosine[:, first] + (1 - w.whole) * np.maximum.reduceat(local, first, axis=1)
 
 
 def index(chunks: DataFrame, windows: Windows | None = None, key: str = "doc_id", idx: str = "chunk_idx", text: str = "text", section: str | None = None, variants: str | None = None) -> DataFrame:
@@ -182,8 +220,8 @@ def index(chunks: DataFrame, windows: Windows | None = None, key: str = "doc_id"
             number += 1
             held.sort(key=lambda r: (r[0], r[1]))  # so that of equal scores the first place wins
             first = np.cumsum([0, *(len(r[2]) for r in held[:-1])]).astype(np.int32)
-            packed = Postings.of([t for r in held for t in r[2]])
-            columns = [np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32), first, np.array([r[3] for r in held], np.int32), *packed.fields()]
+            of_texts = Postings.of([t for r in held for t in r[2]])
+            columns = [np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32), first, np.array([r[3] for r in held], np.int32), *of_texts.fields()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c]) for c in columns)], NAMES)
 
@@ -267,12 +305,13 @@ def search(indexed: DataFrame, questions: DataFrame, k: int = TOP, score: str =
                 if number != now:
                     now, keys, idx, first = number, array(1, i), array(2, i), array(3, i)
                     of_variant = [np.flatnonzero(array(4, i) >> v & 1) for v in range(variants)]
-                    block = Postings(*(array(c, i) for c in range(5, len(NAMES))))
+                    block = Postings.read([batch.column(c)[i].as_py() for c in range(5, len(NAMES))])
                 if of not in best:
                     at = len(NAMES)
-                    best[of] = Postings(*(array(c, i) for c in range(at + 2, len(order)))), [Best(array(at + 1, i), k) for _ in range(variants)]
+                    best[of] = Postings.read([batch.column(c)[i].as_py() for c in range(at + 2, len(order))]), [Best(array(at + 1, i), k) for _ in range(variants)]
                 own, held = best[of]
-                cosine, coverage = bounds(own, block)
+                shared = shared_grams(own, block)
+                cosine, coverage = bounds(own, block, shared)
                 if windows is not None:
                     most = windows.whole * cosine + (1 - windows.whole) * ((1 - windows.coverage) * cosine + windows.coverage * coverage)
                 else:
@@ -281,9 +320,9 @@ def search(indexed: DataFrame, questions: DataFrame, k: int = TOP, score: str =
                 active = np.flatnonzero(np.any(reaches, axis=0))
                 if not len(active):
                     continue
-                got = _scores(*similarities(own, active, block), first, score, windows)
+                got = _scores(*similarities(own, active, block, shared, windows is not None or score == "cosine", windows is not None or score != "cosine"), first, score, windows)
                 for x, reach, chunks in zip(held, reaches, of_variant, strict=True):
-                    if (mine := reach[active]).any():
+                    if len(chunks) and (mine := reach[active] & (got[:, chunks].max(axis=1) >= x.least()[active])).any():
                         x.add(active[mine], got[mine][:, chunks], keys[chunks], idx[chunks])
         for variant, held in ((v, x) for _, all_ in best.values() for v, x in enumerate(all_)):
             found = np.isfinite(held.score)

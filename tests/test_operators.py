@@ -123,6 +123,48 @@ def test_search_equals_scores_of_all_pairs(spark, monkeypatch):
         assert [(d, n, round(s, 9)) for _, d, n, s in sorted(got[i])] == [(d, n, -s) for s, d, n in want], t
 
 
+def plain_windowed(q, text, w):
+    grams = lambda t: collections.Counter([t] if len(t) == 1 else [t[i : i + 2] for i in range(len(t) - 1)])
+    cover = lambda t: sum((grams("".join(q.split())) & grams("".join(t.split()))).values()) / max(1, sum(grams("".join(q.split())).values()))
+    x = text.strip()
+    parts = [x] if len(x) <= w.size else [x[i : i + w.size] for i in range(0, len(x), w.size - w.overlap)]
+    return w.whole * plain_cosine(q, text) + (1 - w.whole) * max((1 - w.coverage) * plain_cosine(q, t) + w.coverage * cover(t) for t in parts), cover(text)
+
+
+def test_windowed_and_covering_scores_equal_those_of_all_pairs(spark, monkeypatch):
+    """Counts of many sizes in questions and texts; one question repeats a gram a hundred thousand times."""
+    for name, n in (("CHUNKS", 6), ("SLICE", 4)):
+        monkeypatch.setattr(gram_index, name, n)
+    r, w = random.Random(5), retrieval.Windows(12, 4)
+    text = lambda: "".join(r.choice("aaab é") * r.choice([1, 1, 9]) for _ in range(r.choice([0, 1, 8, 20])))
+    chunks, asked = [(i % 7, i, text()) for i in range(60)], [*((i, text()) for i in range(20)), (20, "a" * 100_000 + "b")]
+    c, q = spark.createDataFrame(chunks, "doc_id long, chunk_idx int, text string").repartition(3), spark.createDataFrame(asked, "item_id long, text string")
+    for kind, at in (({"windows": w}, 0), ({"score": "coverage"}, 1)):
+        got = collections.defaultdict(list)
+        for x in retrieval.top_chunks(c, q, k=4, **kind).collect():
+            got[x.item_id].append((x["rank"], x.doc_id, x.chunk_idx, round(x.score, 9)))
+        for i, t in asked:
+            want = sorted((-round(plain_windowed(t, u, w)[at], 9), d, n) for d, n, u in chunks)[:4]
+            assert [x[1:] for x in sorted(got[i])] == [(d, n, -s) for s, d, n in want], (kind, t[:50])
+
+
+def test_an_index_is_no_larger_than_twice_its_texts(spark):
+    r = random.Random(7)
+    chunks = [(i, 0, "".join(r.choice("abcdefghij klmnopqrs") for _ in range(800))) for i in range(200)]
+    made = gram_index.index(spark.createDataFrame(chunks, "doc_id long, chunk_idx int, text string").repartition(1))
+    fields = [x.strip().split(" ")[0] for x in gram_index.POSTINGS.split(",")]
+    assert made.select(sum(F.octet_length(f) for f in fields).alias("n")).agg(F.sum("n")).first()[0] < 2 * 200 * 800
+
+
+def test_evidence_is_found_once_for_all_rankers(spark, monkeypatch):
+    from spandrel.plans import document_queries as q
+
+    asked, real = [], retrieval.evidence_in
+    monkeypatch.setattr(q.R, "evidence_in", lambda *a: asked.append(1) or real(*a))
+    q.g3_promotion_gate(spark, "/root/testdata/sf0.001")
+    assert asked == [1]
+
+
 def test_questions_never_pass_the_driver(spark):
     """A hundred thousand questions are planned without a job, and answered."""
     ids = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("text"))
