@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,19 +150,26 @@ def sensitivity(scores: DataFrame, expected: str, confidence: str, thresholds: t
 # --- audits ----------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.LongType())
-def multiset_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Characters that two texts share, each as often as in the text that has fewer; Spark has no such function, and
-    exploding characters would shuffle every one of them."""
-    return pd.Series([(Counter(x or "") & Counter(y or "")).total() for x, y in zip(a, b, strict=True)])
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("shared", "a", "b")]))
+def multiset_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    """(characters that two texts share, each as often as in the text that has fewer; characters of a; of b). Spark has no
+    such function, and exploding characters would shuffle every one of them. One pair of texts at a time is taken out of the
+    batch."""
+    rows = [shared_characters(x.as_py() or "", y.as_py() or "") for x, y in zip(a, b, strict=True)]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["shared", "a", "b"])
+
+
+def shared_characters(a: str, b: str) -> tuple[int, int, int]:
+    (x, n), (y, m) = (np.unique(np.frombuffer(t.encode("utf-32-le"), "<u4"), return_counts=True) for t in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum()), len(a), len(b)
 
 
 def overlap_rates(a: Column, b: Column) -> tuple[Column, Column]:
     """(recall, precision) of text b against a, without white space; an empty text gives 1."""
-    x, y = TX.compact(a, lower=False), TX.compact(b, lower=False)
-    n = multiset_overlap(x, y)
-    rate = lambda t: F.round(F.when(F.length(t) > 0, n / F.length(t)).otherwise(1.0), 6)
-    return rate(x), rate(y)
+    n = multiset_overlap(TX.compact(a, lower=False), TX.compact(b, lower=False))
+    rate = lambda t: F.round(F.when(n[t] > 0, n["shared"] / n[t]).otherwise(1.0), 6)
+    return rate("a"), rate("b")
 
 
 # --- gates -----------------------------------------------------------------------------------------------------------

@@ -358,3 +358,21 @@ def test_one_index_of_variants_equals_separate_ones(spark, monkeypatch):
             want = sorted((-round(plain_cosine(text, t), 9), caption, d, i) for d, i, caption, t in rows)[:6]
             assert sorted(got[mode, item]) == [(n, d, i, caption, -s) for n, (s, caption, d, i) in enumerate(want, 1)], (mode, item)
     assert captions.ablation(c, cap.filter("false"), q).collect() == []
+
+
+def test_overlaps_take_one_pair_of_texts_out_of_a_batch(spark):
+    """A batch of thirty megabytes of texts is never a batch of Python texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    one, half = "añ你😀" * 250, "añ你😀" * 125
+    a, b = pa.array([one] * 5000 + [None]), pa.array([half] * 5000 + ["x"])
+    tracemalloc.start()
+    got = evaluation.multiset_overlap.func(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    assert got[0].as_py() == {"shared": 500, "a": 1000, "b": 500} and got[5000].as_py() == {"shared": 0, "a": 0, "b": 1}
+    rows = spark.createDataFrame([(1, "a b b\u3000c", "bb b"), (2, "", None), (3, " ", "x")], "k int, a string, b string")
+    recall, precision = evaluation.overlap_rates(F.col("a"), F.col("b"))
+    assert sorted(rows.select("k", recall, precision).collect()) == [(1, 0.5, 0.666667), (2, 1.0, 1.0), (3, 1.0, 0.0)]
