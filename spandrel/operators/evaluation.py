@@ -20,9 +20,10 @@ LEAST = 0.90
 # --- parser cases: scores over the text of the selected pages or its elements (arrays within the row) ----------------
 
 
-def contains(text: Column, term: Column) -> Column:
-    """Whether a text holds a term, both without white space and case."""
-    return F.contains(TX.compact(text), TX.compact(term))
+def contains(text: Column, term: Column, ready: bool = False) -> Column:
+    """Whether a text holds a term, both without white space and case. ready: the text is without them already, as where
+    several scores look at the same texts."""
+    return F.contains(text if ready else TX.compact(text), TX.compact(term))
 
 
 def _share(hits: Column) -> Column:
@@ -31,9 +32,9 @@ def _share(hits: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(hits, lambda x: x)) / n).otherwise(1.0)
 
 
-def completeness(text: Column, terms: Column) -> Column:
+def completeness(text: Column, terms: Column, ready: bool = False) -> Column:
     """Share of the expected terms (or chart values) that are found."""
-    return TX.bound(TX.compact(text), lambda whole: _share(F.transform(terms, lambda t: F.contains(whole, TX.compact(t)))))
+    return TX.bound(text if ready else TX.compact(text), lambda whole: _share(F.transform(terms, lambda t: F.contains(whole, TX.compact(t)))))
 
 
 def reading_order(text: Column, terms: Column) -> Column:
@@ -44,23 +45,23 @@ def reading_order(text: Column, terms: Column) -> Column:
     return TX.bound(TX.bound(found, pairs), _share)
 
 
-def typed_elements(elements: Column, expected: Column) -> Column:
+def typed_elements(elements: Column, expected: Column, ready: bool = False) -> Column:
     """Share of the expected (type, text) that some element has."""
-    return _share(F.transform(expected, lambda e: F.exists(elements, lambda x: (x["type"] == e["type"]) & contains(x["text"], e["text"]))))
+    return _share(F.transform(expected, lambda e: F.exists(elements, lambda x: (x["type"] == e["type"]) & contains(x["text"], e["text"], ready))))
 
 
-def footnote_anchor(text: Column, elements: Column, anchor: Column, footnote: Column) -> Column:
+def footnote_anchor(text: Column, elements: Column, anchor: Column, footnote: Column, ready: bool = False) -> Column:
     """Four checks: the anchor and the footnote are found, in this order, and the footnote has its type."""
-    whole = TX.compact(text)
+    whole = text if ready else TX.compact(text)
     a, f = F.call_function("instr", whole, TX.compact(anchor)), F.call_function("instr", whole, TX.compact(footnote))
-    typed = F.exists(elements, lambda x: (x["type"] == "footnote") & contains(x["text"], footnote))
+    typed = F.exists(elements, lambda x: (x["type"] == "footnote") & contains(x["text"], footnote, ready))
     return _share(F.array(a > 0, f > 0, (a > 0) & (f > 0) & (a < f), typed))
 
 
-def table_structure(elements: Column, anchor: Column, rows: Column, columns: Column, cells: Column) -> Column:
+def table_structure(elements: Column, anchor: Column, rows: Column, columns: Column, cells: Column, ready: bool = False) -> Column:
     """Checks on the first table (type, text, markdown, row_count, column_count) that holds the anchor: enough rows,
     enough columns, each cell; without such a table 0."""
-    either = lambda x, t: contains(x["text"], t) | contains(x["markdown"], t)
+    either = lambda x, t: contains(x["text"], t, ready) | contains(x["markdown"], t, ready)
     table = F.get(F.filter(elements, lambda x: (x["type"] == "table") & either(x, anchor)), F.lit(0))
     checks = F.concat(F.array(F.coalesce(table["row_count"], F.lit(0)) >= F.coalesce(rows, F.lit(1)), F.coalesce(table["column_count"], F.lit(0)) >= F.coalesce(columns, F.lit(1))), F.transform(cells, lambda c: either(table, c)))
     return F.when(table.isNull(), 0.0).otherwise(_share(checks))
@@ -74,9 +75,9 @@ def contamination(text: Column, term: Column, allowed: Column) -> Column:
     return F.when(n <= allowed, 1.0).otherwise(F.greatest(F.lit(0.0), allowed / n))
 
 
-def continuity(elements: Column, left: Column, right: Column, linked: Column | None = None) -> Column:
+def continuity(elements: Column, left: Column, right: Column, linked: Column | None = None, ready: bool = False) -> Column:
     """Three checks on (text, page): both terms are found, on consecutive pages; with `linked`, a fourth."""
-    pages = lambda t: F.transform(F.filter(elements, lambda x: contains(x["text"], t)), lambda x: x["page"])
+    pages = lambda t: F.transform(F.filter(elements, lambda x: contains(x["text"], t, ready)), lambda x: x["page"])
     l, r = pages(left), pages(right)
     checks = [F.size(l) > 0, F.size(r) > 0, F.arrays_overlap(F.transform(l, lambda p: p + 1), r)]
     return _share(F.array(*checks, *([] if linked is None else [linked])))
@@ -88,10 +89,10 @@ def visual(elements: Column, kind: Column, least: Column, need_box: Column) -> C
     return _share(F.array(F.size(own) >= F.coalesce(least, F.lit(1)), ~need_box | F.exists(own, lambda x: x["x0"].isNotNull())))
 
 
-def grounding(elements: Column, target: Column, expected: tuple) -> Column:
+def grounding(elements: Column, target: Column, expected: tuple, ready: bool = False) -> Column:
     """The best overlap of a box (normalized: x0..y1) of an element that holds the target with the expected box; 0 without."""
     over = lambda x: iou(tuple(x[c] for c in BOX), expected)
-    hits = F.filter(elements, lambda x: x["x0"].isNotNull() & contains(x["text"], target))
+    hits = F.filter(elements, lambda x: x["x0"].isNotNull() & contains(x["text"], target, ready))
     return F.coalesce(F.array_max(F.transform(hits, over)), F.lit(0.0))
 
 

@@ -376,3 +376,18 @@ def test_overlaps_take_one_pair_of_texts_out_of_a_batch(spark):
     rows = spark.createDataFrame([(1, "a b b\u3000c", "bb b"), (2, "", None), (3, " ", "x")], "k int, a string, b string")
     recall, precision = evaluation.overlap_rates(F.col("a"), F.col("b"))
     assert sorted(rows.select("k", recall, precision).collect()) == [(1, 0.5, 0.666667), (2, 1.0, 1.0), (3, 1.0, 0.0)]
+
+
+def test_cases_are_scored_on_texts_made_ready_once(spark):
+    """Texts without white space and case give the scores of the raw ones, and the query makes each element's only once."""
+    from spandrel.plans import benchmark_queries as q
+
+    texts = ["第1章 The End", "- a　 B", "資料來源: X", "圖 1 e", None]
+    kinds = ["heading", "list", "footnote", "table", "paragraph"]
+    els = lambda form: F.array(*(F.struct(F.lit(k).alias("type"), form(F.lit(t).cast("string")).alias("text"), F.lit(i + 1).alias("page"), F.lit("").alias("markdown"), F.lit(3).alias("row_count"), F.lit(2).alias("column_count"), *(F.lit(v).alias(c) for v, c in zip((0.1, 0.1, 0.5, 0.5), geometry.BOX, strict=True))) for i, (k, t) in enumerate(zip(kinds, texts, strict=True))))
+    whole = F.lit("\n".join(t or "" for t in texts))
+    scores = lambda e, t, **k: [evaluation.typed_elements(e, F.array(F.struct(F.lit("list").alias("type"), F.lit("- A b").alias("text"))), **k), evaluation.footnote_anchor(t, e, F.lit("圖 1"), F.lit("資料來源"), **k), evaluation.continuity(e, F.lit("資料 來源"), F.lit("圖 1"), **k), evaluation.table_structure(e, F.lit("E"), F.lit(3), F.lit(2), F.array(F.lit("1"), F.lit("zz")), **k), evaluation.grounding(e, F.lit("the e"), tuple(F.lit(x) for x in (0.1, 0.1, 0.5, 0.5)), **k), evaluation.completeness(t, F.array(F.lit("the"), F.lit("zz")), **k)]
+    raw, ready = scores(els(lambda x: x), whole), scores(els(TX.compact), TX.compact(whole), ready=True)
+    assert one(spark, F.array(*raw)) == one(spark, F.array(*ready)) == [1.0, 0.75, 1.0, 0.75, 1.0, 0.5]
+    plan = q.e_parser_cases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("regexp_replace")
