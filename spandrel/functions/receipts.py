@@ -108,6 +108,5 @@ def exact(a: Column, b: Column) -> Column:
 
 def fuzzy(a: Column, b: Column) -> Column:
     """1 - edits / longer length; two nulls 1, one null 0, two empty texts 1."""
-    longest = F.greatest(F.length(a), F.length(b))
-    near = F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
-    return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(near)
+    near = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    return F.when(exact(a, b), F.lit(1.0)).otherwise(F.coalesce(near, F.lit(0.0)))

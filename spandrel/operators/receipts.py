@@ -11,6 +11,7 @@ from spandrel.operators.quantiles import FEW, quantiles
 
 ITEM_THRESHOLD = 0.6
 FUZZY_THRESHOLD = 0.8
+PAIRS = "array<struct<s:double,i:int,j:int>>"
 MATCHES = "array<struct<gt_idx:int,pred_idx:int,sim:double,amount_exact:boolean>>"
 
 
@@ -22,32 +23,41 @@ def field_scores(pairs: DataFrame, key: str, fields: list[str], threshold: float
     return rows.select(key, F.col("x.field").alias("field"), R.exact(F.col("x.g"), F.col("x.p")).alias("exact"), (score >= threshold).alias("fuzzy"), F.round(score, 6).alias("score"))
 
 
-def align_items(gt: Column, pred: Column, threshold: float = ITEM_THRESHOLD) -> Column:
+def matched_items(gt: Column, pred: Column, threshold: float = ITEM_THRESHOLD) -> Column:
     """Greedy one-to-one alignment of two arrays of (name, amount): pairs by falling similarity, then places; pairs
-    under the threshold and used items are passed over; then the unmatched of both sides. A fold inside the row."""
-    places = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+    under the threshold and used items are passed over. A fold inside the row; most pairs are far apart, so only a near one
+    is made a value of its own."""
 
-    def pair(i: Column, j: Column) -> Column:
-        g, p = F.get(gt, i), F.get(pred, j)
-        return F.struct((-R.fuzzy(g["name"], p["name"])).alias("s"), i.alias("i"), j.alias("j"), g["amount"].eqNullSafe(p["amount"]).alias("same"))
+    def pair(g: Column, i: Column, p: Column, j: Column) -> Column:
+        alike = R.fuzzy(g["name"], p["name"])
+        return F.when(alike >= threshold, F.struct((-alike).alias("s"), i.alias("i"), j.alias("j")))
 
-    pairs = F.flatten(F.transform(places(gt), lambda i: F.transform(places(pred), lambda j: pair(i, j))))
-    ordered = F.array_sort(F.filter(pairs, lambda x: -x["s"] >= threshold))
-    match = lambda i, j, s, same: F.struct(i.cast("int").alias("gt_idx"), j.cast("int").alias("pred_idx"), s.cast("double").alias("sim"), same.cast("boolean").alias("amount_exact"))
+    near = F.transform(gt, lambda g, i: F.filter(F.transform(pred, lambda p, j: pair(g, i, p, j)), lambda x: x.isNotNull()))
+    ordered = F.sort_array(F.coalesce(F.flatten(near), F.array().cast(PAIRS)))
+    same = lambda x: F.get(gt, x["i"])["amount"].eqNullSafe(F.get(pred, x["j"])["amount"])
 
     def take(acc: Column, x: Column) -> Column:
         used = F.exists(acc, lambda m: (m["gt_idx"] == x["i"]) | (m["pred_idx"] == x["j"]))
-        return F.when(used, acc).otherwise(F.concat(acc, F.array(match(x["i"], x["j"], -x["s"], x["same"]))))
+        return F.when(used, acc).otherwise(F.concat(acc, F.array(_match(x["i"], x["j"], -x["s"], same(x)))))
+
+    return F.aggregate(ordered, F.array().cast(MATCHES), take)
+
 
-    taken = F.aggregate(ordered, F.array().cast(MATCHES), take)
+def _match(i: Column, j: Column, s: Column, same: Column) -> Column:
+    return F.struct(i.cast("int").alias("gt_idx"), j.cast("int").alias("pred_idx"), s.cast("double").alias("sim"), same.cast("boolean").alias("amount_exact"))
+
+
+def align_items(gt: Column, pred: Column, threshold: float = ITEM_THRESHOLD) -> Column:
+    """The matched items (see matched_items), then the unmatched of both sides."""
+    places = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
     null, no = F.lit(None), F.lit(False)
 
     def rest(acc: Column) -> Column:
         left = F.filter(places(gt), lambda i: ~F.exists(acc, lambda m: m["gt_idx"] == i))
         right = F.filter(places(pred), lambda j: ~F.exists(acc, lambda m: m["pred_idx"] == j))
-        return F.concat(acc, F.transform(left, lambda i: match(i, null, F.lit(0.0), no)), F.transform(right, lambda j: match(null, j, F.lit(0.0), no)))
+        return F.concat(acc, F.transform(left, lambda i: _match(i, null, F.lit(0.0), no)), F.transform(right, lambda j: _match(null, j, F.lit(0.0), no)))
 
-    return F.get(F.transform(F.array(taken), rest), F.lit(0))
+    return F.get(F.transform(F.array(matched_items(gt, pred, threshold)), rest), F.lit(0))
 
 
 def item_scores(aligned: DataFrame, key: str) -> DataFrame:
@@ -58,6 +68,20 @@ def item_scores(aligned: DataFrame, key: str) -> DataFrame:
     fn, fp = F.sum(F.when(F.col("gt_idx").isNotNull() & F.col("pred_idx").isNull(), 1).otherwise(0)), F.sum(F.when(F.col("gt_idx").isNull() & F.col("pred_idx").isNotNull(), 1).otherwise(0))
     both = F.col("gt_idx").isNotNull() & F.col("pred_idx").isNotNull()
     sums = aligned.groupBy(key).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.sum(F.when(both & F.col("amount_exact"), 1).otherwise(0)).alias("same"), F.sum(F.when(both & (F.col("sim") == 1.0), 1).otherwise(0)).alias("names"), F.sum(F.when(both, F.col("sim"))).alias("alike"))
+    return _item_rates(sums, key)
+
+
+def record_scores(records: DataFrame, key: str, gt: str, pred: str) -> DataFrame:
+    """The scores of item_scores from a row a record with both arrays of (name, amount): sums over the matches inside the row,
+    what is unmatched being the rest of both sizes. A record without any item has no scores."""
+    size = lambda a: F.when(F.col(a).isNotNull(), F.size(a)).otherwise(0)
+    rows = records.filter((size(gt) > 0) | (size(pred) > 0)).select(key, size(gt).alias("n_gt"), size(pred).alias("n_pred"), matched_items(F.col(gt), F.col(pred)).alias("m"))
+    alike = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["sim"])
+    sums = rows.select(key, F.size("m").alias("tp"), (F.col("n_pred") - F.size("m")).alias("fp"), (F.col("n_gt") - F.size("m")).alias("fn"), F.size(F.filter("m", lambda x: x["amount_exact"])).alias("same"), F.size(F.filter("m", lambda x: x["sim"] == 1.0)).alias("names"), alike.alias("alike"))
+    return _item_rates(sums, key)
+
+
+def _item_rates(sums: DataFrame, key: str) -> DataFrame:
     share = lambda a: F.when(F.col("tp") > 0, F.col(a) / F.col("tp"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(1.0)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -132,3 +156,11 @@ def first_valid_attempt(attempts: DataFrame, call: str, attempt: str, valid: Col
 def numbered(items: DataFrame, key: str, order: list[str], name: str = "idx") -> DataFrame:
     """Items numbered from 0 within their record, by a total order."""
     return items.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
+
+
+def listed(items: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """(key, name): a row a record with the values of its items as an array in a total order. The sort that the order needs
+    is the only one: a grouped list would be sorted by key for itself, and then each list anew."""
+    w = W.partitionBy(key).orderBy(*order)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return items.select(key, F.row_number().over(w).alias("nth_"), F.collect_list(value).over(whole).alias(name)).filter("nth_ = 1").drop("nth_")

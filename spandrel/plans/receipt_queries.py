@@ -6,14 +6,14 @@ the twins state the expected result from the column itself where they can, so th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.functions import receipts as R
 from spandrel.functions import text as TX
 from spandrel.operators import receipts as O
 from spandrel.operators.quantiles import quantiles
-from spandrel.sources.tables import table
+from spandrel.sources.tables import dealt, table
 
 #: Dollars a million tokens in and out, and dollars a GPU hour.
 PRICES = {"click": (0.15, 0.60), "view": (0.10, 0.40), "purchase": (2.50, 10.0), "signup": (0.30, 2.50)}
@@ -154,15 +154,20 @@ def a11_items_f1(spark: SparkSession, d: str) -> DataFrame:
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, gt, pred): items of an order; predictions lose, rename or reprice items by place."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem")
+    named = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), F.col("l_partkey") == F.col("p_partkey"))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    rows = O.numbered(lines, "l_orderkey", order).select("l_orderkey", "idx", F.col("p_name").alias("name"), "p_name", F.col("l_extendedprice").alias("amount"))
-    k = F.col("idx") % 5
-    gone = F.col("idx") % 4 == 3
-    pred = F.struct(F.col("idx"), F.when(k == 1, F.expr("substring(p_name, 1, length(p_name) - 1)")).when(k == 2, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), F.when(k == 4, F.col("amount") + 1).otherwise(F.col("amount")).alias("amount"))
-    both = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("idx", "name", "amount"))).alias("gt"), F.array_sort(F.collect_list(F.when(~gone, pred))).alias("pred"))
+    item = F.struct("name", F.col("l_extendedprice").alias("amount"))
+    rows = O.listed(dealt(named, "l_orderkey", lines.count()), "l_orderkey", order, item, "gt")
+
+    def predicted(x: Column, i: Column) -> Column:
+        k, name, amount = i % 5, x["name"], x["amount"]
+        wrong = F.when(k == 1, F.substring(name, F.lit(1), F.length(name) - 1)).when(k == 2, F.upper(name)).otherwise(name)
+        return F.when(i % 4 != 3, F.struct(wrong.alias("name"), F.when(k == 4, amount + 1).otherwise(amount).alias("amount")))
+
     # predictions come in reverse, so order must not matter
-    return both.select("o_orderkey", F.transform("gt", lambda x: F.struct(x["name"].alias("name"), x["amount"].alias("amount"))).alias("gt"), F.reverse(F.transform("pred", lambda x: F.struct(x["name"].alias("name"), x["amount"].alias("amount")))).alias("pred"))
+    pred = F.reverse(F.filter(F.transform("gt", predicted), lambda p: p.isNotNull()))
+    return rows.select(F.col("l_orderkey").alias("o_orderkey"), "gt", pred.alias("pred"))
 
 
 def t9_item_alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +176,7 @@ def t9_item_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a2_item_prf(spark: SparkSession, d: str) -> DataFrame:
-    rows = items(spark, d).select("o_orderkey", F.explode(O.align_items(F.col("gt"), F.col("pred"))).alias("m")).select("o_orderkey", "m.*")
-    return O.item_scores(rows, "o_orderkey")
+    return O.record_scores(items(spark, d), "o_orderkey", "gt", "pred")
 
 
 def a3_item_means(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: Fixed value: rows that one task of a table dealt by key is to hold.
+TASK_ROWS = 250_000
+
 
 def importable(spark: SparkSession) -> None:
     """Python workers of this session can import this package where its folder is on their machine too (local mode);
@@ -32,6 +36,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def dealt(df: DataFrame, key: str, rows: int, most: int = TASK_ROWS) -> DataFrame:
+    """`df` of some `rows` rows (a Parquet table's count comes from its footers) dealt by `key` into parts of some `most`
+    rows, if that makes more parts than there are cores: what a task sorts or groups does not grow with the table. A
+    smaller one stays as it is; a key's rows are in one part, so only keys of few rows gain."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rounds = math.ceil(rows / most / cores)
+    return df.repartition(rounds * cores, key) if rounds > 1 else df
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the folder that driver and executors share (spark.checkpoint.dir), which outlives lost
     executors. Where that is unset, a local session gets a temporary folder that goes with the process; on a cluster there
