@@ -142,11 +142,13 @@ def continued_tables(tables: DataFrame, doc: str, page: str, table: str) -> Data
     # a link goes on with the chain of the link before it if that ends at the table where this one starts
     v = Window.partitionBy(doc).orderBy("p")
     goes_on = F.coalesce((F.lag("p").over(v) == F.col("p") - 1) & (F.lag("to").over(v) == F.col("from")), F.lit(False))
-    chained = links.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("new").over(v))
-    first = F.min("p").over(Window.partitionBy(doc, "island"))
-    named = chained.withColumn("continuity", first)
-    both = named.select(doc, F.explode(F.array(F.struct(F.col("p").alias("page"), F.col("from").alias("table")), F.struct((F.col("p") + 1).alias("page"), F.col("to").alias("table")))).alias("e"), "continuity")
-    return both.select(doc, F.col("e.page").alias(page), F.col("e.table").alias(table), "continuity").distinct()
+    chained = links.withColumn("start", F.when(~goes_on, F.col("p")))
+    named = chained.withColumn("continuity", F.max("start").over(v.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # the table where a link starts is there already if the link goes on, so no row is made twice
+    end = lambda p, t: F.struct(p.alias("page"), F.col(t).alias("table"))
+    start, stop = end(F.col("p"), "from"), end(F.col("p") + 1, "to")
+    both = named.select(doc, F.explode(F.when(F.col("start").isNull(), F.array(stop)).otherwise(F.array(start, stop))).alias("e"), "continuity")
+    return both.select(doc, F.col("e.page").alias(page), F.col("e.table").alias(table), "continuity")
 
 
 def table_confidence(rows: Column, columns: Column, populated: Column, filled: Column, width: Column, height: Column, captioned: Column) -> Column:
