@@ -77,3 +77,10 @@ def test_item_scores_sort_lines_once(spark, capsys):
     q.a2_item_prf(spark, FOLDER).explain()
     plan = capsys.readouterr().out
     assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_item_means_group_only_by_configuration(spark, capsys):
+    q.a3_item_means(spark, FOLDER).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1 and plan.count("Aggregate(") == 2 and "ObjectHashAggregate" not in plan
