@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from spandrel.functions import receipts as R
+from spandrel.operators import item_matching
 from spandrel.operators.quantiles import FEW, quantiles
+from spandrel.sources.tables import importable
 
 ITEM_THRESHOLD = 0.6
 FUZZY_THRESHOLD = 0.8
@@ -71,14 +74,17 @@ def item_scores(aligned: DataFrame, key: str) -> DataFrame:
     return _item_rates(sums, key)
 
 
-def record_scores(records: DataFrame, key: str, gt: str, pred: str) -> DataFrame:
-    """The scores of item_scores from a row a record with both arrays of (name, amount): sums over the matches inside the row,
-    what is unmatched being the rest of both sizes. A record without any item has no scores."""
+def record_scores(records: DataFrame, key: str, gt: str, pred: str, threshold: float = ITEM_THRESHOLD) -> DataFrame:
+    """The scores of item_scores from a row a record with both arrays of (name, amount): records are matched a batch at a time
+    (see item_matching), what is unmatched being the rest of both sizes. A record without any item has no scores."""
+    importable(records.sparkSession)
     size = lambda a: F.when(F.col(a).isNotNull(), F.size(a)).otherwise(0)
-    rows = records.filter((size(gt) > 0) | (size(pred) > 0)).select(key, size(gt).alias("n_gt"), size(pred).alias("n_pred"), matched_items(F.col(gt), F.col(pred)).alias("m"))
-    alike = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["sim"])
-    sums = rows.select(key, F.size("m").alias("tp"), (F.col("n_pred") - F.size("m")).alias("fp"), (F.col("n_gt") - F.size("m")).alias("fn"), F.size(F.filter("m", lambda x: x["amount_exact"])).alias("same"), F.size(F.filter("m", lambda x: x["sim"] == 1.0)).alias("names"), alike.alias("alike"))
-    return _item_rates(sums, key)
+    amounts = [F.col(a)["amount"] for a in (gt, pred)]
+    both = records.filter((size(gt) > 0) | (size(pred) > 0)).select(key, F.col(gt)["name"].alias("a"), amounts[0].alias("x"), F.col(pred)["name"].alias("b"), amounts[1].alias("y"), F.concat(*amounts).alias("all"))
+    kind = both.schema["all"].dataType  # amounts are compared as what both kinds are
+    rows = both.select(key, "a", F.col("x").cast(kind), "b", F.col("y").cast(kind))
+    schema = T.StructType([both.schema[key], *(T.StructField(n, T.LongType()) for n in ("tp", "fp", "fn", "same", "names")), T.StructField("alike", T.DoubleType())])
+    return _item_rates(rows.mapInArrow(lambda batches: item_matching.sums(batches, threshold), schema), key)
 
 
 def _item_rates(sums: DataFrame, key: str) -> DataFrame:
@@ -158,9 +164,11 @@ def numbered(items: DataFrame, key: str, order: list[str], name: str = "idx") ->
     return items.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
 
 
-def listed(items: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """(key, name): a row a record with the values of its items as an array in a total order. The sort that the order needs
-    is the only one: a grouped list would be sorted by key for itself, and then each list anew."""
+def listed(items: DataFrame, key: str, order: list[str], value: Column, name: str, **more: Column) -> DataFrame:
+    """(key, name, and so for each of `more`): a row a record with the values of its items as an array in a total order, nulls
+    left out. The sort that the order needs is the only one: a grouped list would be sorted by key for itself, and then each
+    list anew."""
     w = W.partitionBy(key).orderBy(*order)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return items.select(key, F.row_number().over(w).alias("nth_"), F.collect_list(value).over(whole).alias(name)).filter("nth_ = 1").drop("nth_")
+    lists = (F.collect_list(v).over(whole).alias(n) for n, v in {name: value, **more}.items())
+    return items.select(key, F.row_number().over(w).alias("nth_"), *lists).filter("nth_ = 1").drop("nth_")

@@ -157,17 +157,13 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     named = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), F.col("l_partkey") == F.col("p_partkey"))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    item = F.struct("name", F.col("l_extendedprice").alias("amount"))
-    rows = O.listed(dealt(named, "l_orderkey", lines.count()), "l_orderkey", order, item, "gt")
-
-    def predicted(x: Column, i: Column) -> Column:
-        k, name, amount = i % 5, x["name"], x["amount"]
-        wrong = F.when(k == 1, F.substring(name, F.lit(1), F.length(name) - 1)).when(k == 2, F.upper(name)).otherwise(name)
-        return F.when(i % 4 != 3, F.struct(wrong.alias("name"), F.when(k == 4, amount + 1).otherwise(amount).alias("amount")))
-
+    placed = O.numbered(dealt(named, "l_orderkey", lines.count()), "l_orderkey", order, "i")
+    k, name, amount = F.col("i") % 5, F.col("name"), F.col("l_extendedprice")
+    wrong = F.when(k == 1, F.substring(name, F.lit(1), F.length(name) - 1)).when(k == 2, F.upper(name)).otherwise(name)
+    predicted = F.when(F.col("i") % 4 != 3, F.struct(wrong.alias("name"), F.when(k == 4, amount + 1).otherwise(amount).alias("amount")))
     # predictions come in reverse, so order must not matter
-    pred = F.reverse(F.filter(F.transform("gt", predicted), lambda p: p.isNotNull()))
-    return rows.select(F.col("l_orderkey").alias("o_orderkey"), "gt", pred.alias("pred"))
+    rows = O.listed(placed, "l_orderkey", order, F.struct("name", amount.alias("amount")), "gt", pred=predicted)
+    return rows.select(F.col("l_orderkey").alias("o_orderkey"), "gt", F.reverse("pred").alias("pred"))
 
 
 def t9_item_alignment(spark: SparkSession, d: str) -> DataFrame:

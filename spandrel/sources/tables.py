@@ -36,14 +36,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def dealt(df: DataFrame, key: str, rows: int, most: int | None = None) -> DataFrame:
-    """`df` of some `rows` rows (a Parquet table's count comes from its footers) dealt by `key` into parts of at most some
-    `most` (TASK_ROWS) rows in even rounds over the cores, so that what a task sorts or groups does not grow with the
-    table. Rows that need one round only stay as they are; a key's rows are in one part."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def dealt(df: DataFrame, key: str, rows: int, most: int | None = None) -> DataFrame:
     """`df` of some `rows` rows (a Parquet table's count comes from its footers) dealt by `key` into parts of some `most`
     (TASK_ROWS) rows, if that makes more parts than there are cores: the parts are dealt in even rounds over the cores, and what

@@ -3,9 +3,12 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spandrel.operators import item_matching
 from spandrel.operators import receipts as O
 from spandrel.plans import receipt_queries as q
 from spandrel.sources.tables import dealt
@@ -84,3 +87,37 @@ def test_item_means_group_only_by_configuration(spark, capsys):
     q.a3_item_means(spark, FOLDER).explain()
     plan = capsys.readouterr().out
     assert plan.count("Sort [") == 1 and plan.count("Aggregate(") == 2 and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_item_means_match_a_batch_at_a_time(spark, capsys):
+    q.a3_item_means(spark, FOLDER).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and "levenshtein" not in plan and "lambdafunction" not in plan
+
+
+@pytest.mark.parametrize("pairs, cells, few", [(500_000, 100_000, 256), (3, 20, 1), (1, 1, 10**6)])
+def test_batches_match_as_rows_do_whatever_is_held_at_once(monkeypatch, pairs, cells, few):
+    for name, value in (("PAIRS_AT_ONCE", pairs), ("CELLS_AT_ONCE", cells), ("FEW", few)):
+        monkeypatch.setattr(item_matching, name, value)
+    records = [*some_records(), (300, [(c * n, 1.0) for c in "ab" for n in range(9)], [(c * n, 1.0) for n in range(9) for c in "aab"])]
+    sides = [[r[k] or [] for r in records] for k in (1, 2)]
+    sizes = [np.array([*map(len, side)]) for side in sides]
+    g, p, s = item_matching.matches(*sizes, *(pa.array([n for items in side for n, _ in items], pa.string()) for side in sides), 0.6)
+    of = np.repeat(np.arange(len(records)), sizes[0])[g]
+    first = [np.cumsum(n) - n for n in sizes]
+    got = {r[0]: [] for r in records}
+    for r, i, j, x in zip(of.tolist(), g.tolist(), p.tolist(), s.tolist(), strict=True):
+        got[r].append((i - int(first[0][r]), j - int(first[1][r]), x))
+    assert got == {k: [m[:3] for m in matched(gt, pred)] for k, gt, pred in records}
+    assert all(len(x) == 0 for x in item_matching.matches(*(np.zeros(1, dtype=np.int64),) * 2, *(pa.array([], pa.string()),) * 2, 0.6))
+
+
+def test_amounts_are_equal_as_spark_sees_it(spark):
+    nan, item = float("nan"), "array<struct<name:string,amount:{}>>"
+    records = [("k", [("a", 0.0), ("b", nan), ("c", None), ("d", 1.0), None], [None, ("a", -0.0), ("b", nan), ("c", None), ("d", 2.0)]), ("n", None, [("a", 1.0)]), ("e", [], []), ("o", [("a", 1.0)], [])]
+    scores = lambda df: {r.k: tuple(r)[1:] for r in O.record_scores(df, "k", "gt", "pred").collect()}
+    got = scores(spark.createDataFrame(records, f"k string, gt {item.format('double')}, pred {item.format('double')}"))
+    assert got == {"k": (1.0, 1.0, 1.0, 0.8, 1.0, 1.0), "n": (0.0, 1.0, 0.0, None, None, None), "o": (1.0, 0.0, 0.0, None, None, None)}
+    mixed = spark.createDataFrame([("k", [("a", 2), ("b", 3)], [("a", 2.0), ("b", 3.5)])], f"k string, gt {item.format('int')}, pred {item.format('double')}")
+    assert scores(mixed)["k"][3] == 0.5
