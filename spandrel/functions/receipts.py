@@ -15,6 +15,7 @@ YMD = r"(\d{2,4})\s*[年/\-.]\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})\s*日?"
 CURRENCY = r"(?i)NT\$|NTD|TWD|RM|MYR|新台幣|新臺幣|\$|元|圓"
 BOX_CURRENCY = r"(?i)^(NT\$|NTD|TWD|RM|MYR|\$)\s*"
 BOX_AMOUNT = r"(?U)^-?\d{1,3}(,\d{3})*(\.\d+)?$|^-?\d+(\.\d+)?$"
+PLAIN_AMOUNT = r"^-?(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)(?:\.[0-9]+)?\z"
 DOC_TYPES = ("e_invoice", "receipt")
 TAX_WEIGHTS = (1, 2, 1, 2, 1, 2, 4, 1)
 CORPUS_DATES = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yy", "dd MMM yyyy", "yyyyMMdd")
@@ -28,10 +29,10 @@ def date(x: Column, ascii_only: bool = False) -> Column:
     def written(s: Column) -> Column:
         """The date's parts as year-month-day."""
         digits = F.regexp_replace(s, r"\D", "")
-        pick = lambda p, *at: F.concat_ws("-", *(F.regexp_extract(s, p, i) for i in at))
+        pick = lambda p, order: F.regexp_replace(F.regexp_extract(s, p, 0), p, order)
         part = lambda *cuts: F.concat_ws("-", *(F.substring(digits, a, n) for a, n in cuts))
         return (
-            F.when(s.rlike(DMY), pick(DMY, 3, 2, 1)).when(s.rlike(YMD), pick(YMD, 1, 2, 3))
+            F.when(s.rlike(DMY), pick(DMY, "$3-$2-$1")).when(s.rlike(YMD), pick(YMD, "$1-$2-$3"))
             .when(F.length(digits) == 8, part((1, 4), (5, 2), (7, 2))).when(F.length(digits) == 7, part((1, 3), (4, 2), (6, 2)))
         )
 
@@ -39,9 +40,12 @@ def date(x: Column, ascii_only: bool = False) -> Column:
         y, m, d = (F.get(parts, F.lit(i)).cast("int") for i in range(3))
         year = F.when(y < 1000, y + 1911).otherwise(y)
         text = F.concat_ws("-", *(F.lpad(c.cast("string"), n, "0") for c, n in ((year, 4), (m, 2), (d, 2))))
-        return F.when(year.between(1990, 2100), F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+        return F.when(year.between(1990, 2100), bound(text, lambda t: F.when(t.try_cast("date").isNotNull(), t)))
 
-    s = F.regexp_replace(F.trim(x if ascii_only else to_halfwidth(x)), "中華民國|民國", "")
+    def without_era(s: Column) -> Column:
+        return F.when(F.contains(s, F.lit("民國")), F.regexp_replace(s, "中華民國|民國", "")).otherwise(s)
+
+    s = bound(F.trim(x if ascii_only else to_halfwidth(x)), without_era)
     return bound(F.split(bound(s, written), "-"), real)
 
 
@@ -64,9 +68,12 @@ def amount(x: Column, ascii_only: bool = False) -> Column:
 
 def box_amount(text: Column, half: Column) -> Column:
     """The number of a box that holds an amount alone, with a sign of currency before or after it; else null. text: the
-    box as read, half: the same in half width."""
+    box as read, half: the same in half width. A box without any digit and one that is a bare ASCII number need no more
+    than a look."""
     bare = lambda t: F.regexp_replace(F.regexp_replace(strip(t), BOX_CURRENCY, ""), "[元圓]+$", "")
-    return F.when(bare(text).rlike(BOX_AMOUNT), amount(bare(half), ascii_only=True))
+    signed = F.when(bare(text).rlike(BOX_AMOUNT), amount(bare(half), ascii_only=True))
+    plain = F.replace(half, F.lit(","), F.lit("")).cast("double")
+    return F.when(~text.rlike(r"(?U)\d"), F.lit(None).cast("double")).when((text == half) & text.rlike(PLAIN_AMOUNT), plain).otherwise(signed)
 
 
 def amount_text(x: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,14 +26,20 @@ def to_halfwidth(x: Column | str) -> Column:
     return F.coalesce(_nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _nfkc_each(values: pa.Array) -> pa.Array:
-    texts, lengths = values.flatten(), values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+def halves(texts: pa.Array) -> pa.Array:
+    """to_halfwidth of an Arrow array, for functions over batches: each different text once, ASCII as it is."""
     wide = pc.invert(pc.string_is_ascii(texts)).fill_null(False)
-    own = texts.filter(wide).dictionary_encode()  # each different text once
-    halves = pa.array([unicodedata.normalize("NFKC", x) for x in own.dictionary.to_pylist()], texts.type).take(own.indices)
-    ends = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-    return pa.ListArray.from_arrays(ends, pc.replace_with_mask(texts, wide, halves), mask=values.is_null())
+    own = texts.filter(wide).dictionary_encode()
+    told = pa.array([unicodedata.normalize("NFKC", x) for x in own.dictionary.to_pylist()], texts.type).take(own.indices)
+    return pc.replace_with_mask(texts, wide, told)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for values in batches:  # of an iterator, as Spark leaves a call unmade whose input hangs on another call of its own kind
+        lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+        yield pa.ListArray.from_arrays(ends, halves(values.flatten()), mask=values.is_null())
 
 
 def to_halfwidth_each(xs: Column) -> Column:
@@ -53,7 +60,10 @@ def strip(x: Column) -> Column:
 def normalize_text(x: Column, ascii_only: bool = False) -> Column:
     """Canonical form, white space collapsed, upper case; an empty text is null."""
     x = x if ascii_only else to_halfwidth(x)
-    return F.nullif(F.upper(F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), F.lit(""))
+    # a single blank stays as it is
+    form = F.upper(F.trim(F.regexp_replace(x, r"(?U)\s{2,}|[\s&&[^ ]]", " ")))
+    # inside an array's function nullif would make its text twice
+    return bound(form, lambda t: F.when(t != "", t)) if ascii_only else F.nullif(form, F.lit(""))
 
 
 def compact(x: Column, lower: bool = True) -> Column:

@@ -15,6 +15,13 @@ def _keys(values: pa.Array) -> list[np.ndarray]:
     return [values.fill_null(0).to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False)]
 
 
+def _order(*columns: pa.Array | np.ndarray) -> np.ndarray:
+    """The places of the rows in the order of the columns, the weakest first; whether there is a value tells rows apart only where
+    some are null."""
+    keys = [k for c in columns for k in ([c] if isinstance(c, np.ndarray) else _keys(c)[: 2 if c.null_count else 1])]
+    return np.lexsort(keys)
+
+
 def _lines(row: np.ndarray, yc: pa.Array, h: pa.Array, ratio: float) -> np.ndarray:
     """The line of each box; boxes come row by row, in order. All rows take a step together: the k-th box of each."""
     count = np.bincount(row) if len(row) else np.zeros(0, np.int64)
@@ -40,21 +47,26 @@ def _lines(row: np.ndarray, yc: pa.Array, h: pa.Array, ratio: float) -> np.ndarr
     return out
 
 
-def _placed(boxes: pa.ListArray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]:
-    """(row, line, place in the row's array) of all boxes, by row, line, x and id; and the boxes in that order."""
-    flat = boxes.flatten()
+def placed(boxes: pa.ListArray, flat: pa.StructArray, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]:
+    """(row, line, place in the row's array) of all boxes, by row, line, x and id; and the boxes in that order. flat: the
+    boxes of all rows as (yc, h, x, id) and whatever else they have."""
     lengths = boxes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(boxes)), lengths)
     place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     yc, h, x, id_ = (flat.field(c) for c in ("yc", "h", "x", "id"))
-    order = np.lexsort([*_keys(x), *_keys(h), *_keys(id_), *_keys(yc), row])
+    order = _order(x, h, id_, yc, row)
     line = _lines(row[order], yc.take(pa.array(order)), h.take(pa.array(order)), ratio)
-    again = np.lexsort([*_keys(id_.take(pa.array(order))), *_keys(x.take(pa.array(order))), line, row[order]])
+    again = _order(id_.take(pa.array(order)), x.take(pa.array(order)), line, row[order])
     order = order[again]
     return row[order], line[again], place[order], flat.take(pa.array(order))
 
 
-def _ends(row: np.ndarray, n: int) -> np.ndarray:
+def line_starts(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Where each line starts among boxes in the order of `placed`."""
+    return np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])])) if len(row) else np.zeros(0, np.int64)
+
+
+def ends(row: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
 
 
@@ -69,9 +81,9 @@ def line_numbers(boxes: Column, ratio: float = RATIO) -> Column:
 
     @F.arrow_udf("array<struct<line:int,x:double,id:bigint>>")
     def numbers(values: pa.Array) -> pa.Array:
-        row, line, _, flat = _placed(values, ratio)
+        row, line, _, flat = placed(values, values.flatten(), ratio)
         told = pa.StructArray.from_arrays([pa.array(line, pa.int32()), flat.field("x"), flat.field("id")], ["line", "x", "id"])
-        return pa.ListArray.from_arrays(pa.array(_ends(row, len(values))), told, mask=values.is_null())
+        return pa.ListArray.from_arrays(pa.array(ends(row, len(values))), told, mask=values.is_null())
 
     return numbers(_boxes(boxes))
 
@@ -81,9 +93,9 @@ def lines_of(boxes: Column, ratio: float = RATIO) -> Column:
 
     @F.arrow_udf("array<array<int>>")
     def places(values: pa.Array) -> pa.Array:
-        row, line, place, _ = _placed(values, ratio)
-        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])])) if len(row) else np.zeros(0, np.int64)
+        row, line, place, _ = placed(values, values.flatten(), ratio)
+        new = line_starts(row, line)
         inner = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(place, pa.int32()))
-        return pa.ListArray.from_arrays(pa.array(_ends(row[new], len(values))), inner, mask=values.is_null())
+        return pa.ListArray.from_arrays(pa.array(ends(row[new], len(values))), inner, mask=values.is_null())
 
     return places(_boxes(boxes))
