@@ -185,12 +185,17 @@ def suggested(lines: Column) -> Column:
 
 def canonical(records: DataFrame, key: str) -> DataFrame:
     """Records in canonical form: unknown document types are null, items without a name go."""
-    names = R.item_names(F.transform("items", lambda i: i["name"]))
-    kept = F.filter(F.zip_with("items", "names_", lambda i, n: F.struct(n.alias("name"), i["amount"].cast("double").alias("amount"))), lambda i: i["name"].isNotNull())
-    rows = records.withColumn("items", F.coalesce("items", F.array().cast(ITEMS))).withColumn("names_", names)
+    fields = ("seller_name", "date", "invoice_number", "seller_tax_id", "buyer_tax_id", "total_amount")
+    rows = records.withColumn("items", F.coalesce("items", F.array().cast(ITEMS)))
+    # all texts of a record are brought to half width together: the fields', then the items' names
+    rows = rows.withColumn("half_", TX.to_halfwidth_each(F.concat(F.array(*(F.col(c).cast("string") for c in fields)), F.col("items")["name"])))
+    half = {c: F.get("half_", F.lit(i)) for i, c in enumerate(fields)}
+    names = F.slice("half_", len(fields) + 1, F.size("items"))
+    named = F.zip_with("items", names, lambda i, n: F.struct(TX.normalize_text(n, ascii_only=True).alias("name"), i["amount"].cast("double").alias("amount")))
     return rows.select(
-        key, F.when(F.col("doc_type").isin(*R.DOC_TYPES), F.col("doc_type")).alias("doc_type"), TX.normalize_text(F.col("seller_name")).alias("seller_name"), R.date(F.col("date")).alias("date"), R.invoice_number(F.col("invoice_number")).alias("invoice_number"),
-        *(R.tax_id(F.col(c)).alias(c) for c in ("seller_tax_id", "buyer_tax_id")), R.amount(F.col("total_amount").cast("string")).alias("total_amount"), kept.alias("items"),
+        key, F.when(F.col("doc_type").isin(*R.DOC_TYPES), F.col("doc_type")).alias("doc_type"), TX.normalize_text(half["seller_name"], ascii_only=True).alias("seller_name"),
+        *(f(half[c], ascii_only=True).alias(c) for f, c in ((R.date, "date"), (R.invoice_number, "invoice_number"), (R.tax_id, "seller_tax_id"), (R.tax_id, "buyer_tax_id"), (R.amount, "total_amount"))),
+        F.filter(named, lambda i: i["name"].isNotNull()).alias("items"),
     )
 
 

@@ -68,8 +68,16 @@ def test_amounts_that_are_plain_to_see_are_those_of_the_rule(spark):
     assert line.a[:8] == [1234.0, -5.5, 7.0, None, None, None, None, None] and line.a[9:14] == [12.0, 5.0, 5.0, 5.0, 5.0] and line.a[8] is None and line.a[15] == line.b[15]
 
 
+def test_names_hold_any_sign_in_canonical_form(spark):
+    record = ("receipt", "店\x1f１", "2024/05/12", None, None, None, 5.0, [("a\x1fb", 1.0), ("　", 2.0), (None, 3.0), ("ｃ", None)])
+    rows = spark.createDataFrame([(1, *record), (2, *([None] * 8))], f"k int, doc_type string, seller_name string, date string, invoice_number string, seller_tax_id string, buyer_tax_id string, total_amount double, items {X.ITEMS}")
+    one, none = X.canonical(rows, "k").orderBy("k").collect()
+    assert (one.seller_name, one.date, one.total_amount, [tuple(i) for i in one["items"]]) == ("店\x1f1", "2024-05-12", 5.0, [("A\x1fB", 1.0), ("C", None)])
+    assert none["items"] == [] and [none[c] for c in none.asDict() if c not in ("k", "items")] == [None] * 7
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", ["t12_header_fields", "t14_assemble"])
+@pytest.mark.parametrize("name", ["t12_header_fields", "t14_assemble", "t15_pipeline"])
 def test_images_take_one_shuffle_and_lines_one_look(spark, name):
     plan = plan_of(q.QUERIES[name](spark, FOLDER))
     met = plan[plan.index("_read(") :]
@@ -80,7 +88,7 @@ def test_images_take_one_shuffle_and_lines_one_look(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_images_are_dealt_into_bounded_parts(spark, monkeypatch):
-    whole = sorted(map(tuple, q.t12_header_fields(spark, FOLDER).collect()), key=repr)
+    whole = sorted(map(tuple, q.t15_pipeline(spark, FOLDER).collect()), key=repr)
     monkeypatch.setattr(tables, "TASK_ROWS", 100)
-    df = q.t12_header_fields(spark, FOLDER)
+    df = q.t15_pipeline(spark, FOLDER)
     assert df.rdd.getNumPartitions() * 100 >= 7500 and sorted(map(tuple, df.collect()), key=repr) == whole
